@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from kledger.functions import temporal as T
 from kledger.functions import text as X
 from kledger.functions import vectors as V
+from kledger.operators.blocks import MAX_BROADCAST_QUERIES, bounded_rows, score_cosine, top_matches
 
 RRF_K = 60
 K1, B = 1.2, 0.75
 MIN_COSINE = 1e-6
-# Size bounds of what may be sent to every task. Beyond them the shuffled variants below take over.
-MAX_BROADCAST_QUERIES = 4096
+# Size bound of the phrases sent to every task, next to the bound on their number. Beyond it they are joined.
 MAX_BROADCAST_CHARS = 4_000_000
 
 
@@ -27,12 +27,6 @@ def pool_size(k: int) -> int:
     return max(4 * k, 16)
 
 
-def bounded_rows(df: DataFrame, limit: int) -> list | None:
-    """The rows of ``df`` if there are at most ``limit``, else None. Reads no more than limit + 1 rows."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
-
-
 def top_rows(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:
     """Ranked rows, at most ``n`` per key. Catalyst turns this into a group limit before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -74,14 +68,17 @@ def _phrase_scan(notes: DataFrame, rows: list) -> DataFrame:
     return view.mapInPandas(scan, _HITS)
 
 
-ANCHOR = 3
+def _anchors(c):
+    """The grams a text can be joined by: its trigrams, and its shorter grams for patterns of one or two characters."""
+    return F.array_distinct(F.concat(X.ngrams(c, 3), X.ngrams(c, 2), X.chars(c)))
 
 
 def _phrase_join(notes: DataFrame, queries: DataFrame) -> DataFrame:
     """Any number of phrases: join each phrase by its rarest trigram to the trigrams of the notes, then verify."""
     doc = notes.select("note_id", F.lower(F.coalesce("title", F.lit(""))).alias("title"), F.lower(F.coalesce("body", F.lit(""))).alias("body"))
-    grams = doc.select("note_id", F.explode(F.array_distinct(F.concat(X.ngrams(F.col("title"), ANCHOR), X.ngrams(F.col("body"), ANCHOR)))).alias("gram"))
-    wanted = queries.select("qid", "q", F.explode(F.array_distinct(X.ngrams(F.col("q"), ANCHOR))).alias("gram"))
+    grams = doc.select("note_id", F.explode(F.array_distinct(F.concat(_anchors(F.col("title")), _anchors(F.col("body"))))).alias("gram"))
+    own = F.when(F.length("q") < 3, F.array("q")).otherwise(F.array_distinct(X.ngrams(F.col("q"), 3)))
+    wanted = queries.select("qid", "q", F.explode(own).alias("gram"))
     # map-side partial counts; grams no query asks for are dropped before counting
     freq = grams.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     anchors = wanted.join(freq, "gram").groupBy("qid", "q").agg(F.min(F.struct("n", "gram")).alias("a"))
@@ -101,9 +98,9 @@ def _phrase_join(notes: DataFrame, queries: DataFrame) -> DataFrame:
     return out.filter("tf > 0")
 
 
-def phrase_hits(notes: DataFrame, queries: DataFrame, force_join: bool = False) -> DataFrame:
+def phrase_hits(notes: DataFrame, queries: DataFrame, force_join: bool = False, min_chars: int = 3) -> DataFrame:
     """(qid, note_id, tf, doc_len) of every note that contains the whole query, ignoring case."""
-    qs = queries.select("qid", F.lower(F.trim("q")).alias("q")).filter(F.length("q") >= 3)
+    qs = queries.select("qid", F.lower(F.trim("q")).alias("q")).filter(F.length("q") >= min_chars)
     rows = None if force_join else bounded_rows(qs, MAX_BROADCAST_QUERIES)
     if rows is None or sum(len(r["q"]) for r in rows) > MAX_BROADCAST_CHARS:
         return _phrase_join(notes, qs)
@@ -145,77 +142,15 @@ def short_channel(notes: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
 # ---- vector channel --------------------------------------------------------------------------------
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, pool: int, floor: float):
-    """Row indices of the best ``pool`` scores above ``floor``, ties by id."""
-    ok = np.flatnonzero(scores > floor)
-    if len(ok) > pool:
-        cut = np.partition(scores[ok], len(ok) - pool)[len(ok) - pool]
-        ok = ok[scores[ok] >= cut]
-    return ok[np.lexsort((ids[ok], -scores[ok]))][:pool]
-
-
-def cosine_matrix(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Cosines from integer vectors. Dots and norms are whole numbers, so every engine gets the same quotient."""
-    d = q.astype(np.float64) @ v.astype(np.float64).T
-    n1, n2 = (q.astype(np.float64) ** 2).sum(1), (v.astype(np.float64) ** 2).sum(1)
-    den = np.sqrt(n1[:, None] * n2[None, :])
-    return np.divide(d, den, out=np.zeros_like(d), where=den > 0)
-
-
-def _block_top(q_ids, q_mat, n_ids, n_mat, pool, floor):
-    rows = []
-    sims = cosine_matrix(q_mat, n_mat)
-    for i, qid in enumerate(q_ids):
-        for j in _best(sims[i], n_ids, pool, floor):
-            rows.append((qid, n_ids[j], float(sims[i, j])))
-    return rows
-
-
-def vector_channel(note_vectors: DataFrame, query_vectors: DataFrame, pool: int, floor: float = MIN_COSINE, force_blocks: bool = False) -> DataFrame:
-    """Exact cosine top ``pool`` per query: (qid, note_id, score, rank). Inputs are (id, v) tables."""
-    rows = None if force_blocks else bounded_rows(query_vectors.select("qid", "v"), MAX_BROADCAST_QUERIES)
-    part = _scan_top(note_vectors, rows, pool, floor) if rows is not None else _grid_top(note_vectors, query_vectors, pool, floor)
-    return top_rows(part, ["qid"], [F.desc("score"), "note_id"], pool)
-
-
-def _scan_top(note_vectors: DataFrame, rows: list, pool: int, floor: float) -> DataFrame:
-    q_ids = [r["qid"] for r in rows]
-    q_mat = np.array([r["v"] for r in rows], dtype=np.int64).reshape(len(rows), -1)
-    shared = note_vectors.sparkSession.sparkContext.broadcast((q_ids, q_mat))
-
-    def scan(batches):
-        ids, mat = shared.value
-        best: pd.DataFrame | None = None
-        for pdf in batches:
-            if not len(pdf) or not ids:
-                continue
-            new = pd.DataFrame(_block_top(ids, mat, pdf["note_id"].to_numpy(dtype=str), np.stack(pdf["v"].to_numpy()), pool, floor), columns=["qid", "note_id", "score"])
-            both = new if best is None else pd.concat([best, new])
-            # a task holds at most pool rows per query, whatever the number of its notes
-            best = both.sort_values(["score", "note_id"], ascending=[False, True]).groupby("qid", sort=False).head(pool)
-        if best is not None:
-            yield best
-
-    return note_vectors.select("note_id", "v").mapInPandas(scan, "qid string, note_id string, score double")
-
-
-NOTE_BLOCK, QUERY_BLOCK = 8192, 1024
-
-
-def _grid_top(note_vectors: DataFrame, query_vectors: DataFrame, pool: int, floor: float) -> DataFrame:
-    """Beyond the broadcast bound: a grid of (query block, note block) cells of fixed size, each one a small product."""
-    n_blocks = max(1, -(-note_vectors.count() // NOTE_BLOCK))
-    q_blocks = max(1, -(-query_vectors.count() // QUERY_BLOCK))
-    notes = note_vectors.select("note_id", "v", F.pmod(F.xxhash64("note_id"), F.lit(n_blocks)).alias("nb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
-    qs = query_vectors.select("qid", "v", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("bigint").alias("nb"))
-
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=["qid", "note_id", "score"])
-        rows = _block_top(list(right["qid"]), np.stack(right["v"].to_numpy()), left["note_id"].to_numpy(dtype=str), np.stack(left["v"].to_numpy()), pool, floor)
-        return pd.DataFrame(rows, columns=["qid", "note_id", "score"])
+def vector_channel(note_vectors: DataFrame, query_vectors: DataFrame, pool: int, floor: float | None = None, by_id: bool = False, force_grid: bool = False) -> DataFrame:
+    """Exact cosine top ``pool`` per query: (qid, note_id, score, rank). Inputs are (note_id, v) and (qid, v).
 
-    return notes.groupBy("nb", "qb").cogroup(qs.groupBy("nb", "qb")).applyInPandas(cell, "qid string, note_id string, score double")
+    Without a ``floor`` the cosine must exceed the orthogonality bound. With ``by_id`` the first ``pool`` ids
+    at or above the floor are kept instead of the best scores.
+    """
+    low = float(np.nextafter(MIN_COSINE, 1)) if floor is None else floor
+    items = note_vectors.select(F.col("note_id").alias("item_id"), "v")
+    return top_matches(items, query_vectors.select("qid", "v"), score_cosine, pool, low, by_id, force_grid).withColumnRenamed("item_id", "note_id")
 
 
 def vectorize(df: DataFrame, key: str, text, encoder=None) -> DataFrame:

@@ -1,6 +1,6 @@
 """Named queries. Importing this package fills the registry."""
 
-from kledger.plans import fn  # noqa: F401
+from kledger.plans import fn, ret  # noqa: F401
 from kledger.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

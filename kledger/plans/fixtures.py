@@ -202,3 +202,36 @@ def seq_rows(spark: SparkSession, sf: str) -> DataFrame:
         "CASE WHEN c IN (1, 2) THEN cast(floor(value) as bigint) % 4 END AS embedding_calls",
         f"CASE WHEN event_id > {UPDATE_EVENT} AND event_id % 3 = 0 THEN 'override' ELSE 'base' END AS gold_source",
     )
+
+
+def unanswered(spark: SparkSession, sf: str) -> DataFrame:
+    """Open ledger questions: every twentieth document asks its first 80 characters."""
+    return table(spark, sf, "documents").filter("doc_id % 20 = 0").selectExpr(
+        f"{nid('doc_id')} AS note_id", "substr(text, 1, 80) AS question", "concat('2024-05-0', cast(doc_id % 9 + 1 as string)) AS asked_date",
+        "CASE WHEN doc_id % 40 = 0 THEN 'no_notes' ELSE 'below_min_fresh' END AS reason",
+    )
+
+
+def guard_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").selectExpr(
+        "concat('B-', cast(item_id as string)) AS qid", "concat(text, CASE WHEN item_id % 4 = 0 THEN concat(' topic-', cast(item_id % 37 as string)) ELSE '' END) AS q"
+    )
+
+
+def conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Conflict ledger: notes d and d + 37 for every fiftieth d; open when d is a multiple of 100."""
+    n = notes(spark, sf, with_sources=False).selectExpr("d", "note_id", "title", "body", "entities", "concat(title, ' ', substr(body, 1, 400)) AS t")
+    a = n.filter("d % 50 = 0")
+    b = n.selectExpr("d - 37 AS d", "note_id AS note_b", "entities AS entities_b", "t AS text_b", "title AS title_b")
+    return a.join(b, "d", "left").selectExpr(
+        "concat('C-', lpad(cast(d as string), greatest(6, length(cast(d as string))), '0')) AS conflict_id", "d", "note_id AS note_a", "note_b",
+        "CASE WHEN d % 100 = 0 THEN 'open' ELSE 'resolved' END AS status", "concat('topic-', cast(d % 37 as string)) AS entity",
+        "t AS text_a", "coalesce(text_b, '') AS text_b", "entities AS entities_a", "entities_b", "substr(title, 1, 20) AS value_a", "substr(title_b, 1, 20) AS value_b",
+    )
+
+
+def corpus_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").selectExpr(
+        "lpad(cast(doc_id as string), greatest(6, length(cast(doc_id as string))), '0') AS doc_id",
+        r"substr(split(text, '\n')[0], 1, 60) AS title", "concat('doc://', source, '/', cast(doc_id as string)) AS url", "text AS body",
+    )

@@ -258,7 +258,7 @@ BASE_SQL = f"coalesce({ts('observed_at')}, {ts('created')})"
 AGE_SQL = days(NOW, BASE_SQL)
 DECAY_SQL = f"(CASE WHEN {HALF_SQL} IS NULL OR {AGE_SQL} IS NULL OR {AGE_SQL} <= 0 THEN 1.0::DOUBLE ELSE pow(0.5::DOUBLE, {AGE_SQL} / {HALF_SQL}) END)"
 CONF_SQL = "(CASE confidence WHEN 'high' THEN 1.0::DOUBLE WHEN 'low' THEN 0.75::DOUBLE ELSE 0.9::DOUBLE END)"
-IMP_SQL = "(0.5::DOUBLE + 0.5::DOUBLE * coalesce(greatest(0.0, least(1.0, importance)), 0.6)::DOUBLE)"
+IMP_SQL = "(0.5::DOUBLE + 0.5::DOUBLE * (CASE WHEN importance IS NULL THEN 0.6 ELSE greatest(0.0, least(1.0, importance)) END)::DOUBLE)"
 
 
 @query("FN-25", twin(f"SELECT note_id, round({DECAY_SQL}, 6) AS decay FROM notes0", "notes0"))

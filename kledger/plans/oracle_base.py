@@ -224,3 +224,142 @@ vectors("body_vec", "notes0", "d", "body", "notes0")
 vectors("note_vec", "notes0", "d", "(title || chr(10) || body)", "notes0")
 vectors("bench_vec", "bench_queries", "qid", "q", "bench_queries")
 vectors("phrase_vec", "phrase_queries", "qid", "q", "phrase_queries")
+
+# ---- redirect chains, retrieval channels, chunks ----------------------------------------------------
+cte(
+    "walk",
+    """SELECT note_id AS start, note_id AS cur, 0 AS hops, [note_id] AS path, status, coalesce(redirect_to, superseded_by) AS nxt, false AS missing FROM notes0
+ UNION ALL SELECT w.start, w.nxt, w.hops + 1, list_append(w.path, w.nxt), coalesce(n.status, 'none'), coalesce(n.redirect_to, n.superseded_by), n.note_id IS NULL
+ FROM walk w LEFT JOIN notes0 n ON n.note_id = w.nxt WHERE w.status IN ('merged', 'superseded') AND w.nxt IS NOT NULL AND NOT list_contains(w.path[1:len(w.path) - 1], w.cur)""",
+    "notes0",
+)
+cte(
+    "chains",
+    """SELECT start AS note_id, CASE WHEN outcome = 'active' THEN cur END AS canonical_id, outcome, CASE WHEN start <> cur OR outcome <> 'active' THEN start END AS first_alias,
+   CASE WHEN outcome <> 'cycle' THEN hops END AS hops, CASE WHEN outcome <> 'cycle' THEN path END AS path
+ FROM (SELECT *, CASE WHEN status = 'active' THEN 'active' WHEN missing THEN 'broken' ELSE 'cycle' END AS outcome, row_number() OVER (PARTITION BY start ORDER BY hops DESC) AS rn FROM walk) WHERE rn = 1""",
+    "walk", materialized=True,
+)
+
+
+def ranked_twin(main: str, *needs: str) -> str:
+    """A twin whose expressions include the recursive redirect walk."""
+    return twin(main, *needs).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def keyword(name: str, queries: str, pool: int) -> None:
+    """``name``: BM25-ranked phrase hits of ``queries`` (qid, q)."""
+    cte(
+        f"{name}_hits",
+        f"""SELECT qid, note_id, tf, doc_len FROM (SELECT qid, note_id, doc_len,
+    (CASE WHEN contains(t, q) THEN len(list_filter(range(1, length(t) - length(q) + 2), lambda i: substr(t, i, length(q)) = q)) ELSE 0 END
+   + CASE WHEN contains(b, q) THEN len(list_filter(range(1, length(b) - length(q) + 2), lambda i: substr(b, i, length(q)) = q)) ELSE 0 END)::BIGINT AS tf
+  FROM (SELECT qid, lower(trim(q)) AS q FROM {queries} WHERE length(trim(q)) >= 3) x
+  JOIN (SELECT note_id, lower(title) AS t, lower(body) AS b, (greatest(length(title) - 2, 0) + greatest(length(body) - 2, 0))::BIGINT AS doc_len FROM notes0) n ON contains(n.t, x.q) OR contains(n.b, x.q)) WHERE tf > 0""",
+        queries, "notes0", materialized=True,
+    )
+    cte(
+        f"{name}_scored",
+        f"""SELECT qid, note_id, tf, round(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2::DOUBLE
+     / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / avg_len)), 9) AS score
+   FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS df FROM {name}_hits)
+   CROSS JOIN (SELECT count(*)::DOUBLE AS n, sum(greatest(length(title) - 2, 0) + greatest(length(body) - 2, 0))::DOUBLE / count(*) AS avg_len FROM notes0)""",
+        f"{name}_hits", "notes0", materialized=True,
+    )
+    cte(
+        f"{name}_short",
+        f"""SELECT qid, note_id, 0.0::DOUBLE AS score, row_number() OVER (PARTITION BY qid ORDER BY note_id) AS rank
+   FROM (SELECT qid, lower(trim(q)) AS q FROM {queries} WHERE length(trim(q)) IN (1, 2)) x JOIN notes0 n ON contains(lower(n.title), x.q) OR contains(lower(n.body), x.q)""",
+        queries, "notes0", materialized=True,
+    )
+    cte(
+        name,
+        f"""SELECT qid, note_id, score, rank FROM (SELECT qid, note_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, note_id) AS rank FROM {name}_scored
+   UNION ALL SELECT * FROM {name}_short) WHERE rank <= {pool}""",
+        f"{name}_scored", f"{name}_short", materialized=True,
+    )
+
+
+def nearest(name: str, queries_vec: str, pool: int) -> None:
+    cte(
+        name,
+        f"""SELECT * FROM (SELECT q.id AS qid, {_nid_of('n.id')} AS note_id, {cosine('q', 'n')} AS score,
+   row_number() OVER (PARTITION BY q.id ORDER BY {cosine('q', 'n')} DESC, n.id) AS rank FROM {queries_vec} q CROSS JOIN note_vec n WHERE {cosine('q', 'n')} > 1e-6) WHERE rank <= {pool}""",
+        queries_vec, "note_vec", materialized=True,
+    )
+
+
+def _nid_of(e: str) -> str:
+    return nid(e)
+
+
+def hybrid(name: str, key: str, vec: str, k: int) -> None:
+    """``name``: the full hybrid ranking from channels ``key`` (keyword) and ``vec`` (nearest)."""
+    for ch in (key, vec):
+        cte(
+            f"{name}_{ch}",
+            f"""SELECT qid, canonical_id, direct, alias, row_number() OVER (PARTITION BY qid ORDER BY best) AS rank FROM (
+     SELECT qid, canonical_id, min(c.rank) AS best, bool_or(first_alias IS NULL) AS direct, arg_min(first_alias, CASE WHEN first_alias IS NOT NULL THEN c.rank END) AS alias
+     FROM {ch} c JOIN chains h ON h.note_id = c.note_id AND h.outcome = 'active' GROUP BY qid, canonical_id)""",
+            ch, "chains", materialized=True,
+        )
+    from kledger.plans.fn import CONF_SQL, DECAY_SQL, IMP_SQL
+
+    cte(
+        name,
+        f"""SELECT qid, rank, note_id, title, score, match_type, CASE WHEN NOT direct THEN alias END AS redirected_from, kind FROM (
+   SELECT f.*, n.note_id, n.title, n.kind, round(fused * {CONF_SQL} * {DECAY_SQL} * {IMP_SQL}, 9) AS score,
+     row_number() OVER (PARTITION BY qid ORDER BY round(fused * {CONF_SQL} * {DECAY_SQL} * {IMP_SQL}, 9) DESC, n.note_id) AS rank
+   FROM (SELECT qid, canonical_id, sum(1.0::DOUBLE / (60 + rank)) AS fused, CASE WHEN count(*) = 2 THEN 'both' ELSE min(ch) END AS match_type, bool_or(direct) AS direct, arg_min(alias, o) AS alias FROM (
+     SELECT *, 'fts' AS ch, CASE WHEN alias IS NOT NULL THEN 0 END AS o FROM {name}_{key} UNION ALL SELECT *, 'vector', CASE WHEN alias IS NOT NULL THEN 1 END FROM {name}_{vec}) GROUP BY qid, canonical_id) f
+   JOIN notes0 n ON n.note_id = f.canonical_id WHERE NOT n.tombstone) WHERE rank <= {k}""",
+        f"{name}_{key}", f"{name}_{vec}", "notes0", materialized=True,
+    )
+
+
+cte(
+    "unanswered",
+    f"""SELECT doc_id AS d, {nid('doc_id')} AS note_id, substr(text, 1, 80) AS question, '2024-05-0' || (doc_id % 9 + 1)::VARCHAR AS asked_date,
+  CASE WHEN doc_id % 40 = 0 THEN 'no_notes' ELSE 'below_min_fresh' END AS reason FROM documents WHERE doc_id % 20 = 0""",
+)
+cte("guard_queries", "SELECT 'B-' || item_id::VARCHAR AS qid, text || CASE WHEN item_id % 4 = 0 THEN ' topic-' || (item_id % 37)::VARCHAR ELSE '' END AS q FROM benchmark")
+cte(
+    "conflicts",
+    """SELECT 'C-' || lpad(a.d::VARCHAR, greatest(6, length(a.d::VARCHAR))::INTEGER, '0') AS conflict_id, a.d, a.note_id AS note_a, b.note_id AS note_b,
+  CASE WHEN a.d % 100 = 0 THEN 'open' ELSE 'resolved' END AS status, 'topic-' || (a.d % 37)::VARCHAR AS entity,
+  a.title || ' ' || substr(a.body, 1, 400) AS text_a, coalesce(b.title || ' ' || substr(b.body, 1, 400), '') AS text_b, a.entities AS entities_a, b.entities AS entities_b,
+  substr(a.title, 1, 20) AS value_a, substr(b.title, 1, 20) AS value_b
+ FROM notes0 a LEFT JOIN notes0 b ON b.d = a.d + 37 WHERE a.d % 50 = 0""",
+    "notes0", materialized=True,
+)
+vectors("guard_vec", "guard_queries", "qid", "q", "guard_queries")
+vectors("unanswered_vec", "unanswered", "d", "question", "unanswered")
+vectors("conflict_a_vec", "conflicts", "conflict_id", "text_a", "conflicts")
+vectors("conflict_b_vec", "conflicts", "conflict_id", "text_b", "conflicts")
+cte(
+    "units",
+    r"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pi, si, k) AS u, substr(s, (k * 500 + 1)::BIGINT, 500) AS t, CASE WHEN si = 1 AND k = 0 THEN chr(10) || chr(10) ELSE '' END AS j
+ FROM (SELECT doc_id, pi, si, s, unnest(range(0, ceil(length(s) / 500.0)::BIGINT)) AS k FROM (
+   SELECT doc_id, pi, unnest(ss) AS s, generate_subscripts(ss, 1) AS si FROM (
+     SELECT doc_id, pi, CASE WHEN length(p) <= 500 THEN [p] ELSE list_filter(list_transform(string_split(regexp_replace(p, '([。！？；!?;]|\. )', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') END AS ss
+     FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS pi FROM (
+       SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS ps FROM documents)))))""",
+    materialized=True,
+)
+cte(
+    "packing",
+    """SELECT doc_id, 1::BIGINT AS u, t AS buf, NULL::VARCHAR AS done FROM units WHERE u = 1
+ UNION ALL SELECT n.doc_id, n.u, CASE WHEN length(p.buf) + length(n.j) + length(n.t) <= 500 THEN p.buf || n.j || n.t ELSE n.t END,
+   CASE WHEN length(p.buf) + length(n.j) + length(n.t) <= 500 THEN NULL ELSE p.buf END
+ FROM packing p JOIN units n ON n.doc_id = p.doc_id AND n.u = p.u + 1""",
+    "units",
+)
+cte(
+    "chunks",
+    """SELECT c.doc_id AS d, lpad(c.doc_id::VARCHAR, greatest(6, length(c.doc_id::VARCHAR))::INTEGER, '0') || '#c' || (row_number() OVER (PARTITION BY c.doc_id ORDER BY u) - 1)::VARCHAR AS chunk_id, c.text,
+   substr(split_part(o.text, chr(10), 1), 1, 60) AS title
+ FROM (SELECT doc_id, u, done AS text FROM packing WHERE done IS NOT NULL
+   UNION ALL SELECT doc_id, 1000000000, arg_max(buf, u) FROM packing GROUP BY doc_id) c JOIN documents o USING (doc_id)""",
+    "packing", materialized=True,
+)
+vectors("chunk_vec", "chunks", "chunk_id", "(title || chr(10) || text)", "chunks")
