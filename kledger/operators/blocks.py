@@ -123,3 +123,23 @@ def top_matches(items: DataFrame, queries: DataFrame, score: Callable, n: int, f
         part = left.groupBy("_n", "_q").cogroup(right.groupBy("_n", "_q")).applyInPandas(lambda a, b: _block(b, a, score, n, floor, by_id), OUT)
     w = Window.partitionBy("qid").orderBy(*(["item_id"] if by_id else [F.desc("score"), "item_id"]))
     return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
+def top_matches_grouped(items: DataFrame, queries: DataFrame, score: Callable, n: int, floor: float = -0.5, item_block: int = ITEM_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """Like ``top_matches``, comparing only rows of the same ``group`` (a row may stand in several groups).
+
+    A large group is cut into slices of fixed size, so a group with a third of all rows becomes many small
+    cells instead of one task, and a cell returns at most ``n`` rows per query instead of its pairs.
+    """
+    def slices(df, size, name):
+        return df.groupBy("group").agg(F.ceil(F.count("*") / size).cast("bigint").alias(name))
+
+    sizes = slices(items, item_block, "_ni").join(slices(queries, query_block, "_nq"), "group")
+    zero = F.lit(0).cast("bigint")
+    left = items.join(sizes, "group").withColumn("_n", F.pmod(F.xxhash64("item_id"), F.col("_ni"))).withColumn("_q", F.explode(F.sequence(zero, F.col("_nq") - 1))).drop("_ni", "_nq")
+    right = queries.join(sizes, "group").withColumn("_q", F.pmod(F.xxhash64("qid"), F.col("_nq"))).withColumn("_n", F.explode(F.sequence(zero, F.col("_ni") - 1))).drop("_ni", "_nq")
+    keys = ["group", "_n", "_q"]
+    part = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: _block(b, a, score, n, floor, False), OUT)
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "item_id")
+    once = part.groupBy("qid", "item_id").agg(F.max("score").alias("score"))  # a pair may meet in several groups
+    return once.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
