@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kledger.functions import temporal as T
 from kledger.functions import text as X
 from kledger.functions import vectors as V
+from kledger.session import cut_lineage
 
 # What a date, chapter, version, percentage and number look like, in order of priority; the
 # characters that end the word before a token; verdicts and the action each one suggests.
@@ -113,7 +114,7 @@ def slot_scan(pairs: DataFrame, prior_tokens: DataFrame, evidence_tokens: DataFr
     cols = ["kind", "value", "slot", "unit", "context"]
     p = pairs.select("pair_id", F.col("prior_id").alias("owner_id")).join(prior_tokens.select("owner_id", *cols), "owner_id").withColumn("side", F.lit(0))
     e = pairs.select("pair_id", F.col("evidence_id").alias("owner_id")).join(evidence_tokens.select("owner_id", *cols), "owner_id").withColumn("side", F.lit(1))
-    both = p.unionByName(e)
+    both = cut_lineage(p.unionByName(e))  # read by the slot fold and by the label fold
     left, right = F.col("side") == 0, F.col("side") == 1
     slots = both.filter(comparable()).groupBy("pair_id", "slot").agg(
         F.count_if(left).alias("np"), F.count_if(right).alias("ne"), F.min(F.when(left, F.col("value"))).alias("vp"), F.min(F.when(right, F.col("value"))).alias("ve")
@@ -163,6 +164,7 @@ def compare(pairs: DataFrame, settings: VerificationSettings | None = None) -> D
     cfg = (settings or VerificationSettings()).normalized()
     sims = pairs if "similarity" in pairs.columns else with_similarity(pairs)
     sims = sims.withColumn("disjoint", entities_disjoint(F.col("prior_entities"), F.col("evidence_entities"))).withColumn("ref", matched_source(F.col("sources"), F.col("source_url")))
+    sims = cut_lineage(sims)  # encoded once, read by the floor, both token scans and the ladder
     above = sims.filter(F.col("similarity") >= cfg.floor)
     p_tok = fact_tokens(above.select(F.col("prior_id").alias("owner_id"), F.col("prior_text").alias("text")).dropDuplicates(["owner_id"]))
     e_tok = fact_tokens(above.select(F.col("evidence_id").alias("owner_id"), F.col("evidence_text").alias("text")).dropDuplicates(["owner_id"]))

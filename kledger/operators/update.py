@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kledger.functions import text as X
 from kledger.operators.ingest import confidence_of
+from kledger.session import cut_lineage
 
 BUCKETS = ("reviewed", "superseded", "merged", "conflicts", "skipped")
 
@@ -34,7 +35,7 @@ def decide(rows: DataFrame, known: DataFrame) -> DataFrame:
     the map side, instead of an ordered walk over a hot note.
     """
     body_key = X.evidence_key(F.col("text"))
-    df = rows.withColumn("body_key", body_key).withColumn("key", F.when(F.col("text").isNotNull(), F.concat_ws(":", "prior_id", body_key)))
+    df = cut_lineage(rows).withColumn("body_key", body_key).withColumn("key", F.when(F.col("text").isNotNull(), F.concat_ws(":", "prior_id", body_key)))
     usable = df.filter("prior_status IS NOT NULL AND text IS NOT NULL")
     first = usable.groupBy("key").agg(F.min("seq").alias("first_seq"))
     seen = known.select(F.col("key").alias("_k")).distinct()

@@ -162,7 +162,7 @@ def eval_rows(spark: SparkSession, sf: str) -> DataFrame:
         .selectExpr(
             "item_id", "concat('q', cast(item_id as string)) AS qid", "concat('c', cast(c + 1 as string)) AS condition",
             "element_at(array('single_hop', 'multi_hop', 'temporal', 'unanswerable'), cast(item_id % 4 + 1 as int)) AS qtype",
-            "CASE WHEN k % 9 = 0 THEN 'No answer found.' WHEN k % 7 = 0 THEN NULL WHEN k % 2 = 0 THEN concat(doc_text, ' [1] [3] ', item_text) ELSE concat(doc_text, ' [2] ') END AS answer",
+            "CASE WHEN k % 9 = 0 THEN '资料未提及。' WHEN k % 7 = 0 THEN NULL WHEN k % 2 = 0 THEN concat(doc_text, ' [1] [3] ', item_text) ELSE concat(doc_text, ' [2] ') END AS answer",
             "CASE WHEN item_id % 4 = 3 THEN array() ELSE array(substr(item_text, 1, 12), substr(item_text, 21, 12), substr(item_text, 41, 12)) END AS gold_points",
             "cast(floor(value * 100) as bigint) AS input_tokens", "cast(floor(value * 10) as bigint) AS output_tokens",
             "value * 7 AS latency_ms",

@@ -17,6 +17,7 @@ from kledger.plans import oracle_base as ob
 from kledger.plans.fn import BASE_SQL, SPECIFICS_SQL, slug_sql
 from kledger.plans.oracle_base import cosine, nid, ts, twin
 from kledger.plans.registry import query
+from kledger.session import cut_lineage
 from kledger.sources import pages as PG
 
 # ---- evidence fixture ------------------------------------------------------------------------------
@@ -404,7 +405,7 @@ def upd_01(spark, sf):
 
 def update_batch(spark, sf):
     """Comparisons as a batch: every tenth one comes twice, every twelfth note gets a second piece of evidence."""
-    c = compared(spark, sf).select("d", "prior_id", "status", F.col("evidence_text").alias("text"), "suggested_action", "guard", "source_url", "content_hash")
+    c = cut_lineage(compared(spark, sf).select("d", "prior_id", "status", F.col("evidence_text").alias("text"), "suggested_action", "guard", "source_url", "content_hash"))
     first = c.withColumn("seq", F.col("d"))
     again = c.filter("d % 10 = 0").withColumn("seq", F.col("d") + 100_000_000)
     second = c.filter("d % 12 = 0").withColumn("seq", F.col("d") + 200_000_000).withColumn("text", F.concat("text", F.lit(" more")))

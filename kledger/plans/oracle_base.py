@@ -161,7 +161,7 @@ cte(
     "eval_rows",
     """SELECT item_id, 'q' || item_id::VARCHAR AS qid, 'c' || (c + 1)::VARCHAR AS condition,
   ['single_hop', 'multi_hop', 'temporal', 'unanswerable'][item_id % 4 + 1] AS qtype,
-  CASE WHEN k % 9 = 0 THEN 'No answer found.' WHEN k % 7 = 0 THEN NULL WHEN k % 2 = 0 THEN doc_text || ' [1] [3] ' || item_text ELSE doc_text || ' [2] ' END AS answer,
+  CASE WHEN k % 9 = 0 THEN '资料未提及。' WHEN k % 7 = 0 THEN NULL WHEN k % 2 = 0 THEN doc_text || ' [1] [3] ' || item_text ELSE doc_text || ' [2] ' END AS answer,
   CASE WHEN item_id % 4 = 3 THEN []::VARCHAR[] ELSE [substr(item_text, 1, 12), substr(item_text, 21, 12), substr(item_text, 41, 12)] END AS gold_points,
   floor(value * 100)::BIGINT AS input_tokens, floor(value * 10)::BIGINT AS output_tokens, value * 7 AS latency_ms,
   CASE WHEN c IN (0, 3) THEN floor(value)::BIGINT % 6 END AS fresh_search_count,
