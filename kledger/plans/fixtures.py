@@ -10,8 +10,18 @@ from kledger.sources.pages import main_text
 NOW = "2025-01-01 00:00:00"
 
 
+# Tables whose rows carry long texts: worth spreading when they arrive in fewer pieces than there are cores.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """One of the given tables. A text table stored as one small file would keep all per-row work in one task, so
+    it is spread over the cores; a table that is already in many pieces is left as it is."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def nid(expr: str) -> str:

@@ -27,9 +27,11 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """A stream over the Parquet files at ``path``, with the schema of what is there."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1, only: str | None = None) -> DataFrame:
+    """A stream over the Parquet files in the folder ``path`` (those named ``only``), with the schema of what is there."""
+    schema = spark.read.parquet(f"{path}/{only}" if only else path).schema
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return (r.option("pathGlobFilter", only) if only else r).parquet(path)
 
 
 def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], folder: str, mode: str = "append") -> None:
