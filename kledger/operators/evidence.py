@@ -81,12 +81,16 @@ def fact_tokens(texts: DataFrame, owner: str = "owner_id", column: str = "text")
     rows = texts.select(owner, F.posexplode(F.arrays_zip(found.alias("m"), F.slice(F.concat(F.array(F.lit("")), found), 1, F.greatest(F.size(found), F.lit(1))).alias("before"))).alias("pos", "z"))
     rows = rows.select(owner, "pos", F.col("z.m").alias("m"), F.col("z.before").alias("before")).filter("m IS NOT NULL")
     part = [F.regexp_extract("m", f"^{TOKEN}$".replace("^(?s)", "(?s)^"), g) for g in range(1, 8)]
-    rows = rows.select(owner, "pos", "before", *[p.alias(n) for p, n in zip(part, ("_prefix", *KINDS, "_unit"), strict=True)])
+    # generating the parts as one row keeps each pattern at one evaluation; a plain projection would be merged into
+    # the expressions below and run its patterns once per branch
+    parts = F.struct(*[p.alias(n) for p, n in zip(part, ("_prefix", *KINDS, "_unit"), strict=True)])
+    rows = rows.select(owner, "pos", "before", F.inline(F.array(parts)))
     kind = F.when(F.col("date") != "", "date").when(F.col("chapter") != "", "chapter").when(F.col("version") != "", "version").when(F.col("percent") != "", "percent").otherwise("number")
     raw = F.when(F.col("date") != "", F.col("date")).when(F.col("chapter") != "", F.col("chapter")).when(F.col("version") != "", F.col("version")).when(F.col("percent") != "", F.col("percent")).otherwise(F.col("number"))
     word = F.regexp_extract(F.regexp_replace(F.concat("before", "_prefix"), r"\s+$", ""), WORD_END, 0)
     word = F.regexp_replace(word, "^-+|-+$", "")
-    rows = rows.select(owner, "pos", kind.alias("kind"), raw.alias("raw"), F.lower("_unit").alias("unit"), F.right(word, F.lit(CONTEXT_CHARS)).alias("context"))
+    token = F.struct(kind.alias("kind"), raw.alias("raw"), F.lower("_unit").alias("unit"), F.right(word, F.lit(CONTEXT_CHARS)).alias("context"))
+    rows = rows.select(owner, "pos", F.inline(F.array(token)))
     rows = rows.withColumn("value", _value(F.col("kind"), F.col("raw")))
     slot = F.when(F.col("kind") == "number", F.concat_ws(":", "kind", "unit", "context")).otherwise(F.concat_ws(":", "kind", "context"))
     rows = rows.withColumn("slot", slot)
