@@ -208,12 +208,11 @@ def udf_02(spark, sf):
     return EV.apply_judgements(compared(spark, sf), judged(spark, sf)).groupBy("final_verdict").agg(F.count("*").alias("n"))
 
 
-@query("VER-09", """SELECT event_id, round(floor, 6) AS floor, round(consistent, 6) AS consistent, round(least(consistent, greatest(floor, s)), 6) AS supersede FROM (SELECT event_id, s, f AS floor, greatest(f, least(1.0::DOUBLE, greatest(0.0::DOUBLE, c))) AS consistent FROM (
+@query("VER-09", """SELECT event_id, floor, consistent, least(consistent, greatest(floor, s)) AS supersede FROM (SELECT event_id, s, f AS floor, greatest(f, least(1.0::DOUBLE, greatest(0.0::DOUBLE, c))) AS consistent FROM (
  SELECT event_id, least(1.0::DOUBLE, greatest(0.0::DOUBLE, value / 512 - 0.25::DOUBLE)) AS f, value / 64 - 0.5::DOUBLE AS c, value / 16 - 1::DOUBLE AS s FROM events))""")
 def ver_09(spark, sf):
     e = fx.table(spark, sf, "events").select("event_id", (F.col("value") / 512 - 0.25).alias("f"), (F.col("value") / 64 - 0.5).alias("c"), (F.col("value") / 16 - 1).alias("s"))
-    out = e.select("event_id", *EV.normalized_columns(F.col("f"), F.col("c"), F.col("s")))
-    return out.select("event_id", *[F.round(c, 6).alias(c) for c in ("floor", "consistent", "supersede")])
+    return e.select("event_id", *EV.normalized_columns(F.col("f"), F.col("c"), F.col("s")))
 
 
 @query("JN-14", twin("SELECT pair_id, CASE WHEN source_url <> '' AND source_url = src_url THEN src_url END AS url, CASE WHEN source_url <> '' AND source_url = src_url THEN src_hash END AS prior_hash FROM ev_pairs", "ev_pairs"))
