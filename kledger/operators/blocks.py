@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_QUERIES = 4096
-ITEM_BLOCK, QUERY_BLOCK = 8192, 1024
+ITEM_BLOCK, QUERY_BLOCK, SLICE = 8192, 1024, 2048
 OUT = "qid string, item_id string, score double"
 
 
@@ -87,22 +87,26 @@ def _block(q: pd.DataFrame, items: pd.DataFrame, score: Callable, n: int, floor:
     cols = ["qid", "item_id", "score"]
     if not len(q) or not len(items):
         return pd.DataFrame(columns=cols)
-    ids = items["item_id"].to_numpy(dtype=str)
-    m = score(q, items)
-    return pd.DataFrame([(qid, ids[j], float(m[i, j])) for i, qid in enumerate(q["qid"]) for j in _pick(m[i], ids, n, floor, by_id)], columns=cols)
+    out = []
+    for lo in range(0, len(items), SLICE):  # keeps the score matrix of a task small, whatever the batch size
+        part = items.iloc[lo : lo + SLICE]
+        ids = part["item_id"].to_numpy(dtype=str)
+        m = score(q, part)
+        out += [(qid, ids[j], float(m[i, j])) for i, qid in enumerate(q["qid"]) for j in _pick(m[i], ids, n, floor, by_id)]
+    return pd.DataFrame(out, columns=cols)
 
 
 def _sorted(df: pd.DataFrame, by_id: bool) -> pd.DataFrame:
     return df.sort_values("item_id") if by_id else df.sort_values(["score", "item_id"], ascending=[False, True])
 
 
-def top_matches(items: DataFrame, queries: DataFrame, score: Callable, n: int, floor: float = -0.5, by_id: bool = False, force_grid: bool = False) -> DataFrame:
+def top_matches(items: DataFrame, queries: DataFrame, score: Callable, n: int, floor: float = -0.5, by_id: bool = False, force_grid: bool = False, max_queries: int | None = None) -> DataFrame:
     """(qid, item_id, score, rank): the best ``n`` items per query with a score of at least ``floor``.
 
     ``items`` starts with item_id, ``queries`` with qid; the other columns are what ``score`` reads. ``by_id``
     keeps the first ``n`` item ids above the floor instead of the best scores.
     """
-    rows = None if force_grid else bounded_rows(queries, MAX_BROADCAST_QUERIES)
+    rows = None if force_grid else bounded_rows(queries, max_queries or MAX_BROADCAST_QUERIES)
     if rows is not None:
         shared = items.sparkSession.sparkContext.broadcast(pd.DataFrame([r.asDict() for r in rows], columns=queries.columns))
 

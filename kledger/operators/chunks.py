@@ -61,5 +61,5 @@ def chunk_search(chunk_table: DataFrame, queries: DataFrame, k: int = 5, mode: s
     enc = V.encoder()
     qs = queries.select("qid", enc(F.col("q")).alias("v"), X.bigram_set(F.col("q")).alias("grams"))
     items = chunk_table.select(F.col("chunk_id").alias("item_id"), enc(F.concat_ws("\n", "title", "text")).alias("v"), X.bigram_set(F.col("text")).alias("grams"))
-    out = top_matches(items, qs, score_hybrid if mode == "hybrid" else score_cosine, k, -2.0, force_grid=force_grid)
+    out = top_matches(items, qs, score_hybrid if mode == "hybrid" else score_cosine, k, -2.0, force_grid=force_grid, max_queries=512)
     return out.withColumnRenamed("item_id", "chunk_id")

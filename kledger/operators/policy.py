@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kledger.functions import vectors as V
-from kledger.operators.blocks import ITEM_BLOCK, MAX_BROADCAST_QUERIES, QUERY_BLOCK, bounded_rows, score_cosine
+from kledger.operators.blocks import ITEM_BLOCK, MAX_BROADCAST_QUERIES, QUERY_BLOCK, SLICE, bounded_rows, score_cosine
 
 # Limits of each mode (prior_k, prior_max_chars, max_fresh_searches, max_steps, min_fresh_sources).
 LIMITS = {"simple": (3, 1200, 0, 3, 0), "update": (5, 4000, 2, 6, 1), "deep": (5, 4000, 4, 12, 0)}
@@ -24,8 +24,11 @@ def count_similar(items: DataFrame, queries: DataFrame, flags: list[str], floor:
     def block(q: pd.DataFrame, it: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(it):
             return pd.DataFrame(columns=["qid", *flags])
-        near = (np.minimum(score_cosine(q, it), 1.0) >= floor).astype(np.float64)
-        sums = (near @ it[flags].to_numpy(dtype=np.float64)).astype(np.int64)
+        sums = np.zeros((len(q), len(flags)), dtype=np.int64)
+        for lo in range(0, len(it), SLICE):
+            part = it.iloc[lo : lo + SLICE]
+            near = (np.minimum(score_cosine(q, part), 1.0) >= floor).astype(np.float64)
+            sums += (near @ part[flags].to_numpy(dtype=np.float64)).astype(np.int64)
         return pd.DataFrame({"qid": q["qid"].to_numpy(), **{f: sums[:, i] for i, f in enumerate(flags)}})
 
     rows = bounded_rows(queries, MAX_BROADCAST_QUERIES)

@@ -37,6 +37,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        target = sc.getConf().get("spark.checkpoint.dir")
+        target = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(target or tempfile.mkdtemp(prefix="kledger-checkpoint-"))
     return df.checkpoint(eager=True)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kledger.operators.skew import previous
+
 DISPLAY_CHARS = 8000
 
 # What is dropped, what breaks a line, and the character references that are decoded.
@@ -74,10 +76,7 @@ def latest_by_url(snaps: DataFrame) -> DataFrame:
 
 
 def change_points(snaps: DataFrame) -> DataFrame:
-    """Rows whose hash differs from the previous snapshot of the same URL."""
-    w = Window.partitionBy("url").orderBy("fetched_at", "content_hash")
-    return (
-        snaps.withColumn("previous_hash", F.lag("content_hash").over(w))
-        .filter(F.col("previous_hash").isNotNull() & (F.col("previous_hash") != F.col("content_hash")))
-        .select("url", "fetched_at", "previous_hash", "content_hash")
-    )
+    """Rows whose hash differs from the previous snapshot of the same URL. A much-fetched URL is cut by month."""
+    timed = snaps.withColumn("_t", F.unix_micros("fetched_at"))
+    seen = previous(timed, ["url"], ["_t", "content_hash"], {"previous_hash": F.col("content_hash")}, width=30 * 86_400_000_000)
+    return seen.filter("previous_hash IS NOT NULL AND previous_hash <> content_hash").select("url", "fetched_at", "previous_hash", "content_hash")

@@ -23,7 +23,7 @@ from kledger.sources.pages import latest_by_url
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's checkpoint folder; a local one only where none is named."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kledger-stream-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kledger-stream-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 

@@ -27,7 +27,7 @@ def test_phrase_join_equals_scan(spark, sf):
 
 def test_overlapping_phrases_are_counted_alike(spark):
     n = spark.createDataFrame([("a", "hahahaha", "Ha.ha (x) \\E ha")], "note_id string, title string, body string")
-    q = spark.createDataFrame([("1", "haha"), ("2", "(x)"), ("3", "\\E "), ("4", "a.h")], "qid string, q string")
+    q = spark.createDataFrame([("1", "haha"), ("2", "(x)"), ("3", "\\E ha"), ("4", "a.h")], "qid string, q string")
     scan = rows(R.phrase_hits(n, q))
     assert [r[2] for r in scan] == [3, 1, 1, 1]
     assert scan == rows(R.phrase_hits(n, q, force_join=True))
