@@ -87,7 +87,9 @@ def fact_tokens(texts: DataFrame, owner: str = "owner_id", column: str = "text")
     rows = rows.select(owner, "pos", "before", F.inline(F.array(parts)))
     kind = F.when(F.col("date") != "", "date").when(F.col("chapter") != "", "chapter").when(F.col("version") != "", "version").when(F.col("percent") != "", "percent").otherwise("number")
     raw = F.when(F.col("date") != "", F.col("date")).when(F.col("chapter") != "", F.col("chapter")).when(F.col("version") != "", F.col("version")).when(F.col("percent") != "", F.col("percent")).otherwise(F.col("number"))
-    word = F.regexp_extract(F.regexp_replace(F.concat("before", "_prefix"), r"\s+$", ""), WORD_END, 0)
+    # the context is at most six characters before the token, so only the tail is searched
+    tail = F.right(F.rtrim(F.concat("before", "_prefix"), F.lit(" \t\n\r\f\x0b")), F.lit(64))
+    word = F.regexp_extract(tail, WORD_END, 0)
     word = F.regexp_replace(word, "^-+|-+$", "")
     token = F.struct(kind.alias("kind"), raw.alias("raw"), F.lower("_unit").alias("unit"), F.right(word, F.lit(CONTEXT_CHARS)).alias("context"))
     rows = rows.select(owner, "pos", F.inline(F.array(token)))

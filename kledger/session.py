@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,4 +40,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         target = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(target or tempfile.mkdtemp(prefix="kledger-checkpoint-"))
-    return df.checkpoint(eager=True)
+    # a checkpoint runs its input once to count it and once to write it; held rows make the second run a copy
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()
