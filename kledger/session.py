@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +29,26 @@ def build_session(app: str = "kledger", master: str | None = None, shuffle_parti
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if master and master.startswith("local"):
         b = b.config("spark.driver.memory", os.environ.get("KLEDGER_DRIVER_MEMORY", "12g"))
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship_code(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send the package to the executors (once per application), so that tasks can import it wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="kledger-code-")) / "kledger_code.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(target))
+    _SHIPPED.add(sc.applicationId)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
