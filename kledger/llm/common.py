@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder. It is computed once, and lost executors do not take it with them."""
     path = fresh_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PLACES[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_PLACES: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no later plan reads."""
+    for df in tables:
+        ref, path = _PLACES.pop(id(df), (None, None))
+        if ref is not None and ref() is df:
+            jvm = df.sparkSession._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def fresh_name(df: DataFrame, *names: str) -> list[str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kledger.llm import chosen_path, likelihood, packing, sharding, warc
+from kledger.llm import chosen_path, likelihood, packing, repeats, sharding, warc
 from kledger.llm.common import fresh_folder, utf8_size
 from kledger.session import ship_code
 
@@ -71,6 +71,25 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+g AS (SELECT doc_id, i, substr(x, (2 * i + 1)::INT, 200) AS s FROM d, LATERAL (SELECT unnest(range(0, greatest(n - 99, 0))) AS i)),
+m AS (SELECT doc_id, i, row_number() OVER (PARTITION BY md5_number(s) ORDER BY doc_id, i) AS k FROM g),
+c AS (SELECT doc_id, i, max(CASE WHEN k > 1 THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM (
+  SELECT doc_id, i, k FROM m UNION ALL SELECT doc_id, unnest(range(greatest(n - 99, 0), n)), 1 FROM d)),
+r AS (SELECT doc_id, i, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS head FROM c),
+a AS (SELECT r.doc_id, count_if(gone) AS n_removed, count_if(head) AS n_spans,
+  string_agg(CASE WHEN gone THEN '' ELSE substr(d.x, (2 * i + 1)::INT, 2) END, '' ORDER BY i) AS kept FROM r JOIN d ON d.doc_id = r.doc_id GROUP BY r.doc_id)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
+
+@query("op8_suffix_array_dedup", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op9_likelihood_rules")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = likelihood.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
