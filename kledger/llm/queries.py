@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kledger.llm import chosen_path, likelihood, packing, repeats, sharding, warc
+from kledger.llm import chosen_path, graph_ann, langid, likelihood, packing, repeats, sharding, warc
 from kledger.llm.common import fresh_folder, utf8_size
 from kledger.session import ship_code
 
@@ -71,6 +71,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+@query("op6_language_crf")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op7_pruned_graph_search")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return graph_ann.nearest(rows, rows.filter("vec_id % 50 = 0"), 5)
+
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 g AS (SELECT doc_id, i, substr(x, (2 * i + 1)::INT, 200) AS s FROM d, LATERAL (SELECT unnest(range(0, greatest(n - 99, 0))) AS i)),
