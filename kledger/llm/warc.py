@@ -42,12 +42,17 @@ def base32_of_hex(digest: Column) -> Column:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, payload, payload_bytes, digest, leader)``; ``leader`` is the largest id with the same payload."""
+    """``(page_id, url, payload, payload_bytes, digest)`` of every page."""
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("digest", base32_of_hex(F.sha1("payload")))
-    lead = rows.groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("leader"))
-    return rows.join(lead, ["digest", "payload_bytes"])
+    return rows.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("digest", base32_of_hex(F.sha1("payload")))
+
+
+def leaders(rows: DataFrame) -> DataFrame:
+    """``(page_id, digest, leader)``: the largest page id with the same payload. No payload is moved for it."""
+    meta = rows.select("page_id", "digest", "payload_bytes")
+    lead = meta.groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("leader"))
+    return meta.join(lead, ["digest", "payload_bytes"]).select("page_id", "digest", "leader")
 
 
 def _shard_starts(pages: DataFrame, n_shards: int) -> np.ndarray:
@@ -71,10 +76,10 @@ def _sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_bytes(page: int | None, url: str | None, payload: bytes, digest: str, size: int, leader: int | None) -> bytes:
+def record_bytes(page: int | None, url: str | None, payload: bytes, digest: str, leader: int | None) -> bytes:
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{'none' if page is None else page}"
     own = page == leader
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if own else http
     fields = [("WARC-Record-ID", _name(page)), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{_sha1(block)}"), ("Content-Type", "application/http; msgtype=response")]
     if not own:
@@ -126,23 +131,32 @@ def write_warc(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll
         return pd.Series(np.searchsorted(starts, ids.to_numpy(np.int64), side="right").astype(np.int32))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        roll, done = None, []
+        roll, done, known, lead = None, [], None, None
         for f in frames:
-            for shard, page, none, url, payload, digest, size, leader in zip(f["shard"], f["page_id"], f["page_id"].isna(), f["url"], f["payload"], f["digest"], f["payload_bytes"], f["leader"], strict=True):
-                page = None if none else int(page)
+            for shard, page, digest, url, payload, leader in zip(f["shard"], f["page_id"], f["digest"], f["url"], f["payload"], f["leader"], strict=True):
+                page = None if page is None else int(page)
+                if payload is None:
+                    known, lead = (page, digest), None if leader is None else int(leader)
+                    continue
+                if known != (page, digest):
+                    raise ValueError(f"page {page} came without its leader")
                 if roll and (roll.shard != shard or roll.bytes >= roll_bytes):
                     done.append(roll.close())
                     roll = _Roll(uri, int(shard), roll.part + 1 if roll.shard == shard else 0)
                 roll = roll or _Roll(uri, int(shard), 0)
-                roll.add(page, record_bytes(page, url, bytes(payload), digest, int(size), None if pd.isna(leader) else int(leader)))
+                roll.add(page, record_bytes(page, url, bytes(payload), digest, lead))
         if roll:
             done.append(roll.close())
         yield pd.DataFrame(done, columns=[c.split()[0] for c in MANIFEST.split(", ")]).astype({"first_page": "Int64", "last_page": "Int64"})
 
-    shard = shard_of(F.coalesce("page_id", F.lit(-(1 << 63))))
-    dealt = rows.withColumn("shard", shard).repartition(int(n_shards), "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    # a page's leader travels just before its payload, so payloads are shuffled once
     # pandas turns a null long into a float, so ids cross as text
-    manifest = written(dealt.select("shard", F.col("page_id").cast("string").alias("page_id"), "url", "payload", "digest", "payload_bytes", F.col("leader").cast("string").alias("leader")).mapInPandas(run, MANIFEST), "warc-manifest")
+    tell = leaders(rows).withColumns({"url": F.lit(None).cast("string"), "payload": F.lit(None).cast("binary")})
+    bear = rows.withColumn("leader", F.lit(None).cast("bigint"))
+    both = tell.select("page_id", "digest", "url", "payload", "leader").unionByName(bear.select("page_id", "digest", "url", "payload", "leader"))
+    shard = shard_of(F.coalesce("page_id", F.lit(-(1 << 63))))
+    dealt = both.withColumn("shard", shard).withColumn("bears", F.col("payload").isNotNull()).repartition(int(n_shards), "shard").sortWithinPartitions("shard", "page_id", "digest", "bears", "url")
+    manifest = written(dealt.select("shard", F.col("page_id").cast("string").alias("page_id"), "digest", "url", "payload", F.col("leader").cast("string").alias("leader")).mapInPandas(run, MANIFEST), "warc-manifest")
     manifest.write.mode("overwrite").json(f"{root}/_manifest")
     return manifest
 
