@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kledger.llm import chosen_path, graph_ann, langid, likelihood, packing, repeats, sharding, warc
+from kledger.llm import chosen_path, graph_ann, langid, likelihood, mixing, packing, repeats, sharding, warc, weak_labels
 from kledger.llm.common import fresh_folder, utf8_size
 from kledger.session import ship_code
 
@@ -44,6 +44,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("record.doc_id", "record.size", "record.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op2_weak_label_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.classify(table(spark, sf_dir, "documents"))
+
+
 @query("op3_pack_best_fit")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -71,6 +76,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+@query("op5_soft_mixing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = mixing.mix(docs, table(spark, sf_dir, "labels"))
+    return rated.select("record.doc_id", "n_tokens", "domain", "posterior", "rate", "copies")
+
+
 @query("op6_language_crf")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
