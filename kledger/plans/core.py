@@ -101,10 +101,10 @@ def flt_01(spark, sf):
     return S.by_status(notes(spark, sf)).select("note_id", "title")
 
 
-@query("FLT-04", twin("SELECT n.note_id, p.url, n.src_hash = p.content_hash AS exact FROM notes n JOIN page_versions p ON p.url = n.src_url WHERE p.page_id % 5 = 0", "notes", "page_versions"))
+@query("FLT-04", twin("SELECT n.note_id, p.url, n.src_hash = p.content_hash AS exact FROM notes n JOIN page_versions p ON p.url = n.src_url", "notes", "page_versions"))
 def flt_04(spark, sf):
     cited = fx.notes(spark, sf).select("note_id", F.explode("sources").alias("s")).select("note_id", "s.url", F.col("s.content_hash").alias("recorded"))
-    urls = fx.page_versions(spark, sf).filter("page_id % 5 = 0").select("url", "content_hash")
+    urls = fx.page_versions(spark, sf).select("url", "content_hash")
     return cited.join(urls, "url").select("note_id", "url", (F.col("recorded") == F.col("content_hash")).alias("exact"))
 
 
@@ -249,9 +249,9 @@ def ag_17(spark, sf):
 
 
 # ---- ids, history, snapshots -----------------------------------------------------------------------
-@query("WN-10", twin(f"SELECT doc_id, {nid('(SELECT max(doc_id) FROM documents) + row_number() OVER (ORDER BY source, doc_id)')} AS new_id FROM documents WHERE doc_id % 10 = 3"))
+@query("WN-10", twin(f"SELECT doc_id, {nid('(SELECT max(doc_id) FROM documents) + row_number() OVER (ORDER BY source, doc_id)')} AS new_id FROM documents"))
 def wn_10(spark, sf):
-    rows = fx.table(spark, sf, "documents").filter("doc_id % 10 = 3").select("source", "doc_id")
+    rows = fx.table(spark, sf, "documents").select("source", "doc_id")
     return S.allocate_ids(rows, ["source", "doc_id"], notes(spark, sf), digits=6).select("doc_id", "new_id")
 
 
@@ -433,19 +433,18 @@ def lnt_01(spark, sf):
 
 
 def page_texts(spark, sf):
-    """The notes a page is written from: those of the documents it lists."""
-    docs = fx.table(spark, sf, "documents").select(F.concat(F.lit("P-"), "source").alias("page_id"), "doc_id", F.substring("text", 1, 240).alias("text"))
-    return top_rows(docs, ["page_id"], ["doc_id"], 20).select("page_id", F.expr(fx.nid("doc_id")).alias("note_id"), "text")
+    """The notes a page is written from: its document's, and the one 37 further on."""
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text", F.explode(F.array(F.col("doc_id"), F.col("doc_id") - 37)).alias("page"))
+    return docs.filter("page >= 0").select(F.concat(F.lit("P-"), F.col("page").cast("string")).alias("page_id"), F.expr(fx.nid("doc_id")).alias("note_id"), "text")
 
 
 _grams = r"CASE WHEN length(w) >= 2 THEN list_distinct(list_transform(range(1, length(w)), lambda i: substr(w, i, 2))) WHEN w <> '' THEN [w] ELSE [] END"
-ob.cte("page_texts", f"SELECT page_id, note_id, {_grams} AS g FROM (SELECT 'P-' || source AS page_id, {nid('doc_id')} AS note_id, regexp_replace(substr(text, 1, 240), '\\s+', '', 'g') AS w, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 20")
+ob.cte("page_texts", f"SELECT page_id, note_id, {_grams} AS g FROM (SELECT 'P-' || page::VARCHAR AS page_id, {nid('doc_id')} AS note_id, regexp_replace(text, '\\s+', '', 'g') AS w FROM (SELECT doc_id, text, unnest([doc_id, doc_id - 37]) AS page FROM documents) WHERE page >= 0)")
 ob.cte(
     "best_notes",
-    f"""SELECT page_id, line_no, note_id, score FROM (SELECT l.page_id, l.line_no, t.note_id, len(list_intersect(l.g, t.g))::DOUBLE / least(len(l.g), len(t.g)) AS score,
-   row_number() OVER (PARTITION BY l.page_id, l.line_no ORDER BY len(list_intersect(l.g, t.g))::DOUBLE / least(len(l.g), len(t.g)) DESC, t.note_id) AS rn
-  FROM (SELECT page_id, line_no, {_grams} AS g FROM (SELECT page_id, line_no, regexp_replace(line, '\\s+', '', 'g') AS w FROM assertions WHERE NOT cited)) l JOIN page_texts t USING (page_id)
-  WHERE len(l.g) > 0 AND len(t.g) > 0 AND len(list_intersect(l.g, t.g)) > 0) WHERE rn = 1""",
+    f"""SELECT page_id, line_no, note_id, score FROM (SELECT page_id, line_no, note_id, n_both::DOUBLE / least(nl, nt) AS score, row_number() OVER (PARTITION BY page_id, line_no ORDER BY n_both::DOUBLE / least(nl, nt) DESC, note_id) AS rn
+  FROM (SELECT l.page_id, l.line_no, t.note_id, l.n AS nl, t.n AS nt, count(*) AS n_both FROM (SELECT page_id, line_no, len(g) AS n, unnest(g) AS gram FROM (SELECT page_id, line_no, {_grams} AS g FROM (SELECT page_id, line_no, regexp_replace(line, '\\s+', '', 'g') AS w FROM assertions WHERE NOT cited))) l
+   JOIN (SELECT page_id, note_id, len(g) AS n, unnest(g) AS gram FROM page_texts) t USING (page_id, gram) GROUP BY ALL)) WHERE rn = 1""",
     "assertions", "page_texts", materialized=True,
 )
 
@@ -472,10 +471,10 @@ def lnt_04(spark, sf):
     return L.ensure_links(fixed, wanted).select("id", F.md5("body").alias("body_md5"))
 
 
-@query("LNT-05", twin(f"SELECT 'P-' || source AS page_id, md5('# ' || source || chr(10) || string_agg('- ' || substr(text, 1, 100) || '（' || {nid('doc_id')} || '）', chr(10) ORDER BY doc_id)) AS page_md5 FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 20 GROUP BY source"))
+@query("LNT-05", twin(f"SELECT 'P-' || page::VARCHAR AS page_id, md5('# ' || page::VARCHAR || chr(10) || string_agg('- ' || text || '（' || {nid('doc_id')} || '）', chr(10) ORDER BY doc_id)) AS page_md5 FROM (SELECT doc_id, text, unnest([doc_id, doc_id - 37]) AS page FROM documents) WHERE page >= 0 GROUP BY page"))
 def lnt_05(spark, sf):
-    t = page_texts(spark, sf).withColumn("item", F.concat(F.lit("- "), F.substring("text", 1, 100), F.lit("（"), "note_id", F.lit("）")))
-    g = t.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("note_id", "item"))).alias("xs"))  # at most 20 items per page
+    t = page_texts(spark, sf).withColumn("item", F.concat(F.lit("- "), F.col("text"), F.lit("（"), "note_id", F.lit("）")))
+    g = t.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("note_id", "item"))).alias("xs"))  # two items per page at most
     return g.select("page_id", F.md5(F.concat(F.lit("# "), F.substring("page_id", 3, 100), F.lit("\n"), F.array_join("xs.item", "\n"))).alias("page_md5"))
 
 

@@ -98,16 +98,9 @@ def snapshot_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wiki_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """One page per source: a heading, a fenced block, and the first line of up to 20 of its documents."""
-    docs = table(spark, sf, "documents").selectExpr("source", "doc_id", r"trim(substr(split(text, '\n')[0], 1, 200)) AS line")
-    from pyspark.sql import Window
-
-    ranked = docs.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter("rn <= 20")
-    lines = ranked.withColumn("line", F.expr(f"CASE WHEN rn % 3 = 0 THEN line ELSE concat(line, ' ', {nid('doc_id')}) END"))
-    return lines.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("rn", "line"))).alias("ls")).select(
-        F.concat(F.lit("P-"), F.col("source")).alias("page_id"),
-        F.concat(F.lit("# "), F.col("source"), F.lit("\n```\ncode line\n```\n"), F.array_join(F.col("ls.line"), "\n")).alias("body"),
-    )
+    """One page per document: a heading, a fenced block, and all its lines; of three lines one may cite its note and one the next note."""
+    lines = rf"array_join(transform(split(text, '\n'), (x, i) -> CASE WHEN (i + 1) % 3 = 1 AND doc_id % 5 <> 0 THEN concat(x, ' ', {nid('doc_id')}) WHEN (i + 1) % 3 = 2 AND doc_id % 7 = 0 THEN concat(x, ' ', {nid('doc_id + 1')}) ELSE x END), '\n')"
+    return table(spark, sf, "documents").selectExpr("concat('P-', cast(doc_id as string)) AS page_id", rf"concat('# ', source, '\n```\ncode line\n```\n', {lines}) AS body")
 
 
 def phrase_queries(spark: SparkSession, sf: str) -> DataFrame:

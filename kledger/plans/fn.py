@@ -24,17 +24,17 @@ def slug_sql(x: str) -> str:
     return f"CASE WHEN {s} <> '' THEN {s} ELSE 'e-' || substr(sha1({x}), 1, 8) END"
 
 
-@query("FN-01", twin(f"SELECT doc_id, {slug_sql('substr(text, 1, 40)')} AS slug, {slug_sql('source')} AS source_slug, {slug_sql(chr(39) + '?!' + chr(39) + ' || chr(233)')} AS empty_slug FROM documents"))
+@query("FN-01", twin(f"SELECT doc_id, {slug_sql('text')} AS slug, {slug_sql('source')} AS source_slug, {slug_sql(chr(39) + '?!' + chr(39) + ' || chr(233)')} AS empty_slug FROM documents"))
 def fn_01(spark, sf):
     return docs(spark, sf).select(
-        "doc_id", X.slugify(F.substring("text", 1, 40)).alias("slug"), X.slugify(F.col("source")).alias("source_slug"),
+        "doc_id", X.slugify(F.col("text")).alias("slug"), X.slugify(F.col("source")).alias("source_slug"),
         X.slugify(F.lit("?!é")).alias("empty_slug"),
     )
 
 
-@query("FN-02", "SELECT doc_id, lower(trim(substr(text, 1, 30))) AS alias_key FROM documents")
+@query("FN-02", "SELECT doc_id, lower(trim(text)) AS alias_key FROM documents")
 def fn_02(spark, sf):
-    return docs(spark, sf).select("doc_id", X.alias_key(F.substring("text", 1, 30)).alias("alias_key"))
+    return docs(spark, sf).select("doc_id", X.alias_key(F.col("text")).alias("alias_key"))
 
 
 _ENUM_IN = "CASE doc_id % 5 WHEN 0 THEN ' HIGH ' WHEN 1 THEN 'Low' WHEN 2 THEN 'medium' WHEN 3 THEN lang ELSE NULL END"
@@ -45,10 +45,10 @@ def fn_03(spark, sf):
     return docs(spark, sf).withColumn("v", F.expr(_ENUM_IN)).select("doc_id", X.coerce_enum(F.col("v"), ("high", "medium", "low"), "medium").alias("confidence"))
 
 
-@query("FN-04", twin("""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(substr(text, 1, 200) || ',' || source || ';' || upper(source), '[，,、;；/|]+'), lambda x: trim(x)), lambda x: x <> '') AS a FROM documents)
+@query("FN-04", twin("""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text || ',' || source || ';' || upper(source), '[，,、;；/|]+'), lambda x: trim(x)), lambda x: x <> '') AS a FROM documents)
  SELECT doc_id, array_to_string(list_filter(a, lambda x, i: list_position(list_transform(a, lambda y: lower(y)), lower(x)) = i)[1:6], '|') AS entities FROM p"""))
 def fn_04(spark, sf):
-    raw = F.concat(F.substring("text", 1, 200), F.lit(","), F.col("source"), F.lit(";"), F.upper("source"))
+    raw = F.concat(F.col("text"), F.lit(","), F.col("source"), F.lit(";"), F.upper("source"))
     return docs(spark, sf).select("doc_id", F.array_join(X.split_entities(raw), "|").alias("entities"))
 
 

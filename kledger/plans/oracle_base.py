@@ -126,10 +126,8 @@ cte(
 )
 cte(
     "wiki_pages",
-    f"""SELECT 'P-' || source AS page_id, '# ' || source || chr(10) || '```' || chr(10) || 'code line' || chr(10) || '```' || chr(10) || string_agg(
-   CASE WHEN rn % 3 = 0 THEN line ELSE line || ' ' || {nid('doc_id')} END, chr(10) ORDER BY rn) AS body
- FROM (SELECT source, doc_id, trim(substr(split_part(text, chr(10), 1), 1, 200)) AS line, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents)
- WHERE rn <= 20 GROUP BY source""",
+    f"""SELECT 'P-' || doc_id::VARCHAR AS page_id, '# ' || source || chr(10) || '```' || chr(10) || 'code line' || chr(10) || '```' || chr(10)
+   || array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 3 = 1 AND doc_id % 5 <> 0 THEN x || ' ' || {nid('doc_id')} WHEN i % 3 = 2 AND doc_id % 7 = 0 THEN x || ' ' || {nid('doc_id + 1')} ELSE x END), chr(10)) AS body FROM documents""",
     materialized=True,
 )
 cte(
