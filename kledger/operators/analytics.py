@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kledger.functions import text as X
@@ -35,8 +35,9 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[s
     One range-partitioned sort numbers all rows; a percentile reads two of them. Nothing gathers the values
     of a key, as an aggregate over its distinct values would.
     """
-    rows = df.select(*keys, value).filter(F.col(value).isNotNull())
-    placed = global_position(rows, [*keys, value])
+    # equal values are told apart by their place, so a frequent value fills several range partitions
+    rows = df.select(*keys, value).filter(F.col(value).isNotNull()).withColumn("_tie", F.monotonically_increasing_id())
+    placed = global_position(rows, [*keys, value, "_tie"]).drop("_tie")
     size = placed.groupBy(*keys).agg(F.min("pos").alias("_first"), F.count("*").alias("_n"))
     spec = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("p")) for n, p in points.items()]))
     want = size.select(*keys, "_first", "_n", spec.alias("s")).withColumn("_at", F.col("s.p") * (F.col("_n") - 1))
@@ -270,6 +271,3 @@ def reconcile(metrics: DataFrame, ledger: DataFrame) -> DataFrame:
     l = ledger.groupBy("trace_id").agg(F.sum("input_tokens").alias("l_in"), F.sum("output_tokens").alias("l_out"))
     df = metrics.select("trace_id", F.col("input_tokens").alias("m_in"), F.col("output_tokens").alias("m_out")).join(l, "trace_id", "full_outer")
     return df.filter(~(F.col("m_in").eqNullSafe(F.col("l_in")) & F.col("m_out").eqNullSafe(F.col("l_out"))))
-
-
-_ = Window

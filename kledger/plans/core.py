@@ -14,7 +14,7 @@ from kledger.operators import store as S
 from kledger.operators.retrieval import top_rows
 from kledger.plans import fixtures as fx
 from kledger.plans import oracle_base as ob
-from kledger.plans.fn import AGE_SQL, ASSERTION_SQL, BASE_SQL, DECAY_SQL, FINGERPRINT_SQL, HALF_SQL, slug_sql, with_fingerprint
+from kledger.plans.fn import AGE_SQL, ASSERTION_SQL, BASE_SQL, HALF_SQL, slug_sql, with_fingerprint
 from kledger.plans.oracle_base import NOW, nid, ranked_twin, ts, twin
 from kledger.plans.registry import query
 from kledger.plans.ret import chains
@@ -515,6 +515,3 @@ def cf_02(spark, sf):
 @query("CF-03", ranked_twin("SELECT canonical_id, note_id, row_number() OVER (PARTITION BY canonical_id ORDER BY hops DESC, note_id)::BIGINT AS version FROM chains WHERE outcome = 'active'", "chains"))
 def cf_03(spark, sf):
     return CH.version_order(chains(spark, sf))
-
-
-_ = (FINGERPRINT_SQL, DECAY_SQL)

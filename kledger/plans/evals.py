@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kledger.functions import text as X
 from kledger.operators import analytics as A
 from kledger.operators import modelout as M
 from kledger.operators import policy as P
@@ -150,12 +149,9 @@ def trace_sums(ledger):
   sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, round(sum(latency_ms), 4) AS latency_ms, round(count(*) FILTER (step = 'purchase')::DOUBLE / nullif(count(*) FILTER (step IN ('view', 'purchase')), 0), 4) AS citation_coverage FROM token_ledger GROUP BY 1""", "token_ledger"))
 def ag_24(spark, sf):
     t = fx.token_ledger(spark, sf)
-    def part(step, name):
-        return t.filter(F.col("step") == step).groupBy("trace_id").agg(F.count("*").alias(name))
-    df = t.groupBy("trace_id").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.sum("latency_ms"), 4).alias("latency_ms"))
     logs = {"view": "prior_hit_count", "click": "fresh_search_count", "signup": "fresh_fetch_count", "purchase": "notes_created"}
-    for step, name in logs.items():
-        df = df.join(part(step, name), "trace_id", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("bigint"))
+    counts = [F.count_if(F.col("step") == step).alias(name) for step, name in logs.items()]
+    df = t.groupBy("trace_id").agg(*counts, F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.sum("latency_ms"), 4).alias("latency_ms"))
     cov = F.try_divide(F.col("notes_created").cast("double"), (F.col("prior_hit_count") + F.col("notes_created")).cast("double"))
     return df.withColumn("citation_coverage", F.round(cov, 4))
 
@@ -445,9 +441,9 @@ def llm_01(spark, sf):
     return c.select("conv_id", "turn", F.get_json_object(M.first_json(F.col("raw")), "$.k").cast("bigint").alias("k"))
 
 
-@query("UDF-03")
+@query("UDF-03", "SELECT doc_id, 'AB1' || nfc_normalize(text) AS folded FROM documents")
 def udf_03(spark, sf):
-    c = fx.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("ＡＢ①"), F.substring("text", 1, 20)).alias("t"))
+    c = fx.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("ＡＢ①"), "text").alias("t"))
     return c.select("doc_id", M.nfkc(F.col("t")).alias("folded"))
 
 
@@ -525,9 +521,9 @@ def ag_19(spark, sf):
     return s.join(A.exact_percentiles(j, ["all"], "latency_ms", A.P50_95), "all").drop("all")
 
 
-@query("LLM-07", twin("SELECT md5('m1' || content) AS request_hash, arg_min(conv_id * 1000 + turn, conv_id * 1000 + turn) AS seq, count(*)::BIGINT AS n FROM (SELECT conv_id, turn, substr(content, 1, 1) AS content FROM messages) GROUP BY 1", "messages"))
+@query("LLM-07", twin("SELECT md5('m1' || content) AS request_hash, arg_min(conv_id * 1000 + turn, conv_id * 1000 + turn) AS seq, count(*)::BIGINT AS n FROM messages GROUP BY 1", "messages"))
 def llm_07(spark, sf):
-    m = fx.messages(spark, sf).select(F.md5(F.concat(F.lit("m1"), F.substring("content", 1, 1))).alias("request_hash"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("content").alias("response"))
+    m = fx.messages(spark, sf).select(F.md5(F.concat(F.lit("m1"), "content")).alias("request_hash"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("content").alias("response"))
     return M.replay_index(m).select("request_hash", "seq", "n")
 
 
@@ -606,6 +602,3 @@ def pol_04(spark, sf):
 def pol_05(spark, sf):
     e = fx.table(spark, sf, "events").selectExpr("event_id", "cast(floor(value) as bigint) % 4 AS fs", "CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 3 END AS mf")
     return e.select("event_id", P.outcome(F.col("fs"), F.col("mf")).alias("outcome"))
-
-
-_ = (X, request_hash)

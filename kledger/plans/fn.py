@@ -8,7 +8,7 @@ from kledger.functions import temporal as T
 from kledger.functions import text as X
 from kledger.functions import vectors as V
 from kledger.plans import fixtures as fx
-from kledger.plans.oracle_base import ISO_SHAPE, NOW, cosine, days, nid, ts, twin
+from kledger.plans.oracle_base import NOW, cosine, days, nid, ts, twin
 from kledger.plans.registry import query
 
 
@@ -328,6 +328,3 @@ _RAW_IN = "CASE doc_id % 8 WHEN 0 THEN '0.4' WHEN 1 THEN '7' WHEN 2 THEN '-3' WH
 def fn_32(spark, sf):
     r = F.col("r")
     return docs(spark, sf).withColumn("r", F.expr(_RAW_IN)).select("doc_id", X.ratio(r, 0.5).alias("ratio"), X.count_floor(r, 5).alias("n"), X.flag(r, True).alias("flag"))
-
-
-_ = ISO_SHAPE

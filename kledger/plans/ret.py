@@ -25,6 +25,10 @@ ob.nearest("nn_bench", "bench_vec", POOL)
 ob.nearest("nn_phrase", "phrase_vec", POOL)
 ob.hybrid("hy_bench", "kw_bench", "nn_bench", K)
 ob.hybrid("hy_phrase", "kw_phrase", "nn_phrase", K)
+POOL3 = R.pool_size(3)
+ob.keyword("kw_phrase3", "phrase_queries", POOL3)
+ob.nearest("nn_phrase3", "phrase_vec", POOL3)
+ob.hybrid("hy_phrase3", "kw_phrase3", "nn_phrase3", 3)
 ob.hybrid("hy_all", "kw_bench", "nn_bench", 1 << 30)
 ob.keyword("kw_short", "short_queries", POOL)
 
@@ -305,6 +309,6 @@ def udf_01(spark, sf):
     return v.select("note_id", F.size("v").alias("dim"), V.norm2(F.col("v")).alias("norm2"))
 
 
-@query("UDF-04")
+@query("UDF-04", ranked_twin("SELECT qid, rank, note_id, title, score, match_type, redirected_from FROM hy_phrase3", "hy_phrase3"))
 def udf_04(spark, sf):
     return notes(spark, sf).transform(lambda n: R.hybrid_search(fx.phrase_queries(spark, sf), n, chains(spark, sf), fx.NOW, 3))
