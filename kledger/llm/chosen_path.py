@@ -8,9 +8,10 @@ branches again. Two sets of similarity s share a branch with probability s, so `
 a pair of similarity 0.8 with probability 0.2**TREES where nodes are small.
 
 Nodes compare sketches with a wide margin and give loose links (a forest per node, never all pairs). Each
-loose component then compares its members' full sets, and those confirmed links make the result. A node or
-component that stays large is compared in cells with a shared pivot; what that leaves unconnected visits
-every cell of its group, so no link between parts is lost and no task holds more than a cell.
+loose component then compares its members' full sets, and those confirmed links make the result. The first trees
+label what is connected anyway, so later ones leave nodes of one label alone. A large group is cut into cells; what
+stands outside its largest connected part visits every cell, so no link between parts is lost and no task
+holds more than a cell.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kledger.llm.common import LOWER, Words, mix, slices, text_bytes, windows, written
+from kledger.llm.common import LOWER, Words, discard, mix, slices, text_bytes, windows, written
 from kledger.llm.components import components
 
-COORDS, TREES, DEPTH, LEAF = 64, 12, 4, 96
+COORDS, TREES, FIRST, DEPTH, LEAF, WIDER = 64, 12, 3, 4, 96, 4
+# a node of sketches may be WIDER times as large as a cell of full sets
 LOOSE = 0.5
 """Sketches that agree in this share are compared in full: six standard errors below 0.8 at 64 coordinates."""
 CHUNK = 1 << 20
@@ -70,7 +72,10 @@ def _sums(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, n: int, coords: int = COORDS) -> DataFrame:
-    """``(doc_id, n_shingles, set_a, set_b, sketch)`` per row; ``set_a`` and ``set_b`` fingerprint the whole set."""
+    """``(doc_id, n_shingles, set_a, set_b, sketch, tiny)`` per row; ``set_a`` and ``set_b`` fingerprint the whole set.
+
+    ``tiny`` is the last byte of each coordinate: enough to tell how many agree.
+    """
     mul, xor = _functions(coords)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,11 +96,11 @@ def sketches(docs: DataFrame, n: int, coords: int = COORDS) -> DataFrame:
                 a, b = _sums(key, bounds), _sums(mix(key), bounds)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
-                     pa.ListArray.from_arrays(pa.array((np.arange(hi - lo + 1) * coords).astype(np.int32)), pa.array(low.view(np.int32).ravel()))],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "sketch"])
+                     pa.ListArray.from_arrays(pa.array((np.arange(hi - lo + 1) * coords).astype(np.int32)), pa.array(low.view(np.int32).ravel())), pa.array([r.tobytes() for r in low.astype(np.uint8)], pa.binary())],
+                    ["doc_id", "n_shingles", "set_a", "set_b", "sketch", "tiny"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sketch array<int>")
+    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sketch array<int>, tiny binary")
 
 
 def _full_sets(rows: DataFrame, n: int) -> DataFrame:
@@ -116,9 +121,9 @@ def _full_sets(rows: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, "grp bigint, id bigint, data binary").dropDuplicates(["grp", "id"])
 
 
-def _agree(data: list[list[int]], share: float) -> np.ndarray:
+def _agree(data: list[bytes], share: float) -> np.ndarray:
     """Which pairs of sketches agree in at least ``share`` of their coordinates."""
-    s = np.array(data, np.int32)
+    s = np.stack([np.frombuffer(d, np.uint8) for d in data])
     return np.stack([(s == row).sum(1) for row in s]) >= share * s.shape[1]
 
 
@@ -165,22 +170,41 @@ def _forest(ids: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _bridges(ids: np.ndarray, label: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
+    """Linked pairs that join ids of different labels, at most one fewer than there are labels."""
+    _, part = np.unique(label, return_inverse=True)
+    out = []
+    for i in range(len(ids)):
+        row = linked[i].copy()
+        while True:
+            row &= part != part[i]
+            j = int(np.argmax(row))
+            if not row[j]:
+                break
+            out.append((int(ids[i]), int(ids[j])))
+            part[part == part[j]] = part[i]
+    return out
+
+
 def _compare(rows: DataFrame, kind: str, level: float) -> DataFrame:
-    """Forest edges of each (grp, cell). Where a row is marked as visitor, pairs without a visitor are left out."""
+    """Edges of each (grp, cell) of ``rows``. Without labels: from each id to the smallest id it is connected with.
+
+    With labels (ids of one label are connected already): links between labels, and only pairs with a visitor.
+    """
+    labelled = "label" in rows.columns
 
     def edges(t: pa.Table) -> list[tuple[int, int]]:
         ids = t.column("id").to_numpy()
         order = np.argsort(ids, kind="stable")
         order = order[np.append(True, ids[order][1:] != ids[order][:-1])]
         data = t.column("data").take(pa.array(order)).to_pylist()
-        visits = t.column("visitor").to_numpy(zero_copy_only=False).astype(bool)
         if len(order) < 2:
             return []
         linked = _agree(data, level) if kind == "sketch" else _similar(data, int(level))
-        if visits.any():
-            v = np.isin(ids[order], ids[visits])
-            linked &= v[:, None] | v[None, :]
-        return _forest(ids[order], linked)
+        if not labelled:
+            return _forest(ids[order], linked)
+        v = np.isin(ids[order], ids[t.column("visitor").to_numpy(zero_copy_only=False).astype(bool)])
+        return _bridges(ids[order], t.column("label").to_numpy()[order], linked & (v[:, None] | v[None, :]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -200,53 +224,114 @@ def _compare(rows: DataFrame, kind: str, level: float) -> DataFrame:
         a, b = zip(*found, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    cells = rows.select("grp", "cell", "id", "data", "visitor").repartition("grp", "cell").sortWithinPartitions("grp", "cell")
+    cells = rows.select("grp", "cell", "id", "data", *(["label", "visitor"] if labelled else [])).repartition("grp", "cell").sortWithinPartitions("grp", "cell")
     return cells.mapInArrow(run, "a bigint, b bigint")
 
 
-def link(rows: DataFrame, kind: str, level: float, leaf: int = LEAF) -> DataFrame:
-    """Edges (a, b) that connect exactly what the linked pairs inside each ``grp`` of ``rows`` (grp, id, data) connect.
+def _visits(rows: DataFrame, leaf: int) -> DataFrame:
+    """Cells of the groups of ``rows`` (grp, id, data, n, label), each visited by all members outside the largest label.
 
-    Groups over ``leaf`` are cut into cells that share one pivot. If a group is then connected, no further
-    pair can change that. Otherwise all members outside its largest part visit every cell.
+    Members of one label are connected already, so pairs inside the largest one can add nothing.
+    """
+    cells = rows.withColumn("cells", F.ceil(F.col("n") / leaf).cast("int"))
+    main = rows.groupBy("grp", "label").agg(F.count("*").alias("m")).groupBy("grp").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
+    cells = cells.join(main, "grp").withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")).withColumn("visitor", F.lit(False))
+    out = cells.filter("label != main").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).withColumn("visitor", F.lit(True))
+    return cells.unionByName(out)
+
+
+def link_sets(rows: DataFrame, percent: int, leaf: int = LEAF) -> DataFrame:
+    """``(id, component)`` by all linked pairs inside each ``grp`` of ``rows`` (grp, id, data); ids without a link are left out.
+
+    Groups over ``leaf`` are cut into cells that share one pivot. What that leaves outside a group's largest
+    part then visits every cell of the group.
     """
     sizes = written(rows.groupBy("grp").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).filter("n > 1"), "group-sizes")
-    cells = F.ceil(F.col("n") / leaf).cast("int")
-    dealt = rows.join(sizes, "grp").withColumn("cells", cells)
-    dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")).withColumn("visitor", F.lit(False))
-    if sizes.filter(cells > 1).limit(1).count() == 0:
-        return _compare(dealt, kind, level)
-    dealt = written(dealt, "group-rows")
-    every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
-    pivots = dealt.filter("cells > 1 and id = pivot").withColumn("cell", every)
-    edges = written(_compare(dealt.unionByName(pivots), kind, level), "cell-edges")
-    large = dealt.filter("cells > 1")
-    parts = components(edges)
-    labelled = written(large.select("grp", "id").join(parts, "id", "left").select("grp", "id", F.coalesce("component", "id").alias("part")), "group-parts")
-    main = labelled.groupBy("grp", "part").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
-    outside = labelled.join(main, "grp").filter("part != main").select("grp", "id")
-    visitors = large.join(outside, ["grp", "id"], "left_semi").withColumn("cell", every).withColumn("visitor", F.lit(True))
-    visited = large.join(outside.select("grp").distinct(), "grp", "left_semi")
-    return edges.union(_compare(visited.unionByName(visitors), kind, level))
-
-
-def _nodes(reps: DataFrame, trees: int, depth: int, leaf: int, coords: int) -> DataFrame:
-    """``(grp, id)`` of every node with two or more members at which its path ends."""
-    node = F.explode(F.expr(f"transform(sequence(0, {trees - 1}), t -> xxhash64(t, sketch[t]))"))
-    level = reps.select("id", "sketch", node.alias("grp"))
-    ends = []
-    for d in range(depth):
-        n = written(level.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1"), "node-sizes")
-        last = d == depth - 1
-        held = level.join(n, "grp")
-        ends.append(held.filter(F.lit(True) if last else F.col("n") <= leaf).select("grp", "id"))
-        if last or n.filter(F.col("n") > leaf).limit(1).count() == 0:
+    whole = F.lit(0).alias("cell")
+    held = rows.join(sizes, "grp")
+    stars = written(_compare(held.filter(F.col("n") <= leaf).select("grp", "id", "data", whole), "set", percent), "set-edges")
+    roots = stars.select(F.col("a").alias("id"), F.col("b").alias("component")).union(stars.select("b", "b").distinct())
+    if sizes.filter(F.col("n") > leaf).limit(1).count() == 0:
+        return roots
+    large = written(held.filter(F.col("n") > leaf).withColumn("cells", F.ceil(F.col("n") / leaf).cast("int")), "large-groups")
+    dealt = large.withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
+    pivots = large.filter("id = pivot").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    first = written(_compare(dealt.unionByName(pivots), "set", percent), "cell-edges")
+    parts = components(first)
+    labelled = large.join(parts, "id", "left").withColumn("label", F.coalesce("component", "id")).select("grp", "id", "data", "n", "label")
+    mixed = written(labelled.groupBy("grp").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select("grp"), "mixed-groups")
+    if mixed.limit(1).count() == 0:  # every large group is connected, so no further pair can matter
+        discard(large)
+        return roots.union(parts)
+    second = written(_compare(_visits(labelled.join(mixed, "grp", "left_semi"), leaf), "set", percent), "visit-edges")
+    discard(large)
+    return roots.union(components(first.union(second)))
+
+
+def _pivot_links(rows: DataFrame) -> DataFrame:
+    """(id, pivot) where the sketches ``data`` and ``other`` agree enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.stack([np.frombuffer(d, np.uint8) for d in b.column(c).to_pylist()]) for c in ("data", "other"))
+                at = pa.array(np.flatnonzero((x == y).sum(1) >= LOOSE * x.shape[1]))
+                yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("pivot").take(at)], ["a", "b"])
+
+    return rows.select("id", "pivot", "data", "other").mapInArrow(run, "a bigint, b bigint")
+
+
+def _roots(classes: DataFrame, trees: range) -> DataFrame:
+    """``(id, grp)``: the first node of each class in each tree."""
+    node = F.explode(F.expr(f"transform(sequence({trees.start}, {trees.stop - 1}), t -> xxhash64(t, sketch[t]))"))
+    return classes.select("id", node.alias("grp"))
+
+
+def loose_edges(classes: DataFrame, trees: int, depth: int, leaf: int, coords: int) -> DataFrame:
+    """Edges (a, b) between classes (id, sketch, tiny) whose sketches agree enough and that share a node of a tree.
+
+    The first trees label what is connected anyway: small nodes are compared, and members of larger ones are compared
+    with the node's pivot. In the other trees a node of one label is done. Small mixed nodes are compared. In a large one
+    either few members stand outside the largest label and visit the others, or it branches by two selected
+    coordinates; at the last depth the outsiders always visit.
+    """
+    data = classes.select("id", F.col("tiny").alias("data"))
+    start = min(FIRST, trees)
+    level = _roots(classes, range(start))
+    sizes = written(level.groupBy("grp").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).filter("n > 1"), "node-sizes")
+    held = written(level.join(sizes, "grp").join(data, "id"), "first-nodes")
+    ends = _compare(held.filter(F.col("n") <= leaf).select("grp", "id", "data", F.lit(0).alias("cell")), "sketch", LOOSE)
+    other = data.select(F.col("id").alias("pivot"), F.col("data").alias("other"))
+    star = _pivot_links(held.filter((F.col("n") > leaf) & (F.col("id") != F.col("pivot"))).join(other, "pivot"))
+    labels = written(components(ends.union(star)).select("id", F.col("component").alias("label")), "loose-labels")
+    discard(held)
+    edges = [labels.select(F.col("id").alias("a"), F.col("label").alias("b"))]
+    members = classes.select("id", "sketch").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    level = members.join(_roots(classes, range(start, trees)), "id") if trees > start else None
+    for d in range(depth if level is not None else 0):
+        facts = level.groupBy("grp").agg(F.count("*").alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select("grp", "n")
+        held = written(level.join(facts, "grp"), "nodes")
+        small = held.filter(F.col("n") <= leaf).join(data, "id").select("grp", "id", "data", "label", F.lit(0).alias("cell"), F.lit(True).alias("visitor"))
+        edges.append(written(_compare(small, "sketch", LOOSE), "loose-edges"))
+        large = held.filter(F.col("n") > leaf)
+        if large.limit(1).count() == 0:
+            discard(held)
+            break
+        most = large.groupBy("grp", "label").agg(F.count("*").alias("m")).groupBy("grp").agg(F.max("m").alias("m"))
+        large = large.join(most, "grp")
+        cheap = F.lit(d == depth - 1) | ((F.col("n") - F.col("m")) * F.ceil(F.col("n") / leaf) <= F.col("n"))
+        visited = _visits(large.filter(cheap).join(data, "id").select("grp", "id", "data", "n", "label"), leaf)
+        edges.append(written(_compare(visited, "sketch", LOOSE), "loose-edges"))
+        if large.filter(~cheap).limit(1).count() == 0:
+            discard(held)
             break
-        chosen = F.expr(f"transform(sequence(1, 2), j -> cast(pmod(xxhash64(grp, j), {coords}) as int))")
-        deep = held.filter(F.col("n") > leaf).select("id", "sketch", "grp", F.explode(F.array_distinct(chosen)).alias("c"))
-        level = written(deep.select("id", "sketch", F.xxhash64("grp", "c", F.get("sketch", F.col("c"))).alias("grp")), "node-level")
-    out = ends[0]
-    for e in ends[1:]:
+        if d < depth - 1:
+            chosen = F.array_distinct(F.expr(f"transform(sequence(1, 2), j -> cast(pmod(xxhash64(grp, j), {coords}) as int))"))
+            deep = large.filter(~cheap).select("id", "sketch", "label", "grp", F.explode(chosen).alias("c"))
+            level = written(deep.select("id", "sketch", "label", F.xxhash64("grp", "c", F.get("sketch", F.col("c"))).alias("grp")), "node-level")
+        discard(held)
+    out = edges[0]
+    for e in edges[1:]:
         out = out.union(e)
     return out
 
@@ -261,17 +346,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     """
     named = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.xxhash64("n_shingles", "set_a", "set_b"))
     rows = written(sketches(docs, shingle, coords).withColumn("id", named), "sketches")
-    equal = rows.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("first"), *[F.any_value(c).alias(c) for c in ("set_a", "set_b", "sketch")])
+    equal = rows.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("first"), *[F.any_value(c).alias(c) for c in ("set_a", "set_b", "sketch", "tiny")])
     classes = written(equal, "set-classes")
-    ends = _nodes(classes, trees, depth, leaf, coords)
-    loose = components(link(ends.join(classes.select("id", F.col("sketch").alias("data")), "id").select("grp", "id", "data"), "sketch", LOOSE, leaf))
+    loose = components(loose_edges(classes, trees, depth, WIDER * leaf, coords))
     members = loose.select("id", F.col("component").alias("grp")).join(classes.select("id", "first", "set_a", "set_b"), "id")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("first"), F.col("text").cast("string").alias("text")).join(members, "first")
-    full = written(_full_sets(texts, shingle), "full-sets")
-    near = link(full, "set", percent, leaf)
-    ids = rows.filter("id is not null").groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high")
-    same_id = rows.select("doc_id", "id").join(ids, "doc_id").filter("id is not null").select(F.col("id").alias("a"), F.col("low").alias("b"))
-    parts = classes.select("id", "first").join(components(near.union(same_id)), "id", "left").withColumn("part", F.coalesce("component", "id"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("first"), F.col("text").cast("string").alias("text"))
+    full = written(_full_sets(texts.join(members.hint("merge"), "first"), shingle), "full-sets")
+    near = link_sets(full, percent, leaf)
+    discard(full)
+    ids = written(rows.filter("id is not null").groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high"), "shared-ids")
+    if ids.limit(1).count():  # one document by several texts joins their classes
+        same_id = rows.select("doc_id", "id").join(ids, "doc_id").filter("id is not null").select(F.col("id").alias("a"), F.col("low").alias("b"))
+        near = components(near.select(F.col("id").alias("a"), F.col("component").alias("b")).union(same_id))
+    parts = classes.select("id", "first").join(near, "id", "left").withColumn("part", F.coalesce("component", "id"))
     parts = parts.join(parts.groupBy("part").agg(F.min("first").alias("smallest")), "part").select("id", "smallest")
-    out = rows.drop("sketch").join(parts, "id", "left").withColumn("component_id", F.coalesce("smallest", "doc_id"))
+    out = rows.drop("sketch", "tiny").join(parts, "id", "left").withColumn("component_id", F.coalesce("smallest", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

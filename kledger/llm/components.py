@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kledger.llm.common import written
+from kledger.llm.common import discard, written
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -25,15 +25,18 @@ def components(edges: DataFrame) -> DataFrame:
     """``(id, component)`` for every end of an edge; ``component`` is the smallest id it reaches.
 
     ``edges`` has long columns ``a`` and ``b``; loops, repeats and both directions are fine. Each round is
-    written to the shared folder; only a count and a checksum reach the driver. Minima are combined before
-    each shuffle, and the joins are plain equi-joins that adaptive execution splits at a hot id.
+    written to the shared folder; only two counts reach the driver. Minima are combined before each shuffle,
+    and the joins are plain equi-joins that adaptive execution splits at a hot id.
     """
     e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
-    mark = None
     while True:
-        state = e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
-        if state == mark or state[0] == 0:
+        # done when every id has one edge and no centre has one: then each star's centre is its smallest id
+        ends = e.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("b", F.lit(0), F.lit(1)))
+        crowded = ends.groupBy("id").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)")
+        if crowded.limit(1).count() == 0:
             break
-        mark = state
-        e = written(_small_star(_large_star(e)).distinct(), "edges")
+        wide = written(_large_star(e), "edges")
+        discard(e)
+        e = written(_small_star(wide).distinct(), "edges")
+        discard(wide)
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select(F.col("b"), F.col("b")).distinct())
