@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from kledger.llm.common import Words, slices, text_bytes, written
 from kledger.llm.likelihood import BUCKETS, CHUNK, _inside, base_statistics, trigram_buckets
 
-SAMPLE, SAMPLE_BYTES, ROUNDS, SCALE, FALSE_ALARM = 4000, 16384, 200, 20.0, 0.005
+SAMPLE, SAMPLE_BYTES, ROUNDS, SCALE, FALSE_ALARM = 1500, 8192, 200, 20.0, 0.005
 VOTES = ["length", "symbols", "capitals", "repeats", "lone", "width", "lines"]
 
 
@@ -89,10 +89,10 @@ def train(texts: list[bytes], target: np.ndarray, rounds: int = ROUNDS) -> tuple
     rows, codes, values = [], [], []
     for i, t in enumerate(texts):
         code, n = np.unique(trigram_buckets(np.frombuffer(t, np.uint8)), return_counts=True)
-        rows.append(np.full(len(code), i))
-        codes.append(code)
-        values.append(SCALE * n / max(1, n.sum()))
-    r, c, v = np.concatenate(rows), np.concatenate(codes).astype(np.int64), np.concatenate(values)
+        rows.append(np.full(len(code), i, np.int32))
+        codes.append(code.astype(np.int32))
+        values.append((SCALE * n / max(1, n.sum())).astype(np.float32))
+    r, c, v = np.concatenate(rows), np.concatenate(codes), np.concatenate(values)
     s, s0 = np.full(BUCKETS, 1e-10), 1e-10
     for _ in range(rounds):
         z = np.bincount(r, weights=v * w[c], minlength=len(texts)) + bias
@@ -121,7 +121,7 @@ def classify(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_B
     ``pattern`` numbers the votes in base 3. Null and empty texts have no trigram and score by the bias and by their
     votes alone: they are not kept. Equal texts get equal scores; an empty table gives no row; further columns are not read.
     """
-    cast = votes_table(docs)
+    cast = written(_votes_of(docs), "weak-votes")
     counts = {r.pattern: r.n for r in cast.groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # at most 3 ** 7 rows
     codes = np.array(sorted(counts), np.int64)
     patterns = codes[:, None] // 3 ** np.arange(len(VOTES)) % 3 - 1
@@ -156,8 +156,3 @@ def classify(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_B
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, pattern int, weak_label double, score double, kept boolean")
-
-
-def votes_table(docs: DataFrame) -> DataFrame:
-    """``(doc_id, pattern)`` of every row, written."""
-    return written(_votes_of(docs), "weak-votes")
