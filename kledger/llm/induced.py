@@ -80,7 +80,7 @@ def _scan_smaller(s: np.ndarray, small: np.ndarray, sa: np.ndarray, tail: np.nda
 def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The suffix array that follows from ``lms``, whose order inside a bucket is kept."""
     n = len(s)
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32 if n < 1 << 31 else np.int64)
     order = np.argsort(s[lms], kind="stable")
     placed, c = lms[order], s[lms][order]
     count = np.bincount(c, minlength=len(starts))

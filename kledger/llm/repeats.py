@@ -2,8 +2,8 @@
 
 Every 100-byte string holds an anchor: the smallest hash of its 20-byte pieces, a choice that depends on
 the string alone. So two equal strings meet at an equal anchor, and only surroundings of anchors that occur
-twice can repeat. Such segments (80 bytes before the anchor to 100 behind its start) are sharded by anchor. Segments
-equal in full are one from the start. What differs goes into a suffix array per shard, made by induced sorting;
+twice can repeat. A string also holds 40 bytes more on one side of its anchor; segments of strings that share the anchor
+with those bytes are sharded by them. Segments equal in full are one from the start. What differs goes into a suffix array per shard, made by induced sorting;
 runs of common prefixes of 100 bytes give the first place of each string, and all later starts are removed.
 An anchor with very many different segments (a passage in a third of all documents) is not gathered: its strings
 are compared by 128-bit hashes in an aggregate.
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +24,11 @@ from kledger.llm.common import Hashes, discard, mix, slices, text_bytes, written
 from kledger.llm.induced import common_prefixes, suffix_array
 
 LENGTH, PIECE = 100, 20
-SHARD = 1 << 20
+SHARD = 1 << 21
 """Bytes of segments in one suffix array."""
-GATHER = 4096
-"""Different segments of one anchor that a shard may hold."""
+GATHER = 1 << 15
+"""Different segments that a shard may hold because they must stand together."""
+STRETCH = 2048
 CHUNK = 1 << 20
 NO_ID = -(1 << 63)
 
@@ -87,13 +89,16 @@ def _anchor_rows(docs: DataFrame, length: int, piece: int) -> DataFrame:
 
 
 def _occurrences(texts: DataFrame, length: int, piece: int) -> DataFrame:
-    """Per repeated anchor of ``texts`` (row, doc, text, ats): ``(h, seg, doc, row, at, lo, hi)``.
+    """Per repeated anchor of ``texts`` (row, doc, text, ats) and side: ``(h, seg, doc, row, lo, hi)``.
 
-    ``seg`` is the hash of the whole segment, ``lo`` to ``hi`` are the starts of the strings that it holds.
+    A string that holds an anchor also holds ``half`` bytes more on its left or on its right, and ``h`` hashes
+    the anchor with those bytes. ``lo`` to ``hi`` are the starts of the strings of that side, ``seg`` is the hash of all
+    their bytes.
     """
+    half = (length - piece) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "seg", "doc", "row", "at", "lo", "hi"]
+        names = ["h", "seg", "doc", "row", "lo", "hi"]
         for b in batches:
             raw, offs = text_bytes(b.column("text"))
             row, doc = b.column("row").to_numpy(), b.column("doc").to_numpy()
@@ -104,27 +109,38 @@ def _occurrences(texts: DataFrame, length: int, piece: int) -> DataFrame:
                 text = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy(zero_copy_only=False))
                 p = part.flatten().to_numpy().astype(np.int64) + o[text]
                 hashes = Hashes(raw[offs[lo] : offs[hi]])
-                a, z = np.maximum(o[text], p - (length - piece)), np.minimum(o[text + 1], p + length)
-                seg = mix(hashes.spans(a, z) ^ (p - a).astype(np.uint64))
-                h = hashes.spans(p, p + piece) | np.uint64(1)
-                base = o[text]
-                yield _batch(names, h.view(np.int64), seg.view(np.int64), doc[lo:hi][text], row[lo:hi][text], (p - base).astype(np.int32), (a - base).astype(np.int32), (np.minimum(p, z - length) - base).astype(np.int32))
+                for side, (first, last, a, z) in enumerate(((p - (length - piece), p - half, p - half, p + piece), (p - half + 1, p, p, p + piece + half))):
+                    s, e = np.maximum(o[text], first), np.minimum(o[text + 1] - length, last)
+                    ok = s <= e
+                    s, e, a, z, t = s[ok], e[ok], a[ok], z[ok], text[ok]
+                    h = mix(hashes.spans(a, z) + np.uint64(side))
+                    seg = mix(hashes.spans(s, e + length) ^ (a - s).astype(np.uint64))
+                    yield _batch(names, h.view(np.int64), seg.view(np.int64), doc[lo:hi][t], row[lo:hi][t], (s - o[t]).astype(np.int32), (e - o[t]).astype(np.int32))
 
-    return texts.select("row", "doc", "text", "ats").mapInArrow(run, "h bigint, seg bigint, doc bigint, row bigint, at int, lo int, hi int")
+    return texts.select("row", "doc", "text", "ats").mapInArrow(run, "h bigint, seg bigint, doc bigint, row bigint, lo int, hi int")
 
 
-def _cut(texts: DataFrame, length: int, piece: int) -> DataFrame:
-    """``(h, many, doc, row, at, data)``: the bytes of the segments that ``texts`` (row, doc, text, segs) lists."""
+def _cut(texts: DataFrame, length: int) -> DataFrame:
+    """``(h, many, doc, row, at, data)``: the bytes of the segments that ``texts`` (row, doc, text, segs) lists.
+
+    Segments of one text and key that overlap are one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text, doc, row, segs in zip(b.column("text"), b.column("doc").to_pylist(), b.column("row").to_pylist(), b.column("segs"), strict=True):
                 data = text.as_py().encode()
-                h, many, at = (segs.values.field(k) for k in ("h", "many", "at"))
-                starts = np.maximum(0, at.to_numpy() - (length - piece))
-                out = [data[s : a + length] for s, a in zip(starts.tolist(), at.to_pylist(), strict=True)]
-                n = len(out)
-                yield _batch(["h", "many", "doc", "row", "at", "data"], h, many, np.full(n, doc), np.full(n, row), starts.astype(np.int32), pa.array(out, pa.binary()))
+                h, many, lo, hi = (segs.values.field(k).to_numpy(zero_copy_only=False) for k in ("h", "many", "lo", "hi"))
+                order = np.lexsort((lo, h))
+                h, many, lo, end = h[order], many[order], lo[order].astype(np.int64), hi[order].astype(np.int64) + length
+                reach = np.maximum.accumulate(end + np.cumsum(np.append(0, h[1:] != h[:-1])) * len(data)) if len(h) else end
+                reach -= np.cumsum(np.append(0, h[1:] != h[:-1])) * len(data)
+                fresh = np.append(True, (h[1:] != h[:-1]) | (lo[1:] > reach[:-1])) if len(h) else np.zeros(0, bool)
+                first = np.flatnonzero(fresh)
+                last = np.append(first[1:], len(h)) - 1 if len(h) else first
+                n = len(first)
+                out = [data[x:z] for x, z in zip(lo[first].tolist(), reach[last].tolist(), strict=True)]
+                yield _batch(["h", "many", "doc", "row", "at", "data"], h[first], many[first], np.full(n, doc), np.full(n, row), lo[first].astype(np.int32), pa.array(out, pa.binary()))
 
     return texts.select("row", "doc", "text", "segs").mapInArrow(run, "h bigint, many boolean, doc bigint, row bigint, at int, data binary")
 
@@ -186,10 +202,10 @@ def _shard_marks(segments: DataFrame, length: int, shard: int) -> DataFrame:
         for b in batches:
             t = pa.Table.from_batches([b])
             t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
-            while t.num_rows * (2 * length) > shard:
-                h = t.column("h").to_numpy()
+            while True:
+                h, upto = t.column("h").to_numpy(), np.cumsum(pc.binary_length(t.column("data")).to_numpy())
                 cuts = np.flatnonzero(h[1:] != h[:-1]) + 1
-                cuts = cuts[cuts >= min(len(h) - 1, shard // (2 * length))][:1] if len(cuts) else cuts
+                cuts = cuts[upto[cuts - 1] >= shard][:1]
                 if not len(cuts):
                     break
                 yield marks(t.slice(0, int(cuts[0])))
@@ -250,13 +266,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, ga
     held = every.join(twice, "h").groupBy("row").agg(F.collect_list("at").alias("ats"))
     texts = written(_rows(docs).join(held, "row"), "repeat-texts")
     seen = written(_occurrences(texts, length, piece), "repeat-anchors")
-    place = F.struct("doc", "row", "at")
+    place = F.struct("doc", "row", "lo", "hi")
     variants = written(seen.groupBy("h", "seg").agg(F.min(place).alias("first"), F.count("*").alias("n")), "repeat-segments")
     copies = seen.join(variants.filter("n > 1"), ["h", "seg"]).filter(place > F.col("first")).select("row", "lo", "hi")
-    kinds = variants.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    differ = variants.join(kinds, "h").select("h", (F.col("kinds") > gather).alias("many"), F.col("first.row").alias("row"), F.col("first.at").alias("at"))
-    listed = differ.groupBy("row").agg(F.collect_list(F.struct("h", "many", "at")).alias("segs"))
-    segments = written(_cut(texts.drop("ats").join(listed, "row"), length, piece), "repeat-bytes")
+    kinds = variants.groupBy("h").agg(F.count("*").alias("kinds"), F.min("first").alias("origin")).filter("kinds > 1")
+    # anchors whose strings begin in one stretch of one text go to one shard, where neighbours are one segment
+    kinds = written(kinds.select("h", "kinds", F.xxhash64("origin.row", F.floor(F.col("origin.lo") / STRETCH)).alias("near")), "repeat-kinds")
+    room = kinds.groupBy("near").agg(F.sum("kinds").alias("total"))
+    key = F.when(F.col("total") <= gather, F.col("near")).otherwise(F.col("h"))
+    kinds = kinds.join(room, "near").select("h", (F.col("kinds") > gather).alias("many"), key.alias("key"))
+    differ = variants.join(kinds, "h").select(F.col("key").alias("h"), "many", *[F.col(f"first.{c}").alias(c) for c in ("row", "lo", "hi")])
+    listed = differ.groupBy("row").agg(F.collect_list(F.struct("h", "many", "lo", "hi")).alias("segs"))
+    segments = written(_cut(texts.drop("ats").join(listed, "row"), length), "repeat-bytes")
     found = _shard_marks(segments.filter("not many"), length, shard)
     found = found.union(_hashed_marks(segments.filter("many"), length))
     marks = written(copies.union(found), "repeat-marks")
