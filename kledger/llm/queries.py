@@ -38,10 +38,12 @@ def tokenizer_path() -> str:
 
 @query("op1_shard_two_pass")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    rows = table(spark, sf_dir, "documents").select("doc_id", (utf8_size(F.col("text")) + 1).alias("size"), F.crc32(text).alias("text_crc32"))
-    dealt = sharding.shuffle_into_shards(rows, 8, size=F.lit(24))
-    return dealt.select("record.doc_id", "record.size", "record.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    dealt = sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), 8)
+    root = fresh_folder(spark, "shards")
+    sharding.write_shards(dealt, root)
+    text = F.col("record.text")
+    size, crc = (utf8_size(text) + 1).alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32")
+    return sharding.read_shards(dealt, root).select("record.doc_id", size, crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 @query("op2_weak_label_quality")

@@ -46,15 +46,25 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, seed: int = 17, buck
     place = F.monotonically_increasing_id()
     scattered = written(rows.select("record", F.pmod(F.xxhash64(F.lit(seed), "id", place), F.lit(n_buckets)).alias("bucket"), place.alias("place")), "shard-buckets")
     starts = running_offset(scattered.groupBy("bucket").agg(F.count("*").alias("n")), "bucket", "n", "start").select("bucket", "start")
-    held = scattered.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("place", "record")), lambda a, b: F.when(a["place"] < b["place"], -1).otherwise(1)).alias("rows"))
+    starts = written(starts, "shard-starts")  # its size is known, so the records stay where their bucket is
+    held = scattered.repartitionByRange("bucket").groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("place", "record")), lambda a, b: F.when(a["place"] < b["place"], -1).otherwise(1)).alias("rows"))
     order = held.withColumn("order", fisher_yates(F.size("rows"), F.col("bucket"), seed))
-    dealt = order.join(starts, "bucket").select("start", "rows", F.posexplode("order").alias("i", "from"))
-    placed = dealt.select(F.get("rows", F.col("from"))["record"].alias("record"), (F.col("start") + F.col("i")).alias("position"))
+    moved = F.transform("order", lambda at: F.get("rows", at)["record"])
+    dealt = order.join(starts, "bucket").select("start", F.posexplode(moved).alias("i", "record"))
+    placed = dealt.select("record", (F.col("start") + F.col("i")).alias("position"))
     shard = F.expr(f"(({n_shards}L * (position + 1) - 1) div {max(1, total)}L)")
     return placed.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("position") - F.expr(f"(shard * {total}L) div {n_shards}L"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder per shard (``shard=0`` and so on), rows in slot order within each file."""
+    """One folder per shard (``shard=0`` and so on), rows in slot order within each file.
+
+    ``shuffle_into_shards`` leaves neighbouring buckets in one task, so rows are written where they are.
+    """
     flat = sharded.select("shard", "slot", "record")
-    flat.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+    flat.sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def read_shards(sharded: DataFrame, path: str) -> DataFrame:
+    """``(slot, record, shard)`` of what ``write_shards`` wrote for ``sharded``; no row for an empty table."""
+    return sharded.sparkSession.read.schema(sharded.select("slot", "record", "shard").schema).parquet(path)

@@ -47,3 +47,21 @@ def test_written_shards(docs, tmp_path):
     sharding.write_shards(sharding.shuffle_into_shards(docs, 3), str(tmp_path / "out"))
     back = docs.sparkSession.read.parquet(str(tmp_path / "out"))
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 3
+
+
+def test_query_writes_whole_documents(spark, sf, monkeypatch):
+    paths = []
+    write = sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda sharded, path: (paths.append(path), write(sharded, path)))
+    rows = QUERIES["op1_shard_two_pass"](spark, sf).collect()
+    assert len(paths) == 1
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    back = spark.read.parquet(paths[0])
+    assert back.select("record.*").exceptAll(docs).count() == 0 and docs.exceptAll(back.select("record.*")).count() == 0
+    assert sorted((r.shard, r.slot, r.doc_id) for r in rows) == sorted((r.shard, r.slot, r.doc_id) for r in back.select("shard", "slot", "record.doc_id").collect())
+
+
+def test_empty_table_is_written_and_read(no_docs, tmp_path):
+    dealt = sharding.shuffle_into_shards(no_docs, 3)
+    sharding.write_shards(dealt, str(tmp_path / "none"))
+    assert sharding.read_shards(dealt, str(tmp_path / "none")).count() == 0
