@@ -1,15 +1,14 @@
 """Structured Streaming jobs over the append-only ledgers. Each equals its batch twin on the same input.
 
-State that must outlive a batch is either Spark's own (aggregation, deduplication, both bounded by a
-watermark) or a small table in the shared checkpoint folder, written once per batch id, so a replayed batch
-overwrites its own output and never counts twice.
+State that must outlive a batch is a table in the shared checkpoint folder, written once per batch id, so a
+replayed batch overwrites its own output and never counts twice. No watermark drops rows, however late they are.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,17 +26,22 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1, only: str | None = None) -> DataFrame:
-    """A stream over the Parquet files in the folder ``path`` (those named ``only``), with the schema of what is there."""
-    schema = spark.read.parquet(f"{path}/{only}" if only else path).schema
-    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = 1, only: str | None = None, schema=None) -> DataFrame:
+    """A stream over the Parquet files in the folder ``path`` (those named ``only``), by default with the schema of what is there.
+
+    Without ``files_per_batch`` a batch is all that has arrived.
+    """
+    r = spark.readStream.schema(schema or spark.read.parquet(f"{path}/{only}" if only else path).schema)
+    r = r.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else r
     return (r.option("pathGlobFilter", only) if only else r).parquet(path)
 
 
-def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], folder: str, mode: str = "append") -> None:
-    """Process everything available now, batch by batch, then stop."""
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/offsets").foreachBatch(sink).trigger(availableNow=True).start()
-    q.awaitTermination()
+def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], folder: str, deliver: Sequence[Callable[[], None]] = ()) -> None:
+    """Process everything available now, batch by batch, then stop; with ``deliver``, once after each delivery, from where it stopped."""
+    for send in deliver or [lambda: None]:
+        send()
+        q = stream.writeStream.option("checkpointLocation", f"{folder}/offsets").foreachBatch(sink).trigger(availableNow=True).start()
+        q.awaitTermination()
 
 
 def batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -56,35 +60,40 @@ def put(df: DataFrame, path: str, batch_id: int) -> None:
 
 # ---- STR-01 ----------------------------------------------------------------------------------------
 def token_totals(spark: SparkSession, ledger: DataFrame) -> DataFrame:
-    """Daily totals per model. Updates are logged per batch and folded to the latest value of each window."""
+    """Daily totals per model. Each batch writes its partial sums, which are added up by day and model."""
     folder = work_dir(spark, "tokens")
-    agg = ledger.withWatermark("ts", "2 days").groupBy(F.window("ts", "1 day").alias("w"), "model").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count("*").alias("calls"))
-    flat = agg.select(F.col("w.start").alias("day"), "model", "input_tokens", "output_tokens", "calls")
-    drain(flat, lambda df, i: put(df, f"{folder}/out", i), folder, "update")
+    rows = ledger.select(F.date_trunc("day", "ts").alias("day"), "model", "input_tokens", "output_tokens")
+    sums = [F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens")]
+    drain(rows, lambda df, i: put(df.groupBy("day", "model").agg(*sums, F.count("*").alias("calls")), f"{folder}/out", i), folder)
     log = batches(spark, f"{folder}/out", "day timestamp, model string, input_tokens bigint, output_tokens bigint, calls bigint")
-    return log.groupBy("day", "model").agg(F.max_by(F.struct("input_tokens", "output_tokens", "calls"), "batch").alias("r")).select("day", "model", "r.*")
+    return log.groupBy("day", "model").agg(*sums, F.sum("calls").alias("calls"))
 
 
 # ---- STR-02 ----------------------------------------------------------------------------------------
-def change_feed(spark: SparkSession, history_path: str) -> DataFrame:
+def change_feed(spark: SparkSession, history: DataFrame, deliver: Sequence[Callable[[], None]] = ()) -> DataFrame:
     """Every changed note once, with the batch that delivered it; the stream's own offsets are the cursor."""
     folder = work_dir(spark, "changes")
-    rows = with_change(read_stream(spark, history_path)).select("note_id", "updated", "change_kind")
-    drain(rows, lambda df, i: put(df, f"{folder}/out", i), folder)
+    rows = with_change(history).select("note_id", "updated", "change_kind")
+    drain(rows, lambda df, i: put(df, f"{folder}/out", i), folder, deliver)
     return batches(spark, f"{folder}/out", "note_id string, updated timestamp, change_kind string")
 
 
 # ---- STR-03 ----------------------------------------------------------------------------------------
 def job_intake(spark: SparkSession, jobs: DataFrame) -> DataFrame:
-    """First sighting of each idempotency key; later ones within the watermark are skipped."""
+    """First sighting of each idempotency key; a key that an earlier batch wrote is skipped, however long ago."""
     folder = work_dir(spark, "intake")
-    once = jobs.withWatermark("ts", "60 days").dropDuplicatesWithinWatermark(["idempotency_key"]).select("idempotency_key")
-    drain(once, lambda df, i: put(df, f"{folder}/out", i), folder)
-    return batches(spark, f"{folder}/out", "idempotency_key string").drop("batch")
+    schema = "idempotency_key string"
+
+    def step(df, i):
+        seen = batches(df.sparkSession, f"{folder}/out", schema).filter(F.col("batch") < i).select(F.col("idempotency_key").alias("seen"))
+        put(df.distinct().join(seen, F.col("idempotency_key").eqNullSafe(F.col("seen")), "left_anti"), f"{folder}/out", i)
+
+    drain(jobs.select("idempotency_key"), step, folder)
+    return batches(spark, f"{folder}/out", schema).drop("batch")
 
 
 # ---- STR-04 ----------------------------------------------------------------------------------------
-def streaks(spark: SparkSession, outcomes: DataFrame) -> DataFrame:
+def streaks(spark: SparkSession, outcomes: DataFrame, deliver: Sequence[Callable[[], None]] = ()) -> DataFrame:
     """Failure streaks across batches. The open streak of each worker is carried in a table."""
     folder = work_dir(spark, "streaks")
     schema = "worker bigint, carry bigint"
@@ -102,13 +111,13 @@ def streaks(spark: SparkSession, outcomes: DataFrame) -> DataFrame:
         written = s.read.parquet(f"{folder}/out/batch={i}")
         put(written.groupBy("worker").agg(F.max_by("streak", "seq").alias("carry")), f"{folder}/state", i)
 
-    drain(outcomes, step, folder)
+    drain(outcomes, step, folder, deliver)
     out = batches(spark, f"{folder}/out", "worker bigint, seq bigint, streak bigint").drop("batch")
     return out.withColumn("pause", F.col("streak") == 3)
 
 
 # ---- STR-05 ----------------------------------------------------------------------------------------
-def corpus_versions(spark: SparkSession, arrivals: DataFrame) -> DataFrame:
+def corpus_versions(spark: SparkSession, arrivals: DataFrame, deliver: Sequence[Callable[[], None]] = ()) -> DataFrame:
     """(seq, doc_id, action): a second version replaces its base, an arrival of something present is an error."""
     folder = work_dir(spark, "corpus")
 
@@ -121,12 +130,12 @@ def corpus_versions(spark: SparkSession, arrivals: DataFrame) -> DataFrame:
         put(r.select("seq", "doc_id", F.when(present & F.col("v2"), "replaced").when(present, "error").otherwise("added").alias("action")), f"{folder}/out", i)
         put(rows.groupBy("base").agg(F.count("*").alias("n")), f"{folder}/state", i)
 
-    drain(arrivals, step, folder)
+    drain(arrivals, step, folder, deliver)
     return batches(spark, f"{folder}/out", "seq bigint, doc_id string, action string").drop("batch")
 
 
 # ---- STR-06 ----------------------------------------------------------------------------------------
-def source_marks(spark: SparkSession, snapshots: DataFrame, notes: DataFrame, at: str) -> DataFrame:
+def source_marks(spark: SparkSession, snapshots: DataFrame, notes: DataFrame, at: str, deliver: Sequence[Callable[[], None]] = ()) -> DataFrame:
     """Marks for notes that cite a URL whose content changed, as snapshots arrive; a mark is set once."""
     folder = work_dir(spark, "marks")
     schema = "note_id string, url string, content_hash string, marked_at string"
@@ -135,12 +144,12 @@ def source_marks(spark: SparkSession, snapshots: DataFrame, notes: DataFrame, at
         done = batches(df.sparkSession, f"{folder}/out", schema).filter(F.col("batch") < i)
         put(source_change_marks(notes, latest_by_url(df), done, at), f"{folder}/out", i)
 
-    drain(snapshots, step, folder)
+    drain(snapshots, step, folder, deliver)
     return batches(spark, f"{folder}/out", schema).drop("batch")
 
 
 # ---- STR-07 ----------------------------------------------------------------------------------------
-def search_view(spark: SparkSession, changed: DataFrame) -> DataFrame:
+def search_view(spark: SparkSession, changed: DataFrame, deliver: Sequence[Callable[[], None]] = ()) -> DataFrame:
     """(note_id, fingerprint, writes): the search view kept by upserting only notes whose fingerprint moved.
 
     ``changed``: (note_id, fingerprint) images as they arrive. The view is a log of upserts folded by note.
@@ -156,6 +165,6 @@ def search_view(spark: SparkSession, changed: DataFrame) -> DataFrame:
         newest = df.groupBy("note_id").agg(F.max_by("fingerprint", "version").alias("fingerprint"))
         put(newest.join(view, "note_id", "left").filter(~F.col("fingerprint").eqNullSafe(F.col("old"))).drop("old"), f"{folder}/out", i)
 
-    drain(changed, step, folder)
+    drain(changed, step, folder, deliver)
     log = batches(spark, f"{folder}/out", schema)
     return fold(log).join(log.groupBy("note_id").agg(F.count("*").alias("writes")), "note_id")

@@ -149,3 +149,23 @@ def test_near_duplicates_without_spaces(spark):
     long = "".join(rng.choice("abcdefghij") for _ in range(3000))
     texts = spark.createDataFrame([(1, long), (2, long[:-1] + "z"), (3, "q" * 50)], "id bigint, text string")
     assert rows(I.duplicate_groups(texts)) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_late_rows_stay_in_totals_and_old_keys_stay_known(spark, tmp_path):
+    from kledger.streaming import jobs as S
+
+    path = str(tmp_path / "ledger")
+    for month in ("2024-09", "2024-01", "2024-09"):  # the second file is late, the third repeats the first
+        spark.sql(f"SELECT timestamp '{month}-05 10:00:00' ts, 'm' model, 2L input_tokens, 1L output_tokens, '{month}' idempotency_key UNION ALL SELECT timestamp '{month}-20 10:00:00', 'm', 3L, 1L, NULL").coalesce(1).write.mode("append").parquet(path)
+    totals = S.token_totals(spark, S.read_stream(spark, path)).selectExpr("cast(day as date) day", "input_tokens", "calls")
+    assert [(str(d), n, c) for d, n, c in rows(totals)] == [("2024-01-05", 2, 1), ("2024-01-20", 3, 1), ("2024-09-05", 4, 2), ("2024-09-20", 6, 2)]
+    assert sorted(str(r[0]) for r in S.job_intake(spark, S.read_stream(spark, path)).collect()) == ["2024-01", "2024-09", "None"]
+
+
+def test_a_delivery_of_several_files_is_one_batch(spark):
+    from kledger.plans import stream
+    from kledger.streaming import jobs as S
+
+    df = spark.range(1000).selectExpr("1L worker", "id seq", "'failed' status").repartition(5)
+    out = S.streaks(spark, *stream.staged(spark, df, "outcomes", "seq"))
+    assert [r.streak for r in out.orderBy("seq").collect()] == list(range(1, 1001))
