@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kledger.llm.common import written
+from kledger.llm.common import fresh_folder, written
 
 CAPACITY = 4096
 MEMO_PARTS = 1_500_000
@@ -193,3 +193,18 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint" + (", ids binary" if with_ids else "")
     ranked = cut.join(per_task.select("length", "task", "base"), ["length", "task"]).withColumn("rank", F.col("base") + F.col("nth"))
     return ranked.mapInArrow(place, schema)
+
+
+def write_sequences(packed: DataFrame, path: str) -> None:
+    """The pieces of ``pack(..., with_ids=True)`` laid out by sequence and offset: each sequence lies whole, in order, in one file."""
+    dealt = packed.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    dealt.write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def packed_sequences(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """The pieces of all documents, their tokens written into sequences in the shared folder; ``ids_crc32`` is that of the tokens read back."""
+    packed = pack(docs, tokenizer, with_ids=True)
+    path = fresh_folder(docs.sparkSession, "sequences")
+    write_sequences(packed, path)
+    back = docs.sparkSession.read.schema(packed.schema).parquet(path)
+    return back.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")

@@ -53,7 +53,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_pack_best_fit")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.packed_sequences(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 OP4_SQL = r"""

@@ -94,3 +94,16 @@ def test_special_strings_stay_whole():
 
 if __name__ == "__main__":
     pytest.main([__file__])
+
+
+def test_query_fills_sequences_with_tokens(spark, sf, monkeypatch):
+    paths = []
+    write = packing.write_sequences
+    monkeypatch.setattr(packing, "write_sequences", lambda packed, path: (paths.append(path), write(packed, path)))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["op3_pack_best_fit"](spark, sf).collect()
+    assert len(paths) == 1
+    back = spark.read.parquet(paths[0]).collect()
+    assert sorted((r.doc_id, r.piece, r.sequence_id, r.offset) for r in rows) == sorted((r.doc_id, r.piece, r.sequence_id, r.offset) for r in back)
+    for r in back:
+        assert bytes(r.ids) == np.array(whole(texts[r.doc_id])[r.start : r.start + r.length], "<u4").tobytes()
