@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kledger.llm import chosen_path, graph_ann, langid, likelihood, mixing, packing, repeats, sharding, warc, weak_labels
+from kledger.llm import chosen_path, cutting, graph_ann, langid, likelihood, mixing, packing, repeats, sharding, warc, weak_labels
 from kledger.llm.common import fresh_folder, utf8_size
 from kledger.session import ship_code
 
@@ -126,3 +126,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = fresh_folder(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), root)
     return warc.read_warc(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def byte_tokenizer() -> tuple[str, str, str]:
+    """The byte-level tokenizer file, the same vocabulary as ranks, and its pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op11_concatenate_and_cut")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutting.pieces_of(cutting.pack_windows(table(spark, sf_dir, "documents"), *byte_tokenizer()))
