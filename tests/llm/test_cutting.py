@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from kledger.llm import cutting
 from kledger.llm.queries import QUERIES, byte_tokenizer
 
 
+@lru_cache
 def whole(text):
     tok = cutting.encoder(*byte_tokenizer()).tok
     return [*tok.encode(text or "", add_special_tokens=False).ids, 0]
