@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kledger.llm import chosen_path, cutting, graph_ann, langid, likelihood, mixing, packing, repeats, sharding, warc, weak_labels
+from kledger.llm import chosen_path, cutting, graph_ann, langid, likelihood, mixing, packing, repeats, sharding, variants, warc, weak_labels
 from kledger.llm.common import fresh_folder, utf8_size
 from kledger.session import ship_code
 
@@ -138,3 +138,39 @@ def byte_tokenizer() -> tuple[str, str, str]:
 @query("op11_concatenate_and_cut")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutting.pieces_of(cutting.pack_windows(table(spark, sf_dir, "documents"), *byte_tokenizer()))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE tab AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+own AS (SELECT doc_id, run, count(*) AS k FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+coded AS (
+  SELECT run, k, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, (unicode(c) - 64)::BIGINT] END)) AS bytes FROM own),
+hashed AS (SELECT run, k, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM coded, tab),
+words AS MATERIALIZED (
+  SELECT word, sum(k)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+less AS MATERIALIZED (SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT l.word, w.word FROM less l JOIN words w ON w.word = l.rest
+  UNION SELECT w.word, l.word FROM less l JOIN words w ON w.word = l.rest),
+ranked AS (
+  SELECT near.word, other, w.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY w.n DESC, other) AS k
+  FROM near JOIN words w ON w.word = near.other),
+formed AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(r.n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.k = 1),
+chain AS (SELECT word, coalesce(form, word) AS root FROM formed UNION SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.root FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
+
+@query("op13_spelling_variants", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
