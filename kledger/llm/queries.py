@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kledger.llm import chosen_path, cutting, graph_ann, langid, likelihood, mixing, packing, repeats, sharding, variants, warc, weak_labels
+from kledger.llm import chosen_path, cutting, graph_ann, langid, likelihood, mixing, negatives, packing, repeats, sharding, variants, warc, weak_labels
 from kledger.llm.common import fresh_folder, utf8_size
 from kledger.session import ship_code
 
@@ -140,6 +140,26 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutting.pieces_of(cutting.pack_windows(table(spark, sf_dir, "documents"), *byte_tokenizer()))
 
 
+OP12_SQL = r"""
+WITH r AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+n AS (
+  SELECT anchor_id, positive_id, positive_score, other_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS k
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, k::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 5
+"""
+
+
+@query("op12_hilbert_hard_negatives", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 OP13_SQL = r"""
 WITH RECURSIVE tab AS MATERIALIZED (
   SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
