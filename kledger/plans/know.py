@@ -369,24 +369,19 @@ def ing_06(spark, sf):
     return I.merge_projection(new.unionByName(old))
 
 
-_coef = "[" + ", ".join(f"[{a}::BIGINT, {b}::BIGINT]" for a, b in I.COEFFICIENTS) + "]"
-ob.cte("reps", "SELECT sha256(text) AS h, min(doc_id) AS id, min(text) AS text FROM documents GROUP BY 1", materialized=True)
+ob.cte("trim_keys", f"SELECT d AS id, list_filter(list_transform(entities, lambda x: {slug_sql('x')}), lambda x: x <> '') AS ks FROM notes0", "notes0", materialized=True)
 ob.cte(
-    "bands",
-    rf"""SELECT id, k, array_to_string(list_transform(range(k * 4 + 1, k * 4 + 5), lambda i: sig[i]::VARCHAR), ',') AS band FROM (SELECT id, sig, unnest([0, 1, 2, 3]) AS k FROM (
-  SELECT id, list(m ORDER BY i) AS sig FROM (SELECT id, i, min((hv * {_coef}[i + 1][1] + {_coef}[i + 1][2]) % {I.PRIME}) AS m FROM (
-   SELECT id, ('0x' || substr(md5(g), 1, 7))::BIGINT AS hv FROM (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE [array_to_string(w, ' ')] END) AS g
-     FROM (SELECT id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM reps))), range({I.HASHES}) r(i) GROUP BY id, i) GROUP BY id))""",
-    "reps", materialized=True,
+    "alike",
+    f"""SELECT a.id AS x, b.id AS y FROM trim_vec a JOIN trim_vec b ON a.id <> b.id JOIN trim_keys ka ON ka.id = a.id JOIN trim_keys kb ON kb.id = b.id
+   WHERE list_has_any(ka.ks, kb.ks) AND {cosine()} >= 0.9 UNION ALL SELECT d, d FROM notes0""",
+    "trim_vec", "trim_keys", "notes0", materialized=True,
 )
-ob.vectors("rep_vec", "reps", "id", "text", "reps")
-ob.cte("links", f"SELECT DISTINCT a.id AS x, b.id AS y FROM (SELECT b.id, l.lead FROM bands b JOIN (SELECT k, band, min(id) AS lead FROM bands GROUP BY k, band) l USING (k, band) WHERE l.lead < b.id) c JOIN rep_vec a ON a.id = c.id JOIN rep_vec b ON b.id = c.lead WHERE {cosine()} >= 0.9", "bands", "rep_vec", materialized=True)
-ob.cte("spread", "SELECT id AS s, id AS t FROM reps UNION SELECT p.s, CASE WHEN l.x = p.t THEN l.y ELSE l.x END FROM spread p JOIN links l ON l.x = p.t OR l.y = p.t", "reps", "links")
+ob.cte("lowest", "SELECT d AS id, d AS low, 0 AS step FROM notes0 UNION ALL SELECT a.x, min(l.low), step + 1 FROM lowest l JOIN alike a ON a.y = l.id WHERE step < 40 GROUP BY a.x, step", "alike", "notes0")
 
 
-@query("ING-08", ob.ranked_twin("SELECT d.doc_id AS id, c.component FROM documents d JOIN reps r ON r.h = sha256(d.text) JOIN (SELECT s, min(t) AS component FROM spread GROUP BY s) c ON c.s = r.id", "reps", "spread"))
+@query("ING-08", ob.ranked_twin("SELECT id, low AS component FROM lowest WHERE step = 40", "lowest"))
 def ing_08(spark, sf):
-    return I.duplicate_groups(fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return I.duplicate_groups(fx.notes(spark, sf, False).select(F.col("d").alias("id"), F.col("body").alias("text"), "entities"))
 
 
 # ---- memory update ---------------------------------------------------------------------------------

@@ -123,34 +123,6 @@ def test_components_of_random_graphs(spark):
     assert got == [(i, find(i)) for i in range(80)]
 
 
-def test_near_duplicates_meet_without_the_smallest_id(spark):
-    from kledger.operators import ingest as I
-
-    near = [(2, "ab" * 40), (3, "ab" * 39 + "ac")]
-    bands = {t: ["0:same"] for t in ("zz" * 40, *(t for _, t in near))}
-    texts = spark.createDataFrame([(1, "zz" * 40), *near], "id bigint, text string")
-    keys = F.create_map(*[F.lit(x) for t, b in bands.items() for x in (t, ",".join(b))])
-    old, I.band_keys = I.band_keys, lambda text: F.split(keys[text], ",")
-    try:
-        for cell in (256, 1):
-            I.CELL, kept = cell, I.CELL
-            try:
-                assert rows(I.duplicate_groups(texts)) == [(1, 1), (2, 2), (3, 2)]
-            finally:
-                I.CELL = kept
-    finally:
-        I.band_keys = old
-
-
-def test_near_duplicates_without_spaces(spark):
-    from kledger.operators import ingest as I
-
-    rng = random.Random(3)
-    long = "".join(rng.choice("abcdefghij") for _ in range(3000))
-    texts = spark.createDataFrame([(1, long), (2, long[:-1] + "z"), (3, "q" * 50)], "id bigint, text string")
-    assert rows(I.duplicate_groups(texts)) == [(1, 1), (2, 1), (3, 3)]
-
-
 def test_late_rows_stay_in_totals_and_old_keys_stay_known(spark, tmp_path):
     from kledger.streaming import jobs as S
 
