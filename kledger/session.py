@@ -51,16 +51,28 @@ def ship_code(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``. Only a local session without one gets its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="kledger-shared-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder, so lost executors never replay a long plan.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a session without one
-    (tests, a laptop) gets a folder of its own.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session without one
+    gets a folder of its own.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        target = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(target or tempfile.mkdtemp(prefix="kledger-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     # a checkpoint runs its input once to count it and once to write it; held rows make the second run a copy
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
