@@ -1,6 +1,7 @@
 """Named jobs go on where they stopped, take deliveries in any order, and read bounded state."""
 
 import random
+import uuid
 from collections import Counter
 from pathlib import Path
 
@@ -11,6 +12,12 @@ from kledger.plans import stream
 from kledger.streaming import jobs as S
 
 
+@pytest.fixture
+def job():
+    """A name no earlier run has used: the checkpoint folder may outlive a test session."""
+    return f"test-{uuid.uuid4().hex}"
+
+
 def send(df, path):
     return lambda: df.write.mode("append").parquet(path)
 
@@ -39,15 +46,14 @@ def orders(n, parts):
 
 
 @pytest.mark.parametrize("order", ["in order", "backwards", "mixed"])
-def test_streaks_in_any_order(spark, order):
+def test_streaks_in_any_order(spark, order, job):
     rows, schema = outcome_rows(), "worker bigint, seq bigint, status string"
     want = table(failure_streaks(spark.createDataFrame(rows, schema)), "worker", "seq", "streak", "pause")
     parts = slices(spark, rows, schema, orders(len(rows), 4)[order])
     source, deliver = stream.delivered(spark, parts, "outcomes")
-    name = f"streaks-{order.replace(' ', '-')}"
-    got = S.streaks(spark, source, deliver, name=name)
+    got = S.streaks(spark, source, deliver, name=job)
     assert table(got, "worker", "seq", "streak", "pause") == want
-    late = S.late_rows(spark, name, schema).count()
+    late = S.late_rows(spark, job, schema).count()
     assert late == 0 if order == "in order" else late > 0
 
 
@@ -63,7 +69,7 @@ def test_corpus_versions_in_any_order(spark, order):
     assert table(S.corpus_versions(spark, source, deliver), "seq", "doc_id", "action") == sorted(want)
 
 
-def test_a_stopped_job_goes_on_under_its_name(spark, tmp_path):
+def test_a_stopped_job_goes_on_under_its_name(spark, tmp_path, job):
     """Each call is a new stream query over what has arrived since; together they give the batch result."""
     rows, schema = outcome_rows(), "worker bigint, seq bigint, status string"
     parts = slices(spark, rows, schema, orders(len(rows), 3)["in order"])
@@ -72,13 +78,13 @@ def test_a_stopped_job_goes_on_under_its_name(spark, tmp_path):
     read = lambda: S.read_stream(spark, path, None, schema=parts[0].schema)
     for part in parts:
         send(part, path)()
-        got = S.streaks(spark, read(), name="resumed")
-    again = S.streaks(spark, read(), name="resumed")  # nothing new: nothing counts twice
+        got = S.streaks(spark, read(), name=job)
+    again = S.streaks(spark, read(), name=job)  # nothing new: nothing counts twice
     want = table(failure_streaks(spark.createDataFrame(rows, schema)), "worker", "seq", "streak")
     assert table(got, "worker", "seq", "streak") == want == table(again, "worker", "seq", "streak")
 
 
-def test_a_failing_step_is_replayed_once(spark, tmp_path):
+def test_a_failing_step_is_replayed_once(spark, tmp_path, job):
     """A job that dies between writing its state and committing its batch counts that batch once."""
     path = str(tmp_path / "ledger")
     spark.sql("SELECT timestamp '2024-01-05 10:00:00' ts, 'm' model, 2L input_tokens, 1L output_tokens").write.parquet(path)
@@ -92,17 +98,17 @@ def test_a_failing_step_is_replayed_once(spark, tmp_path):
     S.KeyedState.save = dies
     try:
         with pytest.raises(Exception, match="stopped here"):
-            S.token_totals(spark, S.read_stream(spark, path), name="dies")
-        got = S.token_totals(spark, S.read_stream(spark, path), name="dies")
+            S.token_totals(spark, S.read_stream(spark, path), name=job)
+        got = S.token_totals(spark, S.read_stream(spark, path), name=job)
     finally:
         S.KeyedState.save = save
     assert table(got, "input_tokens", "calls") == [(2, 1)]
 
 
-def test_a_feed_has_a_lasting_cursor(spark, tmp_path):
+def test_a_feed_has_a_lasting_cursor(spark, tmp_path, job):
     path, schema = str(tmp_path / "history"), "note_id string, status string, created string, reviewed_at string"
     spark.createDataFrame([], schema).write.parquet(path)
-    read = lambda after: S.change_feed(spark, S.read_stream(spark, path, None, schema=spark.read.parquet(path).schema), name="feed", after=after)
+    read = lambda after: S.change_feed(spark, S.read_stream(spark, path, None, schema=spark.read.parquet(path).schema), name=job, after=after)
     spark.createDataFrame([("a", "active", "2024-01-01", None), ("b", "merged", "2024-01-02", None)], schema).write.mode("append").parquet(path)
     first = table(read(-1), "note_id", "batch")
     assert [n for n, _ in first] == ["a", "b"]
@@ -112,34 +118,34 @@ def test_a_feed_has_a_lasting_cursor(spark, tmp_path):
     assert [n for n, _ in table(read(-1), "note_id", "batch")] == ["a", "b", "c"]
 
 
-def test_intake_knows_old_keys_after_a_restart(spark, tmp_path):
+def test_intake_knows_old_keys_after_a_restart(spark, tmp_path, job):
     path = str(tmp_path / "jobs")
     seen = Counter()
     for keys in (["a", "b", None], ["b", "c"], ["a", None, "d", "d"]):
         spark.createDataFrame([(k,) for k in keys], "idempotency_key string").coalesce(1).write.mode("append").parquet(path)
         seen.update(keys)
-        out = S.job_intake(spark, S.read_stream(spark, path), name="intake-restart")
+        out = S.job_intake(spark, S.read_stream(spark, path), name=job)
         assert sorted(str(r[0]) for r in out.collect()) == sorted(map(str, seen))
 
 
-def test_view_ignores_older_images(spark):
+def test_view_ignores_older_images(spark, job):
     schema = "note_id string, fingerprint string, version int"
     parts = [[("a", "x", 2), ("b", "p", 1)], [("a", "w", 1), ("b", "p", 2)], [("b", "q", 3), ("c", "r", 1)]]
     source, deliver = stream.delivered(spark, [spark.createDataFrame(p, schema) for p in parts], "images")
-    got = S.search_view(spark, source, deliver, name="older-images")
+    got = S.search_view(spark, source, deliver, name=job)
     assert table(got, "note_id", "fingerprint", "writes") == [("a", "x", 1), ("b", "q", 2), ("c", "r", 1)]
-    assert table(S.late_rows(spark, "older-images", schema), "note_id", "fingerprint") == [("a", "w")]
+    assert table(S.late_rows(spark, job, schema), "note_id", "fingerprint") == [("a", "w")]
 
 
-def test_state_does_not_grow_with_batches(spark, tmp_path):
+def test_state_does_not_grow_with_batches(spark, tmp_path, job):
     """Twelve batches over the same keys: what a batch reads stays as large as after the second."""
     path = str(tmp_path / "outcomes")
     sizes = []
     for b in range(12):
         spark.createDataFrame([(w, b * 10 + w, "failed") for w in range(8)], "worker bigint, seq bigint, status string").coalesce(1).write.mode("append").parquet(path)
-        S.streaks(spark, S.read_stream(spark, path), name="long-running")
-        folder = Path(S.Job(spark, "long-running").folder.removeprefix("file:"))
+        S.streaks(spark, S.read_stream(spark, path), name=job)
+        folder = Path(S.Job(spark, job).folder.removeprefix("file:"))
         sizes.append((sum(f.stat().st_size for f in (folder / "state/rows").rglob("part-*")), len(list((folder / "state/manifest").iterdir()))))
     assert max(s for s, _ in sizes[2:]) <= 1.5 * sizes[2][0] and max(n for _, n in sizes) <= 3
-    out = S.streaks(spark, S.read_stream(spark, path), name="long-running")
+    out = S.streaks(spark, S.read_stream(spark, path), name=job)
     assert {r.streak for r in out.filter("seq >= 110").collect()} == {12}
