@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import merge
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +24,8 @@ VERSION = r"[vV]?\d+(?:\.\d+)+(?:[-.][A-Za-z][\w.]*)?"
 PERCENT = r"\d+(?:\.\d+)?\s*%"
 NUMBER = r"\d+(?:\.\d+)?"
 UNIT = r"[A-Za-z%]{1,4}|[年月日天周次个条块倍位万亿人]"
-WORD_END = r"[^\s\d，。；、：:,.!?！？()（）「」【】\[\]\"'`*#>_+/=~|&]*$"
-TOKEN = rf"(?s)(.*?)(?:({DATE})|({CHAPTER})|({VERSION})|({PERCENT})|({NUMBER})\s*({UNIT})?)"
-KINDS = ("date", "chapter", "version", "percent", "number")
+BREAKS = frozenset("，。；、：:,.!?！？()（）「」【】[]\"'`*#>_+/=~|&")
+KINDS = {"date": DATE, "chapter": CHAPTER, "version": VERSION, "percent": PERCENT, "number": rf"({NUMBER})\s*({UNIT})?"}
 ACTIONS = {"consistent": "refresh_reviewed_at", "newer": "supersede", "more_specific": "merge", "conflicting": "open_conflict", "uncertain": "none"}
 CONSERVATIVE = ("conflicting", "uncertain")
 GUARD = "entities_disjoint"
@@ -50,54 +53,69 @@ def normalized_columns(floor: Column, consistent: Column, supersede: Column) ->
     return [f.alias("floor"), c.alias("consistent"), F.least(c, F.greatest(f, supersede)).alias("supersede")]
 
 
-def _plain_number(raw: Column) -> Column:
-    """Digits without leading and trailing zeros that carry no value."""
-    whole = F.regexp_replace(raw, r"^0+(?=\d)", "")
-    return F.when(whole.contains("."), F.regexp_replace(F.regexp_replace(whole, r"0+$", ""), r"\.$", "")).otherwise(whole)
+SCANS = [(kind, re.compile(pattern)) for kind, pattern in KINDS.items()]
+CJK_DATE = re.compile(r"(\d{4})\s*年\s*(\d{1,2})\s*月(?:\s*(\d{1,2})\s*日)?")
+TOKENS = "array<struct<pos: int, kind: string, value: string, raw: string, unit: string, context: string, slot: string>>"
 
 
-def _value(kind: Column, raw: Column) -> Column:
-    year, month, day = (F.regexp_extract(raw, r"(\d{4})\s*年\s*(\d{1,2})\s*月(?:\s*(\d{1,2})\s*日)?", g) for g in (1, 2, 3))
-    iso = F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.when(day != "", F.concat(F.lit("-"), F.lpad(day, 2, "0"))).otherwise(""))
-    number = F.regexp_replace(F.regexp_extract(raw, r"\d+", 0), r"^0+(?=\d)", "")
-    part = F.when(raw.contains("章") | F.lower(raw).contains("ch"), "章").when(raw.contains("节"), "节").when(raw.contains("条"), "条").otherwise("款")
-    return (
-        F.when(kind == "date", F.when(year != "", iso).otherwise(raw))
-        .when(kind == "chapter", F.concat(number, part))
-        .when(kind == "version", F.lower(F.regexp_replace(F.regexp_replace(raw, r"^[vV]+", ""), r"[.\-]+$", "")))
-        .when(kind == "percent", F.replace(raw, F.lit(" "), F.lit("")))
-        .otherwise(_plain_number(raw))
-    )
+def _value(kind: str, raw: str) -> str:
+    """What is compared: ISO dates, numbered parts, versions without prefix, numbers with six significant digits."""
+    if kind == "date":
+        cjk = CJK_DATE.search(raw)
+        return "-".join(f"{int(x):0{4 if i == 0 else 2}d}" for i, x in enumerate(cjk.groups()) if x) if cjk else raw
+    if kind == "chapter":
+        part = "章" if "章" in raw or "ch" in raw.lower() else next((c for c in "节条" if c in raw), "款")
+        return f"{int(re.search(r'\d+', raw).group())}{part}"
+    if kind == "version":
+        return raw.lstrip("vV").rstrip(".-").lower()
+    return raw.replace(" ", "") if kind == "percent" else f"{float(raw):g}"
 
 
-def fact_tokens(texts: DataFrame, owner: str = "owner_id", column: str = "text") -> DataFrame:
-    """(owner, pos, kind, value, raw, unit, context, slot), each (kind, value, slot) once, at its first position.
+def _context(text: str, start: int) -> str:
+    """The word that ends before ``start``: back to white space, a digit or a break (a hyphen is none), its last characters."""
+    end = start
+    while end and text[end - 1].isspace():
+        end -= 1
+    begin = end
+    while begin and not (text[begin - 1] in BREAKS or text[begin - 1].isspace() or text[begin - 1].isdecimal()):
+        begin -= 1
+    return text[begin:end].strip("-")[-CONTEXT_CHARS:]
 
-    One ordered alternation finds the tokens left to right. Every match also carries the text before it, so
-    the word in front of a token is read from the original text even where the previous token ended inside it.
-    """
-    # \G ties each search to the end of the last match: text after the last token is read once, not once per start
-    found = F.regexp_extract_all(column, F.lit(TOKEN.replace("(?s)", r"(?s)\G", 1)), 0)
-    rows = texts.select(owner, F.posexplode(F.arrays_zip(found.alias("m"), F.slice(F.concat(F.array(F.lit("")), found), 1, F.greatest(F.size(found), F.lit(1))).alias("before"))).alias("pos", "z"))
-    rows = rows.select(owner, "pos", F.col("z.m").alias("m"), F.col("z.before").alias("before")).filter("m IS NOT NULL")
-    part = [F.regexp_extract("m", f"^{TOKEN}$".replace("^(?s)", "(?s)^"), g) for g in range(1, 8)]
-    # generating the parts as one row keeps each pattern at one evaluation; a plain projection would be merged into
-    # the expressions below and run its patterns once per branch
-    parts = F.struct(*[p.alias(n) for p, n in zip(part, ("_prefix", *KINDS, "_unit"), strict=True)])
-    rows = rows.select(owner, "pos", "before", F.inline(F.array(parts)))
-    kind = F.when(F.col("date") != "", "date").when(F.col("chapter") != "", "chapter").when(F.col("version") != "", "version").when(F.col("percent") != "", "percent").otherwise("number")
-    raw = F.when(F.col("date") != "", F.col("date")).when(F.col("chapter") != "", F.col("chapter")).when(F.col("version") != "", F.col("version")).when(F.col("percent") != "", F.col("percent")).otherwise(F.col("number"))
-    # the context is at most six characters before the token, so only the tail is searched
-    tail = F.right(F.rtrim(F.concat("before", "_prefix"), F.lit(" \t\n\r\f\x0b")), F.lit(64))
-    word = F.regexp_extract(tail, WORD_END, 0)
-    word = F.regexp_replace(word, "^-+|-+$", "")
-    token = F.struct(kind.alias("kind"), raw.alias("raw"), F.lower("_unit").alias("unit"), F.right(word, F.lit(CONTEXT_CHARS)).alias("context"))
-    rows = rows.select(owner, "pos", F.inline(F.array(token)))
-    rows = rows.withColumn("value", _value(F.col("kind"), F.col("raw")))
-    slot = F.when(F.col("kind") == "number", F.concat_ws(":", "kind", "unit", "context")).otherwise(F.concat_ws(":", "kind", "context"))
-    rows = rows.withColumn("slot", slot)
-    first = F.min_by(F.struct("pos", "raw", "unit", "context"), "pos").alias("f")
-    return rows.groupBy(owner, "kind", "value", "slot").agg(first).select(owner, "f.pos", "kind", "value", "f.raw", "f.unit", "f.context", "slot")
+
+def _spans(rank: int, text: str) -> Iterator[tuple[int, int, re.Match]]:
+    return ((m.start(), rank, m) for m in SCANS[rank][1].finditer(text))
+
+
+def sweep(text: str | None) -> list[dict]:
+    """The fact tokens of one text. Every kind is searched on its own; where spans overlap, the one that starts first stays,
+    of those with one start the kind named first. ``pos`` counts what stays; a (kind, value, slot) is kept once."""
+    out: dict[tuple, dict] = {}
+    free = pos = 0
+    for start, rank, m in merge(*(_spans(rank, text or "") for rank in range(len(SCANS))), key=lambda s: s[:2]):
+        if start < free:
+            continue
+        free, kind = m.end(), SCANS[rank][0]
+        raw, unit = (m.group(1), (m.group(2) or "").lower()) if kind == "number" else (m.group(), "")
+        context, value = _context(text, start), _value(kind, raw)
+        slot = f"{kind}:{unit}:{context}" if kind == "number" else f"{kind}:{context}"
+        out.setdefault((kind, value, slot), {"pos": pos, "kind": kind, "value": value, "raw": raw, "unit": unit, "context": context, "slot": slot})
+        pos += 1
+    return list(out.values())
+
+
+def tokens(text: str | Column) -> Column:
+    """The fact tokens of each text. The sweep depends on what the last token covered, which column expressions cannot carry."""
+
+    @F.pandas_udf(TOKENS)
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([sweep(t) for t in texts])
+
+    return found(text)
+
+
+def fact_tokens(texts: DataFrame, owner: str = "owner_id", column: str = "text") -> DataFrame:
+    """(owner, pos, kind, value, raw, unit, context, slot), each (kind, value, slot) of an owner once, at its first position."""
+    return texts.select(owner, F.inline(tokens(F.col(column))))
 
 
 def comparable() -> Column:
@@ -153,27 +171,27 @@ def matched_source(sources: Column, url: Column) -> Column:
     return F.when(url != "", F.try_element_at(F.filter(sources, lambda s: s["url"] == url), F.lit(1)))
 
 
-def with_similarity(pairs: DataFrame, prior_text: str = "prior_text", evidence_text: str = "evidence_text") -> DataFrame:
-    enc = V.encoder()
-    df = pairs.withColumns({"_va": enc(F.col(prior_text)), "_vb": enc(F.col(evidence_text))})
-    sim = V.similarity_from(V.dot(F.col("_va"), F.col("_vb")), V.norm2(F.col("_va")), V.norm2(F.col("_vb")))
-    return df.withColumn("similarity", sim).drop("_va", "_vb")
-
-
 def compare(pairs: DataFrame, settings: VerificationSettings | None = None) -> DataFrame:
     """Verdict, suggested action and guard of every pair.
 
     ``pairs``: pair_id, prior_id, evidence_id, prior_text, evidence_text, prior_entities, evidence_entities,
-    sources, source_url, content_hash, source_changed_at, observed_at, created, evidence_observed_at. The cheap
-    similarity floor runs first; only pairs above it are scanned for facts.
+    sources, source_url, content_hash, source_changed_at, observed_at, created, evidence_observed_at. Pair
+    ids are unique; a note is encoded and scanned once, and its text is not carried through the comparison.
     """
     cfg = (settings or VerificationSettings()).normalized()
-    sims = pairs if "similarity" in pairs.columns else with_similarity(pairs)
-    sims = sims.withColumn("disjoint", entities_disjoint(F.col("prior_entities"), F.col("evidence_entities"))).withColumn("ref", matched_source(F.col("sources"), F.col("source_url")))
-    sims = cut_lineage(sims)  # encoded once, read by the floor, both token scans and the ladder
+    prior = pairs.select(F.lit(0).alias("side"), F.col("prior_id").alias("owner_id"), F.col("prior_text").alias("text"))
+    evidence = pairs.select(F.lit(1).alias("side"), F.col("evidence_id").alias("owner_id"), F.col("evidence_text").alias("text"))
+    notes = prior.unionByName(evidence).dropDuplicates(["side", "owner_id"])
+    read = cut_lineage(notes.select("side", "owner_id", V.encoder()("text").alias("v"), tokens("text").alias("t")))  # a note is read once, however many pairs it is in
+    meta = pairs.drop("prior_text", "evidence_text")
+    if "similarity" not in pairs.columns:
+        a, b = (read.filter(f"side = {i}").select(F.col("owner_id").alias(n), F.col("v").alias(f"_{n}")) for i, n in ((0, "prior_id"), (1, "evidence_id")))
+        sim = V.similarity_from(V.dot(F.col("_prior_id"), F.col("_evidence_id")), V.norm2(F.col("_prior_id")), V.norm2(F.col("_evidence_id")))
+        meta = meta.join(a, "prior_id").join(b, "evidence_id").withColumn("similarity", sim).drop("_prior_id", "_evidence_id")
+    sims = meta.withColumn("disjoint", entities_disjoint(F.col("prior_entities"), F.col("evidence_entities"))).withColumn("ref", matched_source(F.col("sources"), F.col("source_url")))
+    sims = cut_lineage(sims)  # read by the floor, the token scan and the ladder; it holds no text
     above = sims.filter(F.col("similarity") >= cfg.floor)
-    p_tok = fact_tokens(above.select(F.col("prior_id").alias("owner_id"), F.col("prior_text").alias("text")).dropDuplicates(["owner_id"]))
-    e_tok = fact_tokens(above.select(F.col("evidence_id").alias("owner_id"), F.col("evidence_text").alias("text")).dropDuplicates(["owner_id"]))
+    p_tok, e_tok = (read.filter(f"side = {i}").select("owner_id", F.inline("t")) for i in (0, 1))
     scan = slot_scan(above.select("pair_id", "prior_id", "evidence_id"), p_tok, e_tok).drop("prior_id", "evidence_id")
     df = sims.join(scan, "pair_id", "left")
     changed = T.parse_ts(F.col("source_changed_at"))
@@ -188,7 +206,8 @@ def compare(pairs: DataFrame, settings: VerificationSettings | None = None) -> D
     )
     guard = F.when((sim >= cfg.floor) & F.col("disjoint"), GUARD)
     out = df.withColumn("verdict", verdict).withColumn("guard", guard)
-    return out.withColumn("suggested_action", action_of(F.col("verdict"))).withColumn("below_floor", sim < cfg.floor).drop("disjoint", "ref")
+    out = out.withColumn("suggested_action", action_of(F.col("verdict"))).withColumn("below_floor", sim < cfg.floor).drop("disjoint", "ref")
+    return out.join(pairs.select("pair_id", "prior_text", "evidence_text"), "pair_id")
 
 
 def action_of(verdict: Column) -> Column:

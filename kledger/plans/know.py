@@ -15,7 +15,8 @@ from kledger.operators.blocks import score_cosine, top_matches, top_matches_grou
 from kledger.plans import fixtures as fx
 from kledger.plans import oracle_base as ob
 from kledger.plans.fn import BASE_SQL, SPECIFICS_SQL, slug_sql
-from kledger.plans.oracle_base import cosine, nid, ts, twin
+from kledger.plans.oracle_base import cosine, nid, ts
+from kledger.plans.oracle_base import ranked_twin as twin
 from kledger.plans.registry import query
 from kledger.session import cut_lineage
 from kledger.sources import pages as PG
@@ -32,13 +33,13 @@ def facts(d: str, s: str) -> str:
 
 
 def evidence_pairs(spark, sf):
-    n = fx.notes(spark, sf).withColumn("cut", F.expr("substr(body, 1, 300)"))
-    other = n.select((F.col("d") - 37).alias("d"), F.col("cut").alias("other"))
+    n = fx.notes(spark, sf)
+    other = n.select((F.col("d") - 37).alias("d"), F.col("body").alias("other"))
     df = n.join(other, "d", "left").withColumn("other", F.coalesce("other", F.lit("")))
     f0, f1 = facts("d", "string"), facts("d + 1", "string")
-    ev = f"CASE d % 4 WHEN 0 THEN concat(cut, {f0}) WHEN 1 THEN concat(cut, {f1}) WHEN 2 THEN concat(other, {f0}) ELSE concat(cut, {f0}, ' 第3章 extra 77 points') END"
+    ev = f"CASE d % 4 WHEN 0 THEN concat(body, {f0}) WHEN 1 THEN concat(body, {f1}) WHEN 2 THEN concat(other, {f0}) ELSE concat(body, {f0}, ' 第3章 extra 77 points') END"
     return df.selectExpr(
-        "d", "note_id AS pair_id", "note_id AS prior_id", "concat('E-', cast(d as string)) AS evidence_id", f"concat(cut, {f0}) AS prior_text", f"{ev} AS evidence_text", "entities AS prior_entities",
+        "d", "note_id AS pair_id", "note_id AS prior_id", "concat('E-', cast(d as string)) AS evidence_id", f"concat(body, {f0}) AS prior_text", f"{ev} AS evidence_text", "entities AS prior_entities",
         "CASE WHEN d % 7 = 0 THEN array('other') WHEN d % 11 = 0 THEN array() ELSE entities END AS evidence_entities", "sources",
         "CASE WHEN d % 2 = 0 THEN sources[0].url ELSE '' END AS source_url", "CASE WHEN d % 16 = 0 THEN '' WHEN d % 12 = 0 THEN 'newhash' ELSE sources[0].content_hash END AS content_hash",
         "source_changed_at", "observed_at", "created", "CASE d % 3 WHEN 1 THEN '2025-06-01T00:00:00' WHEN 2 THEN '2023-01-01T00:00:00' END AS evidence_observed_at", "status",
@@ -47,32 +48,49 @@ def evidence_pairs(spark, sf):
 
 ob.cte(
     "ev_pairs",
-    f"""SELECT d, note_id AS pair_id, note_id AS prior_id, 'E-' || d::VARCHAR AS evidence_id, cut || {facts('d', 'varchar')} AS prior_text,
-  CASE d % 4 WHEN 0 THEN cut || {facts('d', 'varchar')} WHEN 1 THEN cut || {facts('d + 1', 'varchar')} WHEN 2 THEN other || {facts('d', 'varchar')} ELSE cut || {facts('d', 'varchar')} || ' 第3章 extra 77 points' END AS evidence_text,
+    f"""SELECT d, note_id AS pair_id, note_id AS prior_id, 'E-' || d::VARCHAR AS evidence_id, body || {facts('d', 'varchar')} AS prior_text,
+  CASE d % 4 WHEN 0 THEN body || {facts('d', 'varchar')} WHEN 1 THEN body || {facts('d + 1', 'varchar')} WHEN 2 THEN other || {facts('d', 'varchar')} ELSE body || {facts('d', 'varchar')} || ' 第3章 extra 77 points' END AS evidence_text,
   entities AS prior_entities, CASE WHEN d % 7 = 0 THEN ['other'] WHEN d % 11 = 0 THEN []::VARCHAR[] ELSE entities END AS evidence_entities, src_url, src_hash,
   CASE WHEN d % 2 = 0 THEN src_url ELSE '' END AS source_url, CASE WHEN d % 16 = 0 THEN '' WHEN d % 12 = 0 THEN 'newhash' ELSE src_hash END AS content_hash, source_changed_at, observed_at, created,
   CASE d % 3 WHEN 1 THEN '2025-06-01T00:00:00' WHEN 2 THEN '2023-01-01T00:00:00' END AS evidence_observed_at, status
- FROM (SELECT a.*, substr(a.body, 1, 300) AS cut, coalesce(substr(b.body, 1, 300), '') AS other FROM notes a LEFT JOIN notes0 b ON b.d = a.d + 37)""",
+ FROM (SELECT a.*, coalesce(b.body, '') AS other FROM notes a LEFT JOIN notes0 b ON b.d = a.d + 37)""",
     "notes", "notes0", materialized=True,
 )
-PAT = EV.TOKEN.replace("'", "''")
-WORD = EV.WORD_END.replace("'", "''")
+# The rule of the fact scan in SQL: five searches, each over the whole text, and one sweep over what they found.
+SEARCHES = [
+    ("date", r"[0-9]{4}-[0-9]{2}(?:-[0-9]{2})?|[0-9]{4}\s*年\s*[0-9]{1,2}\s*月(?:\s*[0-9]{1,2}\s*日)?"), ("chapter", r"第\s*[0-9]+\s*[章节条款]|(?:[Cc]hapter|CH)\s*[0-9]+"),
+    ("version", r"[vV]?[0-9]+(?:\.[0-9]+)+(?:[-.][A-Za-z][\w.]*)?"), ("percent", r"[0-9]+(?:\.[0-9]+)?\s*%"), ("number", r"[0-9]+(?:\.[0-9]+)?\s*(?:[A-Za-z%]{1,4}|[年月日天周次个条块倍位万亿人])?"),
+]
+WORD = r"""[^\s0-9，。；、：:,.!?！？()（）「」【】\[\]"''`*#>_+/=~|&]*$"""
 
 
 def tokens_cte(name: str, source: str, owner: str, text: str) -> None:
-    num = r"regexp_replace(raw, '^0+([0-9])', '\1')"
-    value = rf"""CASE kind WHEN 'date' THEN CASE WHEN regexp_matches(raw, '年') THEN regexp_extract(raw, '\d{{4}}') || '-' || lpad(regexp_extract(raw, '年\s*(\d+)', 1), 2, '0') || CASE WHEN regexp_matches(raw, '日') THEN '-' || lpad(regexp_extract(raw, '月\s*(\d+)', 1), 2, '0') ELSE '' END ELSE raw END
-   WHEN 'chapter' THEN regexp_replace(regexp_extract(raw, '\d+'), '^0+([0-9])', '\1') || CASE WHEN contains(raw, '章') OR contains(lower(raw), 'ch') THEN '章' WHEN contains(raw, '节') THEN '节' WHEN contains(raw, '条') THEN '条' ELSE '款' END
-   WHEN 'version' THEN lower(regexp_replace(regexp_replace(raw, '^[vV]+', ''), '[.\-]+$', '')) WHEN 'percent' THEN replace(raw, ' ', '')
-   ELSE CASE WHEN contains({num}, '.') THEN regexp_replace(regexp_replace({num}, '0+$', ''), '\.$', '') ELSE {num} END END"""
+    value = r"""CASE kind WHEN 'date' THEN CASE WHEN contains(raw, '年') THEN lpad(regexp_extract(raw, '[0-9]+')::INT::VARCHAR, 4, '0') || '-' || lpad(regexp_extract(raw, '年\s*([0-9]+)', 1)::INT::VARCHAR, 2, '0')
+     || CASE WHEN contains(raw, '日') THEN '-' || lpad(regexp_extract(raw, '月\s*([0-9]+)', 1)::INT::VARCHAR, 2, '0') ELSE '' END ELSE raw END
+   WHEN 'chapter' THEN regexp_extract(raw, '[0-9]+')::HUGEINT::VARCHAR || CASE WHEN contains(raw, '章') OR contains(lower(raw), 'ch') THEN '章' WHEN contains(raw, '节') THEN '节' WHEN contains(raw, '条') THEN '条' ELSE '款' END
+   WHEN 'version' THEN lower(regexp_replace(regexp_replace(raw, '^[vV]+', ''), '[.\-]+$', '')) WHEN 'percent' THEN replace(raw, ' ', '') ELSE printf('%g', raw::DOUBLE) END"""
+    ob.cte(f"{name}_src", f"SELECT {owner} AS owner_id, coalesce({text}, '') AS text FROM {source}", source, materialized=True)
+    # every part ends in a find, so parts lie end to end: their lengths give the places
+    searches = " UNION ALL ".join(rf"SELECT owner_id, {i} AS rank, '{kind}' AS kind, unnest(regexp_extract_all(text, '(?s).*?(?:{pattern})')) AS part, generate_subscripts(regexp_extract_all(text, '(?s).*?(?:{pattern})'), 1) AS i FROM {name}_src" for i, (kind, pattern) in enumerate(SEARCHES))
+    found = " ".join(rf"WHEN '{kind}' THEN regexp_extract(part, '(?s)^.*?({pattern})$', 1)" for kind, pattern in SEARCHES)
+    ob.cte(
+        f"{name}_found",
+        f"""SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY start, rank) AS n FROM (
+   SELECT owner_id, rank, kind, found, stop - length(found) AS start, stop FROM (
+    SELECT owner_id, rank, kind, CASE kind {found} END AS found, sum(length(part)) OVER (PARTITION BY owner_id, rank ORDER BY i)::BIGINT AS stop FROM ({searches})))""",
+        f"{name}_src", materialized=True,
+    )
+    ob.cte(
+        f"{name}_next",
+        f"""SELECT c.owner_id, c.n, f.n AS after FROM {name}_found c ASOF JOIN (SELECT owner_id, start, min(n) AS n FROM {name}_found GROUP BY owner_id, start) f ON f.owner_id = c.owner_id AND c.stop <= f.start""",
+        f"{name}_found", materialized=True,
+    )
+    ob.cte(f"{name}_kept", f"SELECT owner_id, 1::BIGINT AS n, 0 AS pos FROM {name}_found WHERE n = 1 UNION ALL SELECT k.owner_id, x.after, k.pos + 1 FROM {name}_kept k JOIN {name}_next x ON x.owner_id = k.owner_id AND x.n = k.n", f"{name}_found", f"{name}_next")
     ob.cte(
         f"{name}_raw",
-        rf"""SELECT owner_id, pos, g.kind5 AS kind, g.raw AS raw, lower(g.u) AS unit, right(regexp_replace(regexp_extract(regexp_replace(before || g.p, '\s+$', ''), '{WORD}'), '^-+|-+$', '', 'g'), 6) AS context FROM (
-   SELECT owner_id, pos, before, {{'p': e.p, 'u': e.u, 'kind5': CASE WHEN e.d <> '' THEN 'date' WHEN e.c <> '' THEN 'chapter' WHEN e.v <> '' THEN 'version' WHEN e.pc <> '' THEN 'percent' ELSE 'number' END,
-     'raw': CASE WHEN e.d <> '' THEN e.d WHEN e.c <> '' THEN e.c WHEN e.v <> '' THEN e.v WHEN e.pc <> '' THEN e.pc ELSE e.n END}} AS g FROM (
-    SELECT owner_id, pos, before, regexp_extract(m, '{PAT}', ['p', 'd', 'c', 'v', 'pc', 'n', 'u']) AS e FROM (
-     SELECT owner_id, i - 1 AS pos, ms[i] AS m, CASE WHEN i > 1 THEN ms[i - 1] ELSE '' END AS before FROM (SELECT owner_id, ms, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT {owner} AS owner_id, regexp_extract_all({text}, '{PAT}', 0) AS ms FROM {source})))))""",
-        source, materialized=True,
+        rf"""SELECT owner_id, pos, kind, CASE WHEN kind = 'number' THEN regexp_extract(found, '^[0-9]+(?:\.[0-9]+)?') ELSE found END AS raw, CASE WHEN kind = 'number' THEN lower(regexp_extract(found, '^[0-9]+(?:\.[0-9]+)?\s*(.*)$', 1)) ELSE '' END AS unit,
+   right(regexp_replace(regexp_extract(regexp_replace(substr(text, 1, start::INTEGER), '\s+$', ''), '{WORD}'), '^-+|-+$', '', 'g'), 6) AS context FROM {name}_kept JOIN {name}_found USING (owner_id, n) JOIN {name}_src USING (owner_id)""",
+        f"{name}_kept", f"{name}_found", f"{name}_src", materialized=True,
     )
     ob.cte(
         name,
@@ -539,10 +557,10 @@ def upd_10(spark, sf):
 
 def fact_notes(spark, sf):
     """Notes whose bodies end in facts, so that same-entity pairs can conflict."""
-    return fx.notes(spark, sf).withColumn("body", F.expr(f"concat(substr(body, 1, 300), {facts('d', 'string')})")).withColumn("confirmed", F.expr("d % 46 = 0"))
+    return fx.notes(spark, sf).withColumn("body", F.expr(f"concat(body, {facts('d', 'string')})")).withColumn("confirmed", F.expr("d % 46 = 0"))
 
 
-ob.cte("fact_notes", f"SELECT * REPLACE (substr(body, 1, 300) || {facts('d', 'varchar')} AS body) FROM notes", "notes", materialized=True)
+ob.cte("fact_notes", f"SELECT * REPLACE (body || {facts('d', 'varchar')} AS body) FROM notes", "notes", materialized=True)
 ob.vectors("fact_vec", "fact_notes", "note_id", "body", "fact_notes")
 tokens_cte("f_tok", "fact_notes", "note_id", "body")
 ob.cte(
