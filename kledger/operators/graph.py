@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kledger.session import cut_lineage
+from kledger.session import cut_lineage, discard, written
 
 
 def redirects(notes: DataFrame, with_path: bool = False) -> DataFrame:
@@ -65,17 +65,20 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     links by links to the smallest neighbour, with plain aggregates and joins, and the number of edges
     never grows. A hub costs partial minima on the map side, not a gathered group.
     """
-    e = cut_lineage(edges.select("a", "b").filter("a <> b").distinct())
+    e = written(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     previous = None
     while True:
+        # minima are written before they are joined: one row per node, so the join can split a hub's links over tasks
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "edge-minima")
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low2 = down.groupBy("a").agg(F.min("b").alias("m"))
+        down = written(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges-down")
+        low2 = written(down.groupBy("a").agg(F.min("b").alias("m")), "edge-minima")
         small = down.join(low2, "a").select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("m").alias("y")), F.struct(F.col("b").alias("x"), F.col("m").alias("y")))).alias("p"))
         small = small.select(F.col("p.x").alias("a"), F.col("p.y").alias("b")).filter("a <> b").distinct()
-        e = cut_lineage(small)
+        after = written(small, "edges")
+        discard(e, low, down, low2)
+        e = after
         mark = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == previous:
             break

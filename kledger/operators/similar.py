@@ -2,14 +2,14 @@
 
 No hash decides which pairs are compared, so no link is lost. What keeps the work bounded:
 
-* rows of one vector and one key set are one node;
-* the nodes of a key are sorted by their nearest pivot and their angle to it, and cut into cells of bounded size;
+* the rows of a key are sorted by their nearest pivot and their angle to it, and cut into cells of bounded size;
 * links inside cells, then among one head per linked part of a cell, join most of what is dense;
-* every node outside its key's largest connected part then visits the cells of that key, except those whose cap
+* every row outside its key's largest connected part then visits the cells of that key, except those whose cap
   (angles around the cell's centre) lies further away than the threshold allows, and those that are in its own part
   already. A pair inside the largest part can add nothing, so every pair that could is compared.
 
-Cells and visitors meet in slices of bounded size; a task returns pairs of parts, not of rows.
+Cells and visitors meet in slices of bounded size; only a visitor's own vectors travel to a cell, and a task returns
+pairs of parts, not of rows.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kledger.operators.graph import components
-from kledger.session import cut_lineage
+from kledger.session import discard, written
 
 CELL, PURE, PIVOTS = 256, 64, 64
 VISITOR_CELLS, ZONE_CELLS = 64, 2048
@@ -97,7 +97,7 @@ def _cells(rows: DataFrame, threshold: float, size: int) -> DataFrame:
             yield close()
 
     order = ["key", "pivot", "angle", "id"]
-    return cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(cut, CELLS))
+    return written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(cut, CELLS), "alike-cells")
 
 
 def _heads(cells: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def _links(cells: DataFrame) -> DataFrame:
 
 
 def _visits(cells: DataFrame, threshold: float, visitor_cells: int, zone_cells: int) -> DataFrame:
-    """``(a, b, who)``: places in cell ``a`` whose rows must be compared with cell ``b`` of the same key.
+    """``(cell, parts, vectors)``: rows that must be compared with ``cell``, from one other cell of the same key.
 
     ``cells`` has (key, cell, parts, main, vectors), ``main`` being the key's largest part.
     """
@@ -141,7 +141,7 @@ def _visits(cells: DataFrame, threshold: float, visitor_cells: int, zone_cells:
     def sliced(rows: DataFrame, size: int, columns: list[str], name: str) -> DataFrame:
         count = rows.groupBy("key").agg(F.ceil(F.count("*") / size).cast("bigint").alias("_n"))
         held = rows.join(count, "key").withColumn(f"{name}_slice", F.pmod(F.xxhash64("cell"), F.col("_n")))
-        return cut_lineage(held.groupBy("key", f"{name}_slice").agg(F.collect_list(F.struct(*columns)).alias(name)))
+        return held.groupBy("key", f"{name}_slice").agg(F.collect_list(F.struct(*columns)).alias(name))
 
     zones = cells.mapInPandas(summarise, "key string, cell bigint, centre binary, cap double, pure bigint")
     zones = sliced(zones, zone_cells, ["cell", "centre", "cap", "pure"], "zones")
@@ -159,14 +159,15 @@ def _visits(cells: DataFrame, threshold: float, visitor_cells: int, zone_cells:
                 for x in r.visitors:
                     parts = np.asarray(x["parts"], np.int64)
                     at = np.flatnonzero(parts != x["main"])
-                    u = unit(np.frombuffer(x["vectors"], np.int32).reshape(len(parts), -1)[at])
+                    own = np.frombuffer(x["vectors"], np.int32).reshape(len(parts), -1)[at]
+                    u, parts = unit(own), parts[at]
                     apart = np.arccos(np.clip(u @ centres.T, -1, 1))
-                    must = (apart <= caps + wide + 1e-6) & ~(some & (pure == parts[at][:, None]))
-                    out += [(x["cell"], names[j], at[must[:, j]].tolist()) for j in np.flatnonzero(must.any(0))]
-                yield pd.DataFrame(out, columns=["a", "b", "who"])
+                    must = (apart <= caps + wide + 1e-6) & ~(some & (pure == parts[:, None]))
+                    out += [(names[j], parts[must[:, j]].tolist(), own[must[:, j]].tobytes()) for j in np.flatnonzero(must.any(0))]
+                yield pd.DataFrame(out, columns=["cell", "parts", "vectors"])
 
     met = visitors.join(zones, "key").repartition("key", "visitors_slice", "zones_slice")
-    return met.mapInPandas(choose, "a bigint, b bigint, who array<int>")
+    return met.mapInPandas(choose, "cell bigint, parts array<bigint>, vectors binary")
 
 
 def _compare(visits: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
@@ -176,9 +177,8 @@ def _compare(visits: DataFrame, cells: DataFrame, threshold: float) -> DataFrame
         seen: set[tuple[int, int]] = set()
         for f in frames:
             for r in f.itertuples(index=False):
-                mine, theirs = np.asarray(r.a_parts)[r.who], np.asarray(r.b_parts)
-                x = np.frombuffer(r.a_vectors, np.int32).reshape(len(r.a_parts), -1)[r.who]
-                y = np.frombuffer(r.b_vectors, np.int32).reshape(len(theirs), -1)
+                mine, theirs = np.asarray(r.own_parts), np.asarray(r.parts)
+                x, y = (np.frombuffer(v, np.int32).reshape(n, -1) for v, n in ((r.own_vectors, len(mine)), (r.vectors, len(theirs))))
                 i, j = np.nonzero(reached(x, y, threshold) & (mine[:, None] != theirs[None, :]))
                 if len(i):
                     both = np.stack([mine[i], theirs[j]], 1)
@@ -189,8 +189,8 @@ def _compare(visits: DataFrame, cells: DataFrame, threshold: float) -> DataFrame
         if seen:
             yield pd.DataFrame(sorted(seen), columns=["a", "b"])
 
-    side = lambda n: cells.select(F.col("cell").alias(n), F.col("parts").alias(f"{n}_parts"), F.col("vectors").alias(f"{n}_vectors"))
-    return visits.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a bigint, b bigint").distinct()
+    sent = visits.select("cell", F.col("parts").alias("own_parts"), F.col("vectors").alias("own_vectors"))
+    return sent.join(cells.select("cell", "parts", "vectors"), "cell").mapInPandas(run, "a bigint, b bigint").distinct()
 
 
 def linked_groups(rows: DataFrame, threshold: float, cell: int = CELL, visitor_cells: int = VISITOR_CELLS, zone_cells: int = ZONE_CELLS) -> DataFrame:
@@ -201,38 +201,36 @@ def linked_groups(rows: DataFrame, threshold: float, cell: int = CELL, visitor_c
     """
     if threshold <= 0:
         raise ValueError("threshold must be above 0")
-    keys = F.array_sort(F.array_distinct(F.filter("keys", lambda k: k.isNotNull())))
+    keys = F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))
     usable = F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
-    own = rows.select("id", "v", F.when(usable, keys).otherwise(F.array().cast("array<string>")).alias("keys"))
-    own = cut_lineage(own.withColumn("keys", F.coalesce("keys", F.array().cast("array<string>"))))
-    some = own.filter(F.size("keys") > 0)
-    nodes = some.groupBy("v", "keys").agg(F.min("id").alias("id"))
+    own = rows.select("id", "v", F.when(usable, F.coalesce(keys, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")).alias("keys"))
+    nodes = own.filter(F.size("keys") > 0)
     pivots = [r[0] for r in nodes.orderBy(F.xxhash64("id"), "id").select("v").limit(PIVOTS).collect()]  # for the order alone
     if not pivots:
         return own.select("id", F.col("id").alias("component"))
-    each = nodes.select("id", "v", F.explode("keys").alias("key"))
-    cells = level = _cells(_placed(each, unit(np.array(pivots))), threshold, cell)
+    placed = written(_placed(nodes.select("id", "v", F.explode("keys").alias("key")), unit(np.array(pivots))), "alike-placed")  # range bounds are read from it first
+    cells = level = _cells(placed, threshold, cell)
+    discard(placed)
     links, before = _links(cells), None
     while True:
-        sizes = level.groupBy("key").agg(F.count("*").alias("cells"))
-        heads = level.select("key", F.explode("ids"), "parts").groupBy().agg(F.count("*")).first()[0] if before is None else before
-        inside = sizes.filter("cells > 1").select("key")
-        many = level.join(inside, "key", "left_semi")
-        rest = cut_lineage(_heads(many))
+        if before is None:
+            before = cells.agg(F.sum(F.size("ids"))).first()[0]
+        several = level.groupBy("key").agg(F.count("*").alias("cells")).filter("cells > 1").select("key")
+        rest = written(_heads(level.join(several, "key", "left_semi")), "alike-heads")
         left = rest.count()
-        if left == 0 or left > 0.7 * heads:
+        if left == 0 or left > 0.7 * before:
             break
         level, before = _cells(rest, threshold, cell), left
         links = links.unionByName(_links(level))
-    parts = cut_lineage(components(links, nodes.select("id")))
+        discard(rest)
+    parts = written(components(links, nodes.select("id")), "alike-parts")
     flat = cells.select("key", "cell", F.posexplode("ids").alias("at", "id")).join(parts, "id")
     sizes = flat.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     told = flat.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "component"))), lambda x: x["component"]).alias("parts"))
-    known = cut_lineage(cells.drop("parts").join(told, "cell").join(main, "key").select("key", "cell", "parts", "main", "vectors"))
-    between = cut_lineage(_compare(_visits(known, threshold, visitor_cells, zone_cells), known, threshold))
+    known = written(cells.drop("parts").join(told, "cell").join(main, "key").select("key", "cell", "parts", "main", "vectors"), "alike-known")
+    between = written(_compare(_visits(known, threshold, visitor_cells, zone_cells), known, threshold), "alike-between")
+    discard(known, cells)
     joined = components(between, parts.select(F.col("component").alias("id")).distinct())
     final = parts.join(joined.select(F.col("id").alias("component"), F.col("component").alias("whole")), "component").select("id", F.col("whole").alias("component"))
-    rep = some.join(nodes.select("v", "keys", F.col("id").alias("rep")), ["v", "keys"]).select("id", "rep")
-    of = rep.join(final.withColumnRenamed("id", "rep"), "rep").select("id", "component")
-    return own.select("id").join(of, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return own.select("id").join(final, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -79,3 +81,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         return held.checkpoint(eager=True)
     finally:
         held.unpersist()
+
+
+_PLACES: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a compressed table in the shared folder: computed once, and read again from there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no later plan reads."""
+    for df in tables:
+        ref, path = _PLACES.pop(id(df), (None, None))
+        if ref is not None and ref() is df:
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
