@@ -77,13 +77,12 @@ def judge_outputs(spark, sf):
         f"CASE item_id % 5 WHEN 0 THEN concat('{{', {body}, '}}') WHEN 1 THEN concat('```json\\n{{', {body}, '}}\\n```') WHEN 2 THEN concat('Sure {{no}}: {{', {body}, '}} done') WHEN 3 THEN '{{\"coverage\": 3}}'"
         " ELSE '{\"coverage\": true, \"citation\": 2, \"temporal\": 3, \"reasons\": \"x\"}' END"
     ).replace("{{", "{").replace("}}", "}")
-    return fx.eval_rows(spark, sf).withColumn("k", F.expr("item_id * 4 + cast(substr(condition, 2, 1) as int) - 1")).select("item_id", "qid", "condition", "k", F.expr(raw).alias("raw"))
+    return fx.eval_rows(spark, sf).select("item_id", "qid", "condition", "k", F.expr(raw).alias("raw"))
 
 
 ob.cte(
     "judged",
-    """SELECT item_id, qid, condition, CASE WHEN item_id % 5 <= 2 THEN greatest(1, least(5, k % 7))::INTEGER END AS coverage, CASE WHEN item_id % 5 <= 2 THEN greatest(1, least(5, round_even(k % 5 + 0.5, 0)))::INTEGER END AS citation, CASE WHEN item_id % 5 <= 2 THEN (k % 4 + 1)::INTEGER END AS temporal
- FROM (SELECT *, item_id * 4 + substr(condition, 2, 1)::INTEGER - 1 AS k FROM eval_rows)""",
+    """SELECT k, item_id, qid, condition, CASE WHEN item_id % 5 <= 2 THEN greatest(1, least(5, k % 7))::INTEGER END AS coverage, CASE WHEN item_id % 5 <= 2 THEN greatest(1, least(5, round_even(k % 5 + 0.5, 0)))::INTEGER END AS citation, CASE WHEN item_id % 5 <= 2 THEN (k % 4 + 1)::INTEGER END AS temporal FROM eval_rows""",
     "eval_rows",
 )
 
@@ -116,10 +115,10 @@ def evl_02(spark, sf):
     return A.condition_matrix(s).join(judge_means(M.judge_scores(judge_outputs(spark, sf))), "condition").join(A.coverage_means(s).drop("em_n"), "condition")
 
 
-@query("EVL-03", twin(f"SELECT {SCORED}, qtype, input_tokens, j.coverage AS judge_coverage FROM scored s JOIN (SELECT qid, condition, coverage FROM judged) j USING (qid, condition)", "scored", "judged"))
+@query("EVL-03", twin(f"SELECT {SCORED}, qtype, input_tokens, j.coverage AS judge_coverage FROM scored s JOIN (SELECT k, coverage FROM judged) j USING (k)", "scored", "judged"))
 def evl_03(spark, sf):
-    j = M.judge_scores(judge_outputs(spark, sf)).select("qid", "condition", F.col("coverage").alias("judge_coverage"))
-    return scored(spark, sf).join(j, ["qid", "condition"]).select("qid", "condition", F.round("em", 6).alias("em"), "refusal", F.round("citation_coverage", 6).alias("citation_coverage"), "qtype", "input_tokens", "judge_coverage")
+    j = M.judge_scores(judge_outputs(spark, sf)).select("k", F.col("coverage").alias("judge_coverage"))
+    return scored(spark, sf).join(j, "k").select("qid", "condition", F.round("em", 6).alias("em"), "refusal", F.round("citation_coverage", 6).alias("citation_coverage"), "qtype", "input_tokens", "judge_coverage")
 
 
 @query("SRC-11", twin("SELECT condition, '| ' || condition || ' | ' || n::VARCHAR || ' | ' || em_n::VARCHAR || ' | a／b |' AS line FROM (SELECT condition, count(*) AS n, count(em) AS em_n FROM scored GROUP BY condition)", "scored"))
@@ -274,9 +273,9 @@ def evl_07(spark, sf):
     return A.verdict_table(fx.seq_rows(spark, sf))
 
 
-@query("JN-17", twin("SELECT s.run, s.event_id, s.condition, CASE WHEN gold_source = 'override' THEN 'override' ELSE coalesce(substr(b.text, 1, 20), '') END AS gold, gold_source, qtype FROM seq_rows s LEFT JOIN benchmark b ON 'q' || b.item_id::VARCHAR = s.qid WHERE event_kind = 'query'", "seq_rows"))
+@query("JN-17", twin("SELECT s.run, s.event_id, s.condition, CASE WHEN gold_source = 'override' THEN 'override' ELSE coalesce(b.text, '') END AS gold, gold_source, qtype FROM seq_rows s LEFT JOIN benchmark b ON 'q' || b.item_id::VARCHAR = s.qid WHERE event_kind = 'query'", "seq_rows"))
 def jn_17(spark, sf):
-    gold = fx.table(spark, sf, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("qid"), F.substring("text", 1, 20).alias("base_gold"))
+    gold = fx.table(spark, sf, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("qid"), F.col("text").alias("base_gold"))
     over = F.when(F.col("gold_source") == "override", F.lit("override"))
     rows = fx.seq_rows(spark, sf).filter("event_kind = 'query'").join(gold, "qid", "left")
     return rows.select("run", "event_id", "condition", F.coalesce(over, "base_gold", F.lit("")).alias("gold"), "gold_source", "qtype")
@@ -392,7 +391,7 @@ def evl_08(spark, sf):
     from kledger.operators.validate import qa_errors
 
     b = fx.table(spark, sf, "benchmark").selectExpr(
-        "item_id", f"{_QA.format(s='string')} AS qid", "substr(text, 1, 40) AS question",
+        "item_id", f"{_QA.format(s='string')} AS qid", "text AS question",
         "CASE WHEN item_id % 6 = 0 THEN 'riddle' ELSE element_at(array('single_hop', 'multi_hop', 'temporal', 'unanswerable'), cast(item_id % 4 + 1 as int)) END AS qtype",
         "CASE WHEN item_id % 4 = 3 THEN CASE WHEN item_id % 8 = 7 THEN array('p') ELSE array() END WHEN item_id % 5 = 0 THEN array('p') ELSE array('p', 'q', 'r') END AS gold_points",
     )
@@ -432,7 +431,7 @@ def evl_11(spark, sf):
 
 
 # ---- model output ----------------------------------------------------------------------------------
-_TXT = "CASE turn % 4 WHEN 0 THEN concat('{{\"k\": ', cast(turn as string), ', \"t\": \"a}}b\"}}') WHEN 1 THEN concat('```json\\n{{\"k\": ', cast(turn as string), '}}\\n```') WHEN 2 THEN concat(replace(substr(text, 1, 40), '{{', ' '), ' {{bad}} then {{\"k\": ', cast(turn as string), '}} tail') ELSE replace(substr(text, 1, 30), '{{', ' ') END".replace("{{", "{").replace("}}", "}")
+_TXT = "CASE turn % 4 WHEN 0 THEN concat('{{\"k\": ', cast(turn as string), ', \"t\": \"a}}b\"}}') WHEN 1 THEN concat('```json\\n{{\"k\": ', cast(turn as string), '}}\\n```') WHEN 2 THEN concat(replace(text, '{{', ' '), ' {{bad}} then {{\"k\": ', cast(turn as string), '}} tail') ELSE replace(text, '{{', ' ') END".replace("{{", "{").replace("}}", "}")
 
 
 @query("LLM-01", "SELECT conv_id, turn, CASE WHEN turn % 4 <> 3 THEN turn END AS k FROM conversations")
@@ -448,8 +447,8 @@ def udf_03(spark, sf):
 
 
 def extraction(spark, sf):
-    n = fx.notes(spark, sf).filter("d % 5 = 0")
-    good = "to_json(struct(substr(body, 1, 300) AS text, concat(entities[0], '，', entities[1], ',', entities[0]) AS entities, upper(confidence) AS confidence, 'odd' AS volatility, array(sources[0].url, 'http://outside/') AS source_urls))"
+    n = fx.notes(spark, sf)
+    good = "to_json(struct(body AS text, concat(entities[0], '，', entities[1], ',', entities[0]) AS entities, upper(confidence) AS confidence, 'odd' AS volatility, array(sources[0].url, 'http://outside/') AS source_urls))"
     small = "to_json(struct(concat('n', cast(d as string)) AS text, 'x' AS entities))"
     items = f"concat_ws(',', {good}, '{{\"text\": \" \"}}', '\"str\"', {small}" + f", CASE WHEN d % 20 = 0 THEN concat_ws(',', {', '.join([small] * 8)}) END)".replace("{{", "{")
     raw = f"concat('Here: {{\"notes\": [', {items}, '], \"conflicts\": [{{\"summary\": \" s', cast(d as string), ' \", \"action\": \"a\"}}, {{\"summary\": \"\"}}, 3]}}')".replace("{{", "{").replace("}}", "}")
@@ -457,22 +456,22 @@ def extraction(spark, sf):
 
 
 def extraction_pool(spark, sf):
-    return fx.notes(spark, sf).filter("d % 5 = 0 AND d % 3 <> 0").select(F.col("note_id").alias("run"), F.col("sources")[0]["url"].alias("url"))
+    return fx.notes(spark, sf).filter("d % 3 <> 0").select(F.col("note_id").alias("run"), F.col("sources")[0]["url"].alias("url"))
 
 
-@query("LLM-02", twin("""SELECT note_id AS run, pos::INTEGER AS pos, CASE WHEN pos = 0 THEN length(substr(trim(substr(body, 1, 300)), 1, 240)) ELSE length('n' || d::VARCHAR) END::INTEGER AS n_chars, CASE WHEN pos = 0 THEN entities[1] || '|' || entities[2] ELSE 'x' END AS entities,
-  CASE WHEN pos = 0 THEN confidence ELSE 'medium' END AS confidence, 'stable' AS volatility, CASE WHEN pos = 0 AND d % 3 <> 0 THEN 1 ELSE 0 END::BIGINT AS n_urls FROM (SELECT *, unnest(CASE WHEN d % 20 = 0 THEN range(8) ELSE range(2) END) AS pos FROM notes WHERE d % 5 = 0)""", "notes"))
+@query("LLM-02", twin("""SELECT note_id AS run, pos::INTEGER AS pos, CASE WHEN pos = 0 THEN length(substr(trim(body), 1, 240)) ELSE length('n' || d::VARCHAR) END::INTEGER AS n_chars, CASE WHEN pos = 0 THEN entities[1] || '|' || entities[2] ELSE 'x' END AS entities,
+  CASE WHEN pos = 0 THEN confidence ELSE 'medium' END AS confidence, 'stable' AS volatility, CASE WHEN pos = 0 AND d % 3 <> 0 THEN 1 ELSE 0 END::BIGINT AS n_urls FROM (SELECT *, unnest(CASE WHEN d % 20 = 0 THEN range(8) ELSE range(2) END) AS pos FROM notes)""", "notes"))
 def llm_02(spark, sf):
     out = M.extracted_notes(extraction(spark, sf), extraction_pool(spark, sf))
     return out.select("run", "pos", F.length("text").alias("n_chars"), F.array_join("entities", "|").alias("entities"), "confidence", "volatility", "n_urls")
 
 
-@query("LLM-02-counters", twin("SELECT note_id AS run, 2::INTEGER AS dropped, CASE WHEN length(trim(substr(body, 1, 300))) > 240 THEN 1 ELSE 0 END::INTEGER AS cut, CASE WHEN d % 20 = 0 THEN 2 ELSE 0 END::INTEGER AS over_cap FROM notes0 WHERE d % 5 = 0", "notes0"))
+@query("LLM-02-counters", twin("SELECT note_id AS run, 2::INTEGER AS dropped, CASE WHEN length(trim(body)) > 240 THEN 1 ELSE 0 END::INTEGER AS cut, CASE WHEN d % 20 = 0 THEN 2 ELSE 0 END::INTEGER AS over_cap FROM notes0", "notes0"))
 def llm_02_counters(spark, sf):
     return M.extraction_counters(extraction(spark, sf))
 
 
-@query("LLM-03", twin("SELECT note_id AS run, 0::INTEGER AS pos, 's' || d::VARCHAR AS summary, 'a' AS action FROM notes0 WHERE d % 5 = 0", "notes0"))
+@query("LLM-03", twin("SELECT note_id AS run, 0::INTEGER AS pos, 's' || d::VARCHAR AS summary, 'a' AS action FROM notes0", "notes0"))
 def llm_03(spark, sf):
     return M.extracted_conflicts(extraction(spark, sf))
 

@@ -104,10 +104,9 @@ def wiki_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def phrase_queries(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").filter("doc_id % 25 = 0").selectExpr(
-        "concat('D-', cast(doc_id as string)) AS qid", "trim(substr(text, 11, 24)) AS q"
-    )
-    bench = table(spark, sf, "benchmark").selectExpr("concat('B-', cast(item_id as string)) AS qid", "trim(substr(text, 1, 24)) AS q")
+    """Every document is asked for by a quotation of 24 characters, and every benchmark text by itself."""
+    docs = table(spark, sf, "documents").selectExpr("concat('D-', cast(doc_id as string)) AS qid", "trim(substr(text, 11, 24)) AS q")
+    bench = table(spark, sf, "benchmark").selectExpr("concat('B-', cast(item_id as string)) AS qid", "trim(text) AS q")
     return docs.unionByName(bench)
 
 
@@ -116,7 +115,8 @@ def bench_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def short_queries(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").filter("doc_id % 100 = 0").selectExpr(
+    """A query of one or two characters from every document."""
+    return table(spark, sf, "documents").selectExpr(
         "concat('S-', cast(doc_id as string)) AS qid", "trim(substr(text, 1, 2)) AS q"
     )
 
@@ -151,26 +151,23 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def eval_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """benchmark item x condition, answers cut from documents."""
+    """Every document, whole, is an answer to one benchmark item under one condition; ``k`` is the answer's id."""
     items = table(spark, sf, "benchmark").selectExpr("item_id", "text AS item_text")
-    grid = items.select("*", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("c"))
-    docs = table(spark, sf, "documents").selectExpr("doc_id", "substr(text, 1, 400) AS doc_text")
-    ev = table(spark, sf, "events").select("event_id", "value", "event_type")
-    g = grid.withColumn("k", F.expr("item_id * 4 + c"))
-    n_docs = table(spark, sf, "documents").count()
+    n_items = max(1, items.count())
+    docs = table(spark, sf, "documents").selectExpr("doc_id AS k", "text AS doc_text", f"doc_id % {n_items} AS item_id", f"(doc_id div {n_items}) % 4 AS c")
+    ev = table(spark, sf, "events").selectExpr("event_id AS k", "value")
     return (
-        g.withColumn("dk", F.expr(f"k % {n_docs}"))
-        .join(docs, F.col("dk") == docs.doc_id, "left")
-        .join(ev, F.col("k") == ev.event_id, "left")
+        docs.join(items, "item_id")
+        .join(ev, "k", "left")
         .selectExpr(
-            "item_id", "concat('q', cast(item_id as string)) AS qid", "concat('c', cast(c + 1 as string)) AS condition",
+            "k", "item_id", "concat('q', cast(item_id as string)) AS qid", "concat('c', cast(c + 1 as string)) AS condition",
             "element_at(array('single_hop', 'multi_hop', 'temporal', 'unanswerable'), cast(item_id % 4 + 1 as int)) AS qtype",
             "CASE WHEN k % 9 = 0 THEN '资料未提及。' WHEN k % 7 = 0 THEN NULL WHEN k % 2 = 0 THEN concat(doc_text, ' [1] [3] ', item_text) ELSE concat(doc_text, ' [2] ') END AS answer",
             "CASE WHEN item_id % 4 = 3 THEN array() ELSE array(substr(item_text, 1, 12), substr(item_text, 21, 12), substr(item_text, 41, 12)) END AS gold_points",
             "cast(floor(value * 100) as bigint) AS input_tokens", "cast(floor(value * 10) as bigint) AS output_tokens",
             "value * 7 AS latency_ms",
             "CASE WHEN c IN (0, 3) THEN cast(floor(value) as bigint) % 6 END AS fresh_search_count",
-            "concat('t', cast(item_id as string), '-c', cast(c + 1 as string)) AS trace_id",
+            "concat('t', cast(k as string)) AS trace_id",
             "cast(k % 4 as int) AS n_sources",
         )
     )
@@ -208,10 +205,11 @@ def seq_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unanswered(spark: SparkSession, sf: str) -> DataFrame:
-    """Open ledger questions: every twentieth document asks its first 80 characters."""
-    return table(spark, sf, "documents").filter("doc_id % 20 = 0").selectExpr(
-        f"{nid('doc_id')} AS note_id", "substr(text, 1, 80) AS question", "concat('2024-05-0', cast(doc_id % 9 + 1 as string)) AS asked_date",
-        "CASE WHEN doc_id % 40 = 0 THEN 'no_notes' ELSE 'below_min_fresh' END AS reason",
+    """Open ledger questions: every user turn, whole."""
+    d = "conv_id * 1000 + turn"
+    return table(spark, sf, "conversations").filter("role = 'user'").selectExpr(
+        f"{nid(d)} AS note_id", "text AS question", "concat('2024-05-0', cast(conv_id % 9 + 1 as string)) AS asked_date",
+        "CASE WHEN conv_id % 2 = 0 THEN 'no_notes' ELSE 'below_min_fresh' END AS reason",
     )
 
 
@@ -222,14 +220,13 @@ def guard_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    """Conflict ledger: notes d and d + 37 for every fiftieth d; open when d is a multiple of 100."""
-    n = notes(spark, sf, with_sources=False).selectExpr("d", "note_id", "title", "body", "entities", "concat(title, ' ', substr(body, 1, 400)) AS t")
-    a = n.filter("d % 50 = 0")
+    """Conflict ledger: notes d and d + 37 for every d; every second one is open."""
+    n = notes(spark, sf, with_sources=False).selectExpr("d", "note_id", "title", "body", "entities", "concat(title, ' ', body) AS t")
     b = n.selectExpr("d - 37 AS d", "note_id AS note_b", "entities AS entities_b", "t AS text_b", "title AS title_b")
-    return a.join(b, "d", "left").selectExpr(
+    return n.join(b, "d", "left").selectExpr(
         "concat('C-', lpad(cast(d as string), greatest(6, length(cast(d as string))), '0')) AS conflict_id", "d", "note_id AS note_a", "note_b",
-        "CASE WHEN d % 100 = 0 THEN 'open' ELSE 'resolved' END AS status", "concat('topic-', cast(d % 37 as string)) AS entity",
-        "t AS text_a", "coalesce(text_b, '') AS text_b", "entities AS entities_a", "entities_b", "substr(title, 1, 20) AS value_a", "substr(title_b, 1, 20) AS value_b",
+        "CASE WHEN d % 2 = 0 THEN 'open' ELSE 'resolved' END AS status", "concat('topic-', cast(d % 37 as string)) AS entity",
+        "t AS text_a", "coalesce(text_b, '') AS text_b", "entities AS entities_a", "entities_b", "title AS value_a", "title_b AS value_b",
     )
 
 

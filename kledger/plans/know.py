@@ -266,21 +266,24 @@ def jn_04_window(spark, sf):
 
 
 def candidates(spark, sf):
-    """Every tenth document comes back as a candidate: whole, cut, or too short."""
-    n = fx.notes(spark, sf).filter("d % 10 = 3")
-    return n.selectExpr(
-        "d", "concat('K-', lpad(cast(d as string), greatest(9, length(cast(d as string))), '0')) AS cand_id", "CASE WHEN d % 20 = 3 THEN body WHEN d % 50 = 13 THEN substr(body, 1, 15) ELSE substr(body, 1, cast(200 + d % 300 as int)) END AS text",
-        "CASE WHEN d % 30 = 3 THEN array('elsewhere') ELSE entities END AS entities", "CASE WHEN d % 40 = 23 THEN array('') ELSE array(sources[0].url) END AS urls",
+    """Every page is a candidate, with its whole text; every fifth brings a stored note back, and some say next to nothing."""
+    pages = fx.page_versions(spark, sf).select(F.col("page_id").alias("d"), "url", F.col("text").alias("page"))
+    known = fx.notes(spark, sf, False).select("d", "body", F.col("entities").alias("own"))
+    return pages.join(known, "d", "left").selectExpr(
+        "d", "concat('K-', lpad(cast(d as string), greatest(9, length(cast(d as string))), '0')) AS cand_id",
+        "CASE WHEN d % 50 = 13 THEN concat('page ', cast(d as string)) WHEN d % 5 = 0 AND body IS NOT NULL THEN body ELSE page END AS text",
+        "CASE WHEN d % 30 = 3 OR own IS NULL THEN array('elsewhere') ELSE own END AS entities", "CASE WHEN d % 40 = 23 THEN array('') ELSE array(url) END AS urls",
         "CASE d % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS confidence", "CASE d % 4 WHEN 0 THEN 'volatile' WHEN 1 THEN 'drifting' ELSE 'stable' END AS volatility",
     )
 
 
 ob.cte(
     "cands",
-    """SELECT d, 'K-' || lpad(d::VARCHAR, greatest(9, length(d::VARCHAR))::INTEGER, '0') AS cand_id, CASE WHEN d % 20 = 3 THEN body WHEN d % 50 = 13 THEN substr(body, 1, 15) ELSE substr(body, 1, 200 + d % 300) END AS text,
-  CASE WHEN d % 30 = 3 THEN ['elsewhere'] ELSE entities END AS entities, CASE WHEN d % 40 = 23 THEN [''] ELSE [src_url] END AS urls, CASE d % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS confidence,
-  CASE d % 4 WHEN 0 THEN 'volatile' WHEN 1 THEN 'drifting' ELSE 'stable' END AS volatility FROM notes WHERE d % 10 = 3""",
-    "notes", materialized=True,
+    """SELECT page_id AS d, 'K-' || lpad(page_id::VARCHAR, greatest(9, length(page_id::VARCHAR))::INTEGER, '0') AS cand_id,
+  CASE WHEN page_id % 50 = 13 THEN 'page ' || page_id::VARCHAR WHEN page_id % 5 = 0 AND n.body IS NOT NULL THEN n.body ELSE p.text END AS text,
+  CASE WHEN page_id % 30 = 3 OR n.entities IS NULL THEN ['elsewhere'] ELSE n.entities END AS entities, CASE WHEN page_id % 40 = 23 THEN [''] ELSE [p.url] END AS urls, CASE page_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS confidence,
+  CASE page_id % 4 WHEN 0 THEN 'volatile' WHEN 1 THEN 'drifting' ELSE 'stable' END AS volatility FROM page_versions p LEFT JOIN notes0 n ON n.d = p.page_id""",
+    "page_versions", "notes0", materialized=True,
 )
 ob.cte("cand_texts", "SELECT cand_id, trim(text) AS text FROM cands", "cands")
 ob.cte("trimmed", "SELECT d, trim(body) AS body FROM notes0", "notes0")
@@ -510,15 +513,15 @@ def ag_18(spark, sf):
     return U.action_counts(decided(spark, sf))
 
 
-_CMD = "CASE WHEN d % 44 = 0 THEN 'N-none' ELSE note_id END AS note_id, CASE d % 3 WHEN 0 THEN 'revise' WHEN 1 THEN 'supersede' ELSE 'invalidate' END AS op, CASE WHEN d % 10 = 0 THEN ' ' ELSE 'because' END AS reason, CASE WHEN d % 14 = 0 THEN '' ELSE substr(body, 1, 50) END AS text"
+_CMD = "CASE WHEN d % 44 = 0 THEN 'N-none' ELSE note_id END AS note_id, CASE d % 3 WHEN 0 THEN 'revise' WHEN 1 THEN 'supersede' ELSE 'invalidate' END AS op, CASE WHEN d % 10 = 0 THEN ' ' ELSE 'because' END AS reason, CASE WHEN d % 14 = 0 THEN '' ELSE body END AS text"
 
 
 @query("UPD-08", twin(f"""SELECT cmd_id, note_id, op, outcome, CASE WHEN outcome = 'ok' THEN CASE WHEN op = 'revise' THEN 'active' ELSE 'superseded' END END AS new_status, CASE WHEN outcome = 'ok' AND op <> 'revise' THEN 'N-X' || cmd_id::VARCHAR END AS new_note_id,
   outcome = 'ok' AND op = 'invalidate' AS tombstone FROM (SELECT c.*, CASE WHEN n.status IS NULL THEN 'not_found' WHEN n.status <> 'active' THEN 'not_active' WHEN trim(reason) = '' THEN 'reason_required' WHEN op <> 'invalidate' AND trim(text) = '' THEN 'text_required' ELSE 'ok' END AS outcome
- FROM (SELECT d AS cmd_id, {_CMD} FROM notes0 WHERE d % 2 = 0) c LEFT JOIN notes0 n ON n.note_id = c.note_id)""", "notes0"))
+ FROM (SELECT d AS cmd_id, {_CMD} FROM notes0) c LEFT JOIN notes0 n ON n.note_id = c.note_id)""", "notes0"))
 def upd_08(spark, sf):
     n = fx.notes(spark, sf, False)
-    cmds = n.filter("d % 2 = 0").selectExpr("d AS cmd_id", *[x.strip() for x in _split_select(_CMD)])
+    cmds = n.selectExpr("d AS cmd_id", *[x.strip() for x in _split_select(_CMD)])
     return U.run_commands(cmds, n, fx.NOW).select("cmd_id", "note_id", "op", "outcome", "new_status", "new_note_id", "tombstone")
 
 
@@ -677,9 +680,9 @@ def con_10(spark, sf):
     return rows.join(rows.filter("pair_no % 3 = 0").select("a_id", "b_id"), ["a_id", "b_id"], "left_anti").select("a_id", "b_id", "slot")
 
 
-@query("CON-11", twin("""WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ledger, job_id ORDER BY seq DESC) AS rn FROM job_log) WHERE rn = 1), c AS (SELECT event_id AS cmd_id, user_id AS ledger, 'J-' || lpad((event_id % 100)::VARCHAR, 4, '0') AS job_id, CASE WHEN event_id % 2 = 0 THEN 'retry' ELSE 'skip' END AS op FROM events WHERE event_id % 5 = 0)
+@query("CON-11", twin("""WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ledger, job_id ORDER BY seq DESC) AS rn FROM job_log) WHERE rn = 1), c AS (SELECT event_id AS cmd_id, user_id AS ledger, 'J-' || lpad((event_id % 100)::VARCHAR, 4, '0') AS job_id, CASE WHEN event_id % 2 = 0 THEN 'retry' ELSE 'skip' END AS op FROM events)
  SELECT cmd_id, ledger, job_id, op, outcome, CASE WHEN outcome = 'ok' THEN CASE WHEN op = 'retry' THEN 'pending' ELSE 'skipped' END END AS status, CASE WHEN outcome = 'ok' THEN attempt + CASE WHEN op = 'retry' THEN 1 ELSE 0 END END::BIGINT AS attempt FROM (
  SELECT c.*, f.attempt, CASE WHEN f.status IS NULL THEN 'unknown_job' WHEN op = 'retry' AND f.status <> 'failed' THEN 'only_failed_can_retry' WHEN op = 'skip' AND f.status NOT IN ('pending', 'failed') THEN 'only_pending_or_failed_can_skip' ELSE 'ok' END AS outcome FROM c LEFT JOIN f USING (ledger, job_id))""", "job_log"))
 def con_11(spark, sf):
-    cmds = fx.table(spark, sf, "events").filter("event_id % 5 = 0").selectExpr("event_id AS cmd_id", "user_id AS ledger", "concat('J-', lpad(cast(event_id % 100 as string), 4, '0')) AS job_id", "CASE WHEN event_id % 2 = 0 THEN 'retry' ELSE 'skip' END AS op")
+    cmds = fx.table(spark, sf, "events").selectExpr("event_id AS cmd_id", "user_id AS ledger", "concat('J-', lpad(cast(event_id % 100 as string), 4, '0')) AS job_id", "CASE WHEN event_id % 2 = 0 THEN 'retry' ELSE 'skip' END AS op")
     return CO.transition(cmds, fx.job_log(spark, sf))

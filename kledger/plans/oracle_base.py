@@ -132,12 +132,12 @@ cte(
 )
 cte(
     "phrase_queries",
-    """SELECT 'D-' || doc_id::VARCHAR AS qid, trim(substr(text, 11, 24)) AS q FROM documents WHERE doc_id % 25 = 0
- UNION ALL SELECT 'B-' || item_id::VARCHAR, trim(substr(text, 1, 24)) FROM benchmark""",
+    """SELECT 'D-' || doc_id::VARCHAR AS qid, trim(substr(text, 11, 24)) AS q FROM documents
+ UNION ALL SELECT 'B-' || item_id::VARCHAR, trim(text) FROM benchmark""",
     materialized=True,
 )
 cte("bench_queries", "SELECT 'B-' || item_id::VARCHAR AS qid, text AS q FROM benchmark")
-cte("short_queries", "SELECT 'S-' || doc_id::VARCHAR AS qid, trim(substr(text, 1, 2)) AS q FROM documents WHERE doc_id % 100 = 0")
+cte("short_queries", "SELECT 'S-' || doc_id::VARCHAR AS qid, trim(substr(text, 1, 2)) AS q FROM documents")
 cte(
     "token_ledger",
     """SELECT event_id, ts, user_id::VARCHAR || '-' || strftime(ts, '%Y-%m-%d') AS trace_id, event_type AS step, 'm' || (user_id % 3)::VARCHAR AS model,
@@ -157,15 +157,14 @@ cte(
 )
 cte(
     "eval_rows",
-    """SELECT item_id, 'q' || item_id::VARCHAR AS qid, 'c' || (c + 1)::VARCHAR AS condition,
+    """SELECT k, item_id, 'q' || item_id::VARCHAR AS qid, 'c' || (c + 1)::VARCHAR AS condition,
   ['single_hop', 'multi_hop', 'temporal', 'unanswerable'][item_id % 4 + 1] AS qtype,
   CASE WHEN k % 9 = 0 THEN '资料未提及。' WHEN k % 7 = 0 THEN NULL WHEN k % 2 = 0 THEN doc_text || ' [1] [3] ' || item_text ELSE doc_text || ' [2] ' END AS answer,
   CASE WHEN item_id % 4 = 3 THEN []::VARCHAR[] ELSE [substr(item_text, 1, 12), substr(item_text, 21, 12), substr(item_text, 41, 12)] END AS gold_points,
   floor(value * 100)::BIGINT AS input_tokens, floor(value * 10)::BIGINT AS output_tokens, value * 7 AS latency_ms,
   CASE WHEN c IN (0, 3) THEN floor(value)::BIGINT % 6 END AS fresh_search_count,
-  't' || item_id::VARCHAR || '-c' || (c + 1)::VARCHAR AS trace_id, k % 4 AS n_sources
- FROM (SELECT item_id, text AS item_text, c, item_id * 4 + c AS k FROM benchmark, range(4) r(c)) g
- LEFT JOIN (SELECT doc_id, substr(text, 1, 400) AS doc_text FROM documents) d ON d.doc_id = g.k % (SELECT count(*) FROM documents)
+  't' || k::VARCHAR AS trace_id, k % 4 AS n_sources
+ FROM (SELECT item_id, b.text AS item_text, (doc_id // n) % 4 AS c, doc_id AS k, d.text AS doc_text FROM documents d, (SELECT count(*) AS n FROM benchmark) JOIN benchmark b ON b.item_id = d.doc_id % n) g
  LEFT JOIN events e ON e.event_id = g.k""",
     materialized=True,
 )
@@ -317,17 +316,17 @@ def hybrid(name: str, key: str, vec: str, k: int) -> None:
 
 cte(
     "unanswered",
-    f"""SELECT doc_id AS d, {nid('doc_id')} AS note_id, substr(text, 1, 80) AS question, '2024-05-0' || (doc_id % 9 + 1)::VARCHAR AS asked_date,
-  CASE WHEN doc_id % 40 = 0 THEN 'no_notes' ELSE 'below_min_fresh' END AS reason FROM documents WHERE doc_id % 20 = 0""",
+    f"""SELECT conv_id * 1000 + turn AS d, {nid('conv_id * 1000 + turn')} AS note_id, text AS question, '2024-05-0' || (conv_id % 9 + 1)::VARCHAR AS asked_date,
+  CASE WHEN conv_id % 2 = 0 THEN 'no_notes' ELSE 'below_min_fresh' END AS reason FROM conversations WHERE role = 'user'""",
 )
 cte("guard_queries", "SELECT 'B-' || item_id::VARCHAR AS qid, text || CASE WHEN item_id % 4 = 0 THEN ' topic-' || (item_id % 37)::VARCHAR ELSE '' END AS q FROM benchmark")
 cte(
     "conflicts",
     """SELECT 'C-' || lpad(a.d::VARCHAR, greatest(6, length(a.d::VARCHAR))::INTEGER, '0') AS conflict_id, a.d, a.note_id AS note_a, b.note_id AS note_b,
-  CASE WHEN a.d % 100 = 0 THEN 'open' ELSE 'resolved' END AS status, 'topic-' || (a.d % 37)::VARCHAR AS entity,
-  a.title || ' ' || substr(a.body, 1, 400) AS text_a, coalesce(b.title || ' ' || substr(b.body, 1, 400), '') AS text_b, a.entities AS entities_a, b.entities AS entities_b,
-  substr(a.title, 1, 20) AS value_a, substr(b.title, 1, 20) AS value_b
- FROM notes0 a LEFT JOIN notes0 b ON b.d = a.d + 37 WHERE a.d % 50 = 0""",
+  CASE WHEN a.d % 2 = 0 THEN 'open' ELSE 'resolved' END AS status, 'topic-' || (a.d % 37)::VARCHAR AS entity,
+  a.title || ' ' || a.body AS text_a, coalesce(b.title || ' ' || b.body, '') AS text_b, a.entities AS entities_a, b.entities AS entities_b,
+  a.title AS value_a, b.title AS value_b
+ FROM notes0 a LEFT JOIN notes0 b ON b.d = a.d + 37""",
     "notes0", materialized=True,
 )
 vectors("guard_vec", "guard_queries", "qid", "q", "guard_queries")

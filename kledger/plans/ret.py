@@ -218,11 +218,11 @@ def ret_12(spark, sf):
 ob.keyword("kw_truth", "bench_queries", 1 << 30)
 ob.cte(
     "truth",
-    f"""SELECT 'D-' || doc_id::VARCHAR AS qid, {nid('doc_id')} AS note_id FROM documents WHERE doc_id % 25 = 0
+    f"""SELECT 'D-' || doc_id::VARCHAR AS qid, {nid('doc_id')} AS note_id FROM documents
  UNION ALL SELECT qid, note_id FROM kw_truth_hits""",
     "kw_truth_hits",
 )
-ob.cte("forbid", f"SELECT 'D-' || doc_id::VARCHAR AS qid, {nid('doc_id + 1')} AS note_id FROM documents WHERE doc_id % 25 = 0")
+ob.cte("forbid", f"SELECT 'D-' || doc_id::VARCHAR AS qid, {nid('doc_id + 1')} AS note_id FROM documents")
 GATE = """WITH r AS (SELECT 'fts' AS channel, qid, note_id, rank FROM kw_phrase UNION ALL SELECT 'vector', qid, note_id, rank FROM nn_phrase UNION ALL SELECT 'hybrid', qid, note_id, rank FROM hy_phrase),
  nt AS (SELECT qid, count(*) AS n FROM truth GROUP BY qid),
  h AS (SELECT r.channel, r.qid, count(*) FILTER (rank <= 3) AS h3, count(*) FILTER (rank <= 5) AS h5, min(CASE WHEN rank <= 5 THEN rank END) AS first FROM r JOIN truth t USING (qid, note_id) GROUP BY ALL),
@@ -234,12 +234,12 @@ GATE = """WITH r AS (SELECT 'fts' AS channel, qid, note_id, rank FROM kw_phrase
 
 
 def truth(spark, sf):
-    d = fx.table(spark, sf, "documents").filter("doc_id % 25 = 0").selectExpr("concat('D-', cast(doc_id as string)) AS qid", f"{fx.nid('doc_id')} AS note_id")
+    d = fx.table(spark, sf, "documents").selectExpr("concat('D-', cast(doc_id as string)) AS qid", f"{fx.nid('doc_id')} AS note_id")
     return d.unionByName(R.phrase_hits(notes(spark, sf), fx.bench_queries(spark, sf)).select("qid", "note_id"))
 
 
 def forbid(spark, sf):
-    return fx.table(spark, sf, "documents").filter("doc_id % 25 = 0").selectExpr("concat('D-', cast(doc_id as string)) AS qid", f"{fx.nid('doc_id + 1')} AS note_id")
+    return fx.table(spark, sf, "documents").selectExpr("concat('D-', cast(doc_id as string)) AS qid", f"{fx.nid('doc_id + 1')} AS note_id")
 
 
 def gate_rankings(spark, sf):
