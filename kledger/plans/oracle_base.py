@@ -247,14 +247,19 @@ def ranked_twin(main: str, *needs: str) -> str:
 def keyword(name: str, queries: str, pool: int) -> None:
     """``name``: BM25-ranked phrase hits of ``queries`` (qid, q)."""
     cte(
-        f"{name}_hits",
-        f"""SELECT qid, note_id, tf, doc_len FROM (SELECT qid, note_id, doc_len,
-    (CASE WHEN contains(t, q) THEN len(list_filter(range(1, length(t) - length(q) + 2), lambda i: substr(t, i, length(q)) = q)) ELSE 0 END
-   + CASE WHEN contains(b, q) THEN len(list_filter(range(1, length(b) - length(q) + 2), lambda i: substr(b, i, length(q)) = q)) ELSE 0 END)::BIGINT AS tf
-  FROM (SELECT qid, lower(trim(q)) AS q FROM {queries} WHERE length(trim(q)) >= 3) x
-  JOIN (SELECT note_id, lower(title) AS t, lower(body) AS b, (greatest(length(title) - 2, 0) + greatest(length(body) - 2, 0))::BIGINT AS doc_len FROM notes0) n ON contains(n.t, x.q) OR contains(n.b, x.q)) WHERE tf > 0""",
+        f"{name}_parts",
+        f"""SELECT qid, q, note_id, doc_len, unnest([t, b]) AS part FROM (SELECT qid, lower(trim(q)) AS q FROM {queries} WHERE length(trim(q)) >= 3) x
+  JOIN (SELECT note_id, lower(title) AS t, lower(body) AS b, (greatest(length(title) - 2, 0) + greatest(length(body) - 2, 0))::BIGINT AS doc_len FROM notes0) n ON contains(n.t, x.q) OR contains(n.b, x.q)""",
         queries, "notes0", materialized=True,
     )
+    # one row per occurrence; the next one may overlap it
+    cte(
+        f"{name}_at",
+        f"""SELECT qid, q, note_id, doc_len, substr(part, strpos(part, q) + 1) AS rest FROM {name}_parts WHERE contains(part, q)
+ UNION ALL SELECT qid, q, note_id, doc_len, substr(rest, strpos(rest, q) + 1) FROM {name}_at WHERE contains(rest, q)""",
+        f"{name}_parts",
+    )
+    cte(f"{name}_hits", f"SELECT qid, note_id, count(*)::BIGINT AS tf, doc_len FROM {name}_at GROUP BY ALL", f"{name}_at", materialized=True)
     cte(
         f"{name}_scored",
         f"""SELECT qid, note_id, tf, round(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2::DOUBLE

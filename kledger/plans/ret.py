@@ -14,7 +14,8 @@ from kledger.operators.metrics import channel_metrics
 from kledger.plans import fixtures as fx
 from kledger.plans import oracle_base as ob
 from kledger.plans.fn import FINGERPRINT_SQL, slug_sql, with_fingerprint
-from kledger.plans.oracle_base import nid, ranked_twin, twin
+from kledger.plans.oracle_base import nid, ranked_twin
+from kledger.plans.oracle_base import ranked_twin as twin
 from kledger.plans.registry import query
 
 K = 5
