@@ -1,10 +1,11 @@
 """Nearest neighbours by largest cosine over robust-pruned directed graphs, one per shard.
 
-Equal vectors are one node (with its smallest ids), so a vector that very many rows share is one node too. Nodes
-are dealt to shards by a hash of the vector. A shard's graph grows in batches: a greedy beam search from the
+Vectors of one direction (to twelve digits of their largest component) are one node with its smallest ids and their
+vectors, so copies, also scaled ones, are one node however many there are. Nodes are dealt to shards by a hash of
+the direction. A shard's graph grows in batches: a greedy beam search from the
 entry proposes neighbours for each new node, relaxed pruning keeps those that no kept neighbour covers, and the
 edges go both ways, pruned again where a list overflows. Graphs are written to the shared folder. Blocks of
-queries then search every shard by beam search; scores are computed in double precision.
+queries then search every shard by beam search; all of the beam is scored in double precision.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from kledger.llm.common import written
 
 SHARD_ROWS, DEGREE, BEAM, RELAX = 4096, 32, 96, 1.2
 BLOCK = 256
-GRAPH = "dim int, shard int, n int, vectors binary, edges binary, entries binary, ids array<array<bigint>>"
+GRAPH = "dim int, shard int, n int, vectors binary, edges binary, entries binary, members binary, ids array<array<bigint>>"
+DIGITS = 12
 
 
 def usable(vector: Column) -> Column:
@@ -149,25 +151,33 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _level(v: np.ndarray) -> np.ndarray:
+    """Vectors brought near length one by powers of two: cosines stay the same to the last digit, and no square overflows."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])
+
+
 def build_index(vectors: DataFrame, keep: int, shard_rows: int = SHARD_ROWS, degree: int = DEGREE, beam: int = BEAM, relax: float = RELAX) -> DataFrame:
     """The written graphs over every usable row of ``vectors`` (vec_id, embedding): one row per shard.
 
-    ``keep`` ids of each group of equal vectors are listed, smallest first; a search for k neighbours that leaves
-    the query's own row out needs k + 1.
+    ``keep`` rows of each direction are listed, smallest ids first; a search for k neighbours that leaves the
+    query's own row out needs k + 1. Rows of one direction tie, so the ones left out cannot be among the nearest.
     """
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-    nth = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    most = F.array_max(F.transform("embedding", lambda x: F.abs(x)))
+    rows = rows.withColumn("most", most).withColumn("direction", F.transform("embedding", lambda x: F.rint(x / F.col("most") * 10.0**DIGITS) + 0.0)).drop("most")
+    nth = F.row_number().over(Window.partitionBy("direction").orderBy("vec_id"))
     some = rows.withColumn("nth", nth).filter(F.col("nth") <= keep)
-    nodes = written(some.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "ann-nodes")
+    nodes = written(some.groupBy("direction").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("rows")), "ann-nodes")
     total = nodes.count()
     shards = max(1, -(-total // shard_rows))
-    dealt = nodes.withColumn("dim", F.size("embedding")).withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int"))
+    dealt = nodes.select("direction", F.col("rows.vec_id").alias("ids"), F.col("rows.embedding").alias("members"), F.size("direction").alias("dim"), F.pmod(F.xxhash64("direction"), F.lit(shards)).cast("int").alias("shard"))
 
     def build(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("first").reset_index(drop=True)
-        v = np.stack(f["embedding"].to_numpy())
+        v = np.stack(f["direction"].to_numpy())
+        members = np.stack([m for node in f["members"] for m in node])
         edges, entries = build_graph(_unit(v), degree, beam, relax)
-        return pd.DataFrame([(int(f["dim"][0]), int(f["shard"][0]), len(f), v.tobytes(), edges.tobytes(), entries.tobytes(), [list(map(int, x)) for x in f["ids"]])], columns=[c.split()[0] for c in GRAPH.split(", ")])
+        return pd.DataFrame([(int(f["dim"][0]), int(f["shard"][0]), len(f), v.tobytes(), edges.tobytes(), entries.tobytes(), members.tobytes(), [list(map(int, x)) for x in f["ids"]])], columns=[c.split()[0] for c in GRAPH.split(", ")])
 
     graphs = dealt.withColumn("first", F.get("ids", F.lit(0))).groupBy("dim", "shard").applyInPandas(build, GRAPH)
     return written(graphs, "ann-graphs")
@@ -190,15 +200,20 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, block
         for f in frames:
             for r in f.itertuples(index=False):
                 v = np.frombuffer(r.vectors, np.float64).reshape(r.n, r.dim)
+                members = _level(np.frombuffer(r.members, np.float64).reshape(-1, r.dim))
+                ids, count = np.concatenate(r.ids), np.array([len(i) for i in r.ids])
+                ends = np.cumsum(count)
                 edges = np.frombuffer(r.edges, np.int32).reshape(r.n, -1)
-                own = np.stack([x["embedding"] for x in r.queries])
+                own = _level(np.stack([x["embedding"] for x in r.queries]))
                 found, _ = beam_search(_unit(v), edges, np.frombuffer(r.entries, np.int32).astype(np.int64), _unit(own), max(beam, 2 * k))
                 out = []
-                for query, vec, nodes in zip((x["vec_id"] for x in r.queries), own, found[:, : 2 * k + 2], strict=True):
+                for query, vec, nodes in zip((x["vec_id"] for x in r.queries), own, found, strict=True):
                     nodes = nodes[nodes >= 0]
-                    near = v[nodes]
+                    per = count[nodes]
+                    at = np.repeat(ends[nodes] - np.cumsum(per), per) + np.arange(per.sum())
+                    near = members[at]
                     scores = near @ vec / (np.sqrt((near * near).sum(1)) * np.sqrt(vec @ vec))
-                    best = [(-s, int(i)) for s, node in zip(scores.tolist(), nodes.tolist(), strict=True) for i in r.ids[node] if i != query]
+                    best = [(-s, i) for s, i in zip(scores.tolist(), ids[at].tolist(), strict=True) if i != query]
                     out += [(int(query), i, -s) for s, i in sorted(best)[:k]]
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 

@@ -39,14 +39,16 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        # the tokenizer's white space lacks four separators that str.split() cuts at
+        self.separators, self.space = re.compile("[\x1c-\x1f]"), re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
         self.combining = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]")
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(parts, add_special_tokens=False)]
 
     def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of parts not in the memo. A final ``.`` or ``,`` after a letter is a token of its own."""
-        stem = {w: w[:-1] for w in parts if w[-1] in ".," and w[-2:-1].isalpha() and "<|" not in w}
+        """Ids of parts not in the memo. A final ``.`` or ``,`` after an ASCII letter is a token of its own; other letters may change when normalised."""
+        stem = {w: w[:-1] for w in parts if w[-1] in ".," and "a" <= w[-2:-1] <= "z" and "<|" not in w}
         need = [w for w in dict.fromkeys([*(stem.get(w, w) for w in parts), *{w[-1] for w in stem}]) if w not in self.memo]
         got = dict(zip(need, self._encode(need), strict=True))
         for w, s in stem.items():
@@ -60,7 +62,7 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if not self.combining.search(text):  # composition may differ by case, so such texts keep theirs
             text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-        parts = text.split()
+        parts = text.split() if not self.separators.search(text) else [p for p in self.space.split(text) if p]
         try:
             return b"".join(map(self.memo.__getitem__, parts))
         except KeyError:

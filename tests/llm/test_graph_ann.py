@@ -50,7 +50,20 @@ def test_edges(spark):
     ship_code(spark)
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [1.0, 1.0]), (6, []), (50, [2.0, 0.0]), (7, [1e300, 1e300]), (100, None)]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id bigint, embedding array<double>, dim string, shard int")
-    got = {(r.query_id, r["rank"]): r.vec_id for r in graph_ann.nearest(df.filter("vec_id != 7"), df.filter("vec_id % 50 = 0"), 5).collect()}
-    assert got == {(0, 1): 50, (0, 2): 5, (50, 1): 0, (50, 2): 5}
+    got = {(r.query_id, r["rank"]): r.vec_id for r in graph_ann.nearest(df, df.filter("vec_id % 50 = 0"), 5).collect()}
+    assert got == {(0, 1): 50, (0, 2): 5, (0, 3): 7, (50, 1): 0, (50, 2): 5, (50, 3): 7}  # the squares of row 7 overflow, its cosine does not
+    far = df.selectExpr("vec_id * 50 AS vec_id", "embedding", "dim", "shard").filter("vec_id in (250, 350)")
+    assert [(r.query_id, r.vec_id, round(r.score, 12)) for r in graph_ann.nearest(far, far, 5).orderBy("query_id").collect()] == [(250, 350, 1.0), (350, 250, 1.0)]
     none = df.limit(0)
     assert graph_ann.nearest(none, df, 5).count() == 0 and graph_ann.nearest(df, none, 5).count() == 0
+
+
+def test_many_lengths_of_one_direction(spark):
+    """61 rows of one direction tie for every one of them; the smallest ids come first."""
+    ship_code(spark)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(400)] + [(400 + i, [0.5 * (i + 1), 1.0 * (i + 1), 1.0 * (i + 1)] + [0.0] * 13) for i in range(61)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = graph_ann.nearest(df, df.filter("vec_id % 50 = 0"), 5).collect()
+    found = {q: [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (400, 450)}
+    assert found == {400: [401, 402, 403, 404, 405], 450: [400, 401, 402, 403, 404]}

@@ -92,8 +92,13 @@ def test_special_strings_stay_whole():
         assert np.frombuffer(enc.ids(t), "<u4").tolist() == whole(t)[:-1]
 
 
-if __name__ == "__main__":
-    pytest.main([__file__])
+@pytest.mark.parametrize("form", ["{}.", "a{},", "a{}b"])
+def test_every_character_up_to_the_ideographs(form):
+    """Separators that are no white space to the tokenizer, letters that change when normalised, marks before a point."""
+    enc = packing.encoder(tokenizer_path())
+    texts = [form.replace("{}", chr(c)) for c in range(0x3000)] + [form.replace("{}", x) for x in ("İ", "क़", "ẖ", "ﬁ", "\U00010400")]
+    want = enc.tok.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, w in zip(texts, want, strict=True) if np.frombuffer(enc.ids(t), "<u4").tolist() != w.ids] == []
 
 
 def test_query_fills_sequences_with_tokens(spark, sf, monkeypatch):
