@@ -3,8 +3,9 @@
 The number of pairs is quadratic in the size of an entity, but what is asked of them is not: how many there
 are, and which come first in id order. Both are answered from ranks. For a note with keys K, the later notes
 sharing any key are counted by inclusion and exclusion over the subsets of K: sum over non-empty S of
-(-1)^(|S|+1) times the number of later notes holding all of S. Those counts, summed in id order, say which
-notes own the pairs numbered lo..hi, and only those notes are expanded.
+(-1)^(|S|+1) times the number of later notes holding all of S. A note with more than ``MAX_KEYS`` keys has too many
+subsets; the pairs it is in are met one by one instead. The counts, summed in id order, say which notes own the
+pairs numbered lo..hi, and only those notes are expanded.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from kledger.operators.retrieval import top_rows
 from kledger.operators.skew import global_position, position_within, running
 from kledger.session import cut_lineage
 
-MAX_KEYS = 6  # as many entities as a note may carry
+MAX_KEYS = 6  # as many entities as a note usually carries at most: 63 subsets
 
 
 def keyed(notes: DataFrame) -> DataFrame:
@@ -28,14 +29,21 @@ def keyed(notes: DataFrame) -> DataFrame:
 
 def partner_counts(placed: DataFrame) -> DataFrame:
     """(note_id, keys, pos, partners): how many later notes share at least one key."""
+    few = placed.filter(F.size("keys") <= MAX_KEYS)
     masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("keys")) - 1)
     subset = F.transform(masks, lambda m: F.filter("keys", lambda k, i: F.pmod(F.call_function("shiftright", m, i), F.lit(2)) == 1))
-    sub = placed.select("note_id", "pos", F.explode(subset).alias("s")).select(
+    sub = few.select("note_id", "pos", F.explode(subset).alias("s")).select(
         "note_id", "pos", F.array_join("s", "\x1f").alias("s"), F.when(F.size("s") % 2 == 1, 1).otherwise(-1).alias("sign")
     )
     ranked = position_within(sub, ["s"], "pos", "from_end", descending=True)
-    counts = ranked.groupBy("note_id").agg(F.sum(F.col("sign") * (F.col("from_end") - 1)).alias("partners"))
-    return placed.join(counts, "note_id")
+    counts = ranked.groupBy("note_id").agg(F.sum(F.col("sign") * (F.col("from_end") - 1)).alias("_few"))
+    one = placed.filter(F.size("keys") > MAX_KEYS).select(F.col("pos").alias("_p"), F.explode("keys").alias("key"))
+    two = placed.select(F.col("pos").alias("_q"), F.explode("keys").alias("key"))
+    met = one.join(two, "key").filter("_p <> _q").select(F.least("_p", "_q").alias("pos"), F.greatest("_p", "_q").alias("later")).distinct()
+    many = met.groupBy("pos").agg(F.count("*").alias("_many"))
+    both = placed.join(counts, "note_id", "left").join(many, "pos", "left")
+    zero = F.lit(0).cast("bigint")
+    return both.select("note_id", "keys", "pos", (F.coalesce("_few", zero) + F.coalesce("_many", zero)).alias("partners"))
 
 
 def cumulated(counts: DataFrame) -> DataFrame:

@@ -141,3 +141,15 @@ def test_a_delivery_of_several_files_is_one_batch(spark):
     df = spark.range(1000).selectExpr("1L worker", "id seq", "'failed' status").repartition(5)
     out = S.streaks(spark, *stream.staged(spark, df, "outcomes", "seq"))
     assert [r.streak for r in out.orderBy("seq").collect()] == list(range(1, 1001))
+
+
+def test_notes_with_many_entities(spark):
+    """Notes of up to thirty entities beside small ones: every pair is counted once, numbered and found."""
+    rnd = random.Random(6)
+    notes = [(f"N-{i:03d}", sorted({f"e{rnd.randrange(40)}" for _ in range(rnd.choice([1, 2, 3, 6, 7, 30]))})) for i in range(60)]
+    want = [(a, b) for (a, x), (b, y) in itertools.combinations(notes, 2) if set(x) & set(y)]
+    counts = P.partner_counts(P.keyed(spark.createDataFrame(notes, "note_id string, entities array<string>")))
+    got = {r.note_id: r.partners for r in counts.collect()}
+    assert got == {n: sum(a == n for a, _ in want) for n, _ in notes}
+    window = P.pair_window(P.cumulated(counts), 100, 400).orderBy("pair_no").collect()
+    assert [(r.a_id, r.b_id) for r in window] == want[100:400]
