@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,13 +50,36 @@ def split_entities(c: Column, limit: int = 6) -> Column:
     return F.slice(dedupe_by(parts, lambda x: F.lower(x)), 1, limit)
 
 
-def normalize_answer(c: Column) -> Column:
-    """Width-fold, lower, keep word characters, percent signs and dots between digits."""
-    folded = F.lower(F.translate(c, FULLWIDTH, ASCII_FOLD))
-    kept = F.regexp_replace(folded, r"(?U)[^\w%.]+", "")
+def nfkc(c: Column) -> Column:
+    """Compatibility composition (NFKC), batch by batch; composition is no built-in expression."""
+
+    @F.pandas_udf("string")
+    def fold(xs: pd.Series) -> pd.Series:
+        return xs.str.normalize("NFKC")
+
+    return fold(c)
+
+
+def nfkc_each(c: Column) -> Column:
+    """NFKC of every string of an array."""
+
+    @F.pandas_udf("array<string>")
+    def fold(xs: pd.Series) -> pd.Series:
+        return xs.map(lambda a: None if a is None else [None if x is None else unicodedata.normalize("NFKC", x) for x in a])
+
+    return fold(c)
+
+
+def normalize_folded(c: Column) -> Column:
+    """Lower, keep word characters, percent signs and dots between digits, of a text that is composed already."""
+    kept = F.regexp_replace(F.lower(c), r"(?U)[^\w%.]+", "")
     return F.regexp_replace(kept, r"(?<![0-9])\.|\.(?![0-9])", "")
 
 
+def normalize_answer(c: Column) -> Column:
+    return normalize_folded(nfkc(c))
+
+
 def chars(c: Column) -> Column:
     """The code points of a text as an array. ``split(x, '')`` walks the text once; ``substr`` per index would not."""
     return F.filter(F.split(c, ""), lambda x: x != "")

@@ -18,7 +18,7 @@ UPDATE_EVENT = 17
 def score_answers(rows: DataFrame) -> DataFrame:
     """Adds em, point_hits, refusal and citation_coverage; an unanswered row has none of them."""
     na = X.normalize_answer(F.col("answer"))
-    df = rows.withColumn("_na", na).withColumn("_gold", F.transform("gold_points", lambda g: X.normalize_answer(g)))
+    df = rows.withColumn("_na", na).withColumn("_gold", F.transform(X.nfkc_each(F.col("gold_points")), lambda g: X.normalize_folded(g)))
     hits = F.transform("_gold", lambda g: (g != "") & F.contains(F.col("_na"), g))
     df = df.withColumn("point_hits", F.when(F.col("answer").isNotNull(), hits))
     em = F.when(F.size("_gold") == 0, F.lit(0.0)).otherwise(F.size(F.filter("point_hits", lambda h: h)) / F.size("_gold").cast("double"))

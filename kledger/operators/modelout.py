@@ -30,14 +30,6 @@ def _first_block(text: str) -> str | None:
     return None
 
 
-def nfkc(c: Column) -> Column:
-    @F.pandas_udf("string")
-    def fold(xs: pd.Series) -> pd.Series:
-        return xs.str.normalize("NFKC")
-
-    return fold(c)
-
-
 def first_json(c: Column) -> Column:
     """The first JSON object in a text. A text that is one object, fenced or not, never leaves the JVM."""
 
@@ -141,6 +133,24 @@ def classify_rounds(turns: DataFrame) -> DataFrame:
     return g.select("round_id", "expected", verdict.alias("verdict"), verdict.isin("ok", "repeated_call").alias("args_ok"))
 
 
+def request_hash(messages: DataFrame, model: str, key: str = "conv_id", tools: str | None = None) -> DataFrame:
+    """One hash per request: model, messages in their turns, and tools.
+
+    A message counts with its role and content and, where it has them, its name, call id and calls (columns ``name``,
+    ``tool_call_id``, ``tool_calls``; null and empty are not set). Each message is hashed with its turn, and the
+    sums of the hashes are hashed, so a request of any length is folded by map-side partial sums.
+    """
+    more = [F.coalesce(F.concat(F.lit(f"{c}="), F.nullif(F.col(c), F.lit(""))), F.lit("")) for c in ("name", "tool_call_id", "tool_calls") if c in messages.columns]
+    h = F.md5(F.concat_ws("\x1f", F.col("turn").cast("string"), "role", "content", *more))
+
+    def part(start: int) -> Column:
+        return F.conv(F.substring(h, start, 15), 16, 10).cast("decimal(38,0)")
+
+    g = messages.groupBy(key).agg(F.count("*").alias("n"), F.sum(part(1)).alias("s1"), F.sum(part(16)).alias("s2"))
+    text = F.concat_ws("|", F.lit(model), F.lit(tools or ""), F.col("n").cast("string"), F.col("s1").cast("string"), F.col("s2").cast("string"))
+    return g.select(key, F.sha2(text, 256).alias("request_hash"))
+
+
 def replay_index(requests: DataFrame) -> DataFrame:
     """(request_hash, seq, response, n): the first stored response of each request and how often it was asked."""
     return requests.groupBy("request_hash").agg(F.min_by(F.struct("seq", "response"), "seq").alias("r"), F.count("*").alias("n")).select("request_hash", "r.seq", "r.response", "n")

@@ -14,6 +14,8 @@ from kledger.operators.blocks import ITEM_BLOCK, MAX_BROADCAST_QUERIES, QUERY_BL
 LIMITS = {"simple": (3, 1200, 0, 3, 0), "update": (5, 4000, 2, 6, 1), "deep": (5, 4000, 4, 12, 0)}
 LIMIT_NAMES = ("prior_k", "prior_max_chars", "max_fresh_searches", "max_steps", "min_fresh_sources")
 BOUNDS = {"prior_k": (1, 20), "prior_max_chars": (200, 20000), "max_fresh_searches": (0, 20), "max_steps": (1, 50), "min_fresh_sources": (0, 20)}
+STYLES = {"simple": "brief", "update": "standard", "deep": "full"}
+SUBAGENTS = ("deep",)
 MIN_HITS, MIN_SCORE, BUDGET_FLOOR = 2, 0.010, 0.15
 
 
@@ -112,7 +114,7 @@ def with_mode(rows: DataFrame, time_budget: float | None = None) -> DataFrame:
 
 
 def limits(mode: Column, overrides: dict[str, Column] | None = None) -> dict[str, Column]:
-    """Limit columns of a mode; an override is pulled into its bounds."""
+    """Limit columns of a mode; an override is pulled into its bounds, and one that names no report style is not followed."""
     out = {}
     for i, name in enumerate(LIMIT_NAMES):
         base = F.lit(None).cast("int")
@@ -121,6 +123,12 @@ def limits(mode: Column, overrides: dict[str, Column] | None = None) -> dict[str
         o = (overrides or {}).get(name)
         lo, hi = BOUNDS[name]
         out[name] = base if o is None else F.when(o.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), o)).cast("int")).otherwise(base)
+    style = F.lit(None).cast("string")
+    for m, name in STYLES.items():
+        style = F.when(mode == m, name).otherwise(style)
+    wanted, helped = (overrides or {}).get("report_style"), (overrides or {}).get("subagents")
+    out["subagents"] = mode.isin(*SUBAGENTS) if helped is None else F.coalesce(helped, mode.isin(*SUBAGENTS))
+    out["report_style"] = style if wanted is None else F.when(wanted.isin(*STYLES.values()), wanted).otherwise(style)
     return out
 
 

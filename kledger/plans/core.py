@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from kledger.functions import temporal as T
@@ -18,6 +20,7 @@ from kledger.plans.fn import AGE_SQL, ASSERTION_SQL, BASE_SQL, HALF_SQL, slug_sq
 from kledger.plans.oracle_base import NOW, nid, ranked_twin, ts, twin
 from kledger.plans.registry import query
 from kledger.plans.ret import chains
+from kledger.session import shared_folder
 from kledger.sources import jsonl as J
 from kledger.sources import markdown as M
 from kledger.sources import pages as PG
@@ -30,15 +33,24 @@ def notes(spark, sf):
 
 
 # ---- sources and sinks -----------------------------------------------------------------------------
-@query("SRC-01", twin(f"SELECT {', '.join(PLAIN)}, array_to_string(entities, '|') AS entities, md5(body) AS body_md5, NULL::VARCHAR AS extra FROM notes0", "notes0"))
-def src_01(spark, sf):
-    files = M.render_records(fx.notes(spark, sf)).select(F.col("note_id").alias("path"), "text")
+RECORDS = twin(f"SELECT {', '.join(PLAIN)}, array_to_string(entities, '|') AS entities, md5(body) AS body_md5, NULL::VARCHAR AS extra FROM notes0", "notes0")
+
+
+def parsed(files):
     return M.parse_records(files).select(*PLAIN, F.array_join("entities", "|").alias("entities"), F.md5("body").alias("body_md5"), "extra")
 
 
-@query("SRC-02")
+@query("SRC-01", RECORDS)
+def src_01(spark, sf):
+    return parsed(M.render_records(fx.notes(spark, sf)).select(F.col("note_id").alias("path"), "text"))
+
+
+@query("SRC-02", RECORDS)
 def src_02(spark, sf):
-    return M.render_records(fx.notes(spark, sf)).select("note_id", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
+    """The sink: records written to files in the shared folder and read back from them."""
+    path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    M.write_records(fx.notes(spark, sf), path)
+    return parsed(M.read_records(spark, path))
 
 
 @query("SRC-03", twin("SELECT page_id, url, sha1(url) AS url_sha1, content_hash, length(text)::INTEGER AS n_chars, length(text) > 8000 AS truncated, md5(substr(text, 1, 8000)) AS display_md5 FROM page_versions", "page_versions"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kledger.functions import text as X
 from kledger.operators import analytics as A
 from kledger.operators import modelout as M
 from kledger.operators import policy as P
@@ -11,7 +12,7 @@ from kledger.operators import retrieval as R
 from kledger.operators.freshness import with_freshness
 from kledger.plans import fixtures as fx
 from kledger.plans import oracle_base as ob
-from kledger.plans.fn import norm_sql, request_hash, tokens_sql
+from kledger.plans.fn import REQUEST_HASH_SQL, norm_sql, requests, tokens_sql
 from kledger.plans.oracle_base import cosine, ranked_twin, twin
 from kledger.plans.registry import query
 from kledger.plans.ret import chains
@@ -443,7 +444,7 @@ def llm_01(spark, sf):
 @query("UDF-03", "SELECT doc_id, 'AB1' || nfc_normalize(text) AS folded FROM documents")
 def udf_03(spark, sf):
     c = fx.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("ＡＢ①"), "text").alias("t"))
-    return c.select("doc_id", M.nfkc(F.col("t")).alias("folded"))
+    return c.select("doc_id", X.nfkc(F.col("t")).alias("folded"))
 
 
 def extraction(spark, sf):
@@ -520,10 +521,11 @@ def ag_19(spark, sf):
     return s.join(A.exact_percentiles(j, ["all"], "latency_ms", A.P50_95), "all").drop("all")
 
 
-@query("LLM-07", twin("SELECT md5('m1' || content) AS request_hash, arg_min(conv_id * 1000 + turn, conv_id * 1000 + turn) AS seq, count(*)::BIGINT AS n FROM messages GROUP BY 1", "messages"))
+@query("LLM-07", twin(f"SELECT request_hash, min(conv_id)::BIGINT AS seq, count(*)::BIGINT AS n FROM (SELECT h.request_hash, c.conv_id FROM ({REQUEST_HASH_SQL}) h JOIN (SELECT DISTINCT conv_id FROM messages) c USING (conv_id)) GROUP BY 1", "messages"))
 def llm_07(spark, sf):
-    m = fx.messages(spark, sf).select(F.md5(F.concat(F.lit("m1"), "content")).alias("request_hash"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("content").alias("response"))
-    return M.replay_index(m).select("request_hash", "seq", "n")
+    last = fx.messages(spark, sf).groupBy("conv_id").agg(F.max_by("content", "turn").alias("response"))
+    asked = requests(spark, sf).join(last, "conv_id").select("request_hash", F.col("conv_id").alias("seq"), "response")
+    return M.replay_index(asked).select("request_hash", "seq", "n")
 
 
 # ---- policy ----------------------------------------------------------------------------------------
@@ -584,9 +586,10 @@ def pol_02(spark, sf):
 
 
 @query("POL-03", twin("""SELECT qid, mode, CASE WHEN qid % 2 = 0 THEN greatest(1, least(20, qid % 31)) ELSE CASE mode WHEN 'simple' THEN 3 ELSE 5 END END::INTEGER AS prior_k, CASE mode WHEN 'simple' THEN 1200 ELSE 4000 END::INTEGER AS prior_max_chars, CASE mode WHEN 'simple' THEN 0 WHEN 'update' THEN 2 ELSE 4 END::INTEGER AS max_fresh_searches,
-  CASE mode WHEN 'simple' THEN 3 WHEN 'update' THEN 6 ELSE 12 END::INTEGER AS max_steps, CASE mode WHEN 'update' THEN 1 ELSE 0 END::INTEGER AS min_fresh_sources FROM modes""", "modes"))
+  CASE mode WHEN 'simple' THEN 3 WHEN 'update' THEN 6 ELSE 12 END::INTEGER AS max_steps, CASE mode WHEN 'update' THEN 1 ELSE 0 END::INTEGER AS min_fresh_sources, mode = 'deep' AS subagents,
+  CASE WHEN qid % 3 = 0 THEN 'full' ELSE CASE mode WHEN 'simple' THEN 'brief' WHEN 'update' THEN 'standard' ELSE 'full' END END AS report_style FROM modes""", "modes"))
 def pol_03(spark, sf):
-    lim = P.limits(F.col("mode"), {"prior_k": F.when(F.col("qid") % 2 == 0, F.col("qid") % 31)})
+    lim = P.limits(F.col("mode"), {"prior_k": F.when(F.col("qid") % 2 == 0, F.col("qid") % 31), "report_style": F.when(F.col("qid") % 3 == 0, "full").when(F.col("qid") % 3 == 1, "loud")})
     return modes(spark, sf).select("qid", "mode", *[c.alias(n) for n, c in lim.items()])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kledger.functions import temporal as T
 from kledger.functions import text as X
 from kledger.functions import vectors as V
+from kledger.operators import modelout as MO
 from kledger.plans import fixtures as fx
 from kledger.plans.oracle_base import NOW, cosine, days, nid, ts, twin
 from kledger.plans.registry import query
@@ -57,7 +58,7 @@ ASCII = X.ASCII_FOLD.replace("'", "''")
 
 
 def norm_sql(x: str) -> str:
-    kept = rf"regexp_replace(lower(translate({x}, '{FULL}', '{ASCII}')), '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}%.]+', '', 'g')"
+    kept = rf"regexp_replace(lower(nfc_normalize(translate({x}, '{FULL}', '{ASCII}'))), '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}%.]+', '', 'g')"
     marked = kept
     for _ in range(2):
         marked = rf"regexp_replace({marked}, '([0-9])\.([0-9])', '\1' || chr(1) || '\2', 'g')"
@@ -155,26 +156,20 @@ def fn_14(spark, sf):
     return n.select("note_id", key.alias("idempotency_key"))
 
 
-def request_hash(messages, model: str, key: str = "conv_id"):
-    """One hash per request. Each message is hashed with its turn, and the sums of the hashes are hashed,
-    so a request of any length is folded by map-side partial sums and never gathered in one place."""
-    h = F.md5(F.concat_ws("\x1f", F.col("turn").cast("string"), "role", "content"))
+TOOLS = '[{"name": "web_search"}, {"name": "fetch_url"}]'
+REQUEST_HASH_SQL = f"""SELECT conv_id, sha256(concat_ws('|', 'm1', '{TOOLS}', count(*)::VARCHAR, sum(('0x' || substr(h, 1, 15))::BIGINT::HUGEINT)::HUGEINT::VARCHAR, sum(('0x' || substr(h, 16, 15))::BIGINT::HUGEINT)::HUGEINT::VARCHAR)) AS request_hash
+ FROM (SELECT conv_id, md5(concat_ws(chr(31), turn::VARCHAR, role, content, CASE WHEN name <> '' THEN 'name=' || name ELSE '' END, CASE WHEN role = 'tool' THEN 'tool_call_id=call-' || turn::VARCHAR ELSE '' END)) AS h FROM messages) GROUP BY conv_id"""
 
-    def part(start):
-        return F.conv(F.substring(h, start, 15), 16, 10).cast("decimal(38,0)")
 
-    g = messages.groupBy(key).agg(F.count("*").alias("n"), F.sum(part(1)).alias("s1"), F.sum(part(16)).alias("s2"))
-    text = F.concat_ws("|", F.lit(model), F.col("n").cast("string"), F.col("s1").cast("string"), F.col("s2").cast("string"))
-    return g.select(key, F.sha2(text, 256).alias("request_hash"))
-
-
-REQUEST_HASH_SQL = """SELECT conv_id, sha256(concat_ws('|', 'm1', count(*)::VARCHAR, sum(('0x' || substr(h, 1, 15))::BIGINT::HUGEINT)::HUGEINT::VARCHAR, sum(('0x' || substr(h, 16, 15))::BIGINT::HUGEINT)::HUGEINT::VARCHAR)) AS request_hash
- FROM (SELECT conv_id, md5(concat_ws(chr(31), turn::VARCHAR, role, content)) AS h FROM messages) GROUP BY conv_id"""
+def requests(spark, sf):
+    """Every conversation as one request; tool messages answer the call of their turn."""
+    m = fx.messages(spark, sf).withColumn("tool_call_id", F.when(F.col("role") == "tool", F.concat(F.lit("call-"), F.col("turn").cast("string"))))
+    return MO.request_hash(m, "m1", tools=TOOLS)
 
 
 @query("FN-15", twin(REQUEST_HASH_SQL, "messages"))
 def fn_15(spark, sf):
-    return request_hash(fx.messages(spark, sf), "m1")
+    return requests(spark, sf)
 
 
 @query("FN-16", twin("SELECT event_id, trace_id || '::' || step AS step_key FROM token_ledger", "token_ledger"))

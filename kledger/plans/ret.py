@@ -303,11 +303,13 @@ def flt_03(spark, sf):
     return bench_search(spark, sf, kind="user").select("qid", "note_id", "rank")
 
 
-@query("UDF-01")
+ob.vectors("body64_vec", "notes0", "note_id", "body", "notes0", dim=64)
+
+
+@query("UDF-01", twin("SELECT id AS note_id, len(v)::INTEGER AS dim, n2::BIGINT AS norm2, array_to_string(list_transform(v, lambda x: x::BIGINT::VARCHAR), ',') AS vector FROM body64_vec", "body64_vec"))
 def udf_01(spark, sf):
-    enc = V.encoder(dim=64, hash_name="blake2b")
-    v = R.vectorize(notes(spark, sf), "note_id", F.col("body"), enc)
-    return v.select("note_id", F.size("v").alias("dim"), V.norm2(F.col("v")).alias("norm2"))
+    v = R.vectorize(notes(spark, sf), "note_id", F.col("body"), V.encoder(dim=64))
+    return v.select("note_id", F.size("v").alias("dim"), V.norm2(F.col("v")).alias("norm2"), F.array_join(F.col("v").cast("array<string>"), ",").alias("vector"))
 
 
 @query("UDF-04", ranked_twin("SELECT qid, rank, note_id, title, score, match_type, redirected_from FROM hy_phrase3", "hy_phrase3"))

@@ -133,3 +133,9 @@ def write_records(notes: DataFrame, path: str) -> None:
     """Records laid out by the last two characters of the id, many per file; Parquet is the primary sink."""
     rendered = render_records(notes).select(F.to_json(F.struct("note_id", "text")).alias("value"), F.right("note_id", F.lit(2)).alias("prefix"))
     rendered.write.mode("overwrite").partitionBy("prefix").text(path)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of what ``write_records`` wrote, the note's id as its path; input of ``parse_records``."""
+    row = F.from_json("value", "note_id string, text string")
+    return spark.read.text(path).select(row.alias("r")).select(F.col("r.note_id").alias("path"), F.col("r.text").alias("text"))
