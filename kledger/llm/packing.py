@@ -40,7 +40,7 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
         # the tokenizer's white space lacks four separators that str.split() cuts at
-        self.separators, self.space = re.compile("[\x1c-\x1f]"), re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+        self.separators, self.space = "\x1c\x1d\x1e\x1f", re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
         self.combining = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]")
 
     def _encode(self, parts: list[str]) -> list[bytes]:
@@ -62,7 +62,8 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if not self.combining.search(text):  # composition may differ by case, so such texts keep theirs
             text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-        parts = text.split() if not self.separators.search(text) else [p for p in self.space.split(text) if p]
+        odd = any(c in text for c in self.separators)
+        parts = [p for p in self.space.split(text) if p] if odd else text.split()
         try:
             return b"".join(map(self.memo.__getitem__, parts))
         except KeyError:
