@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from kledger.functions import temporal as T
 from kledger.functions import text as X
 from kledger.functions import vectors as V
-from kledger.operators.blocks import MAX_BROADCAST_QUERIES, bounded_rows, score_cosine, top_matches
+from kledger.operators.blocks import score_cosine, top_matches
 
 RRF_K = 60
 K1, B = 1.2, 0.75
 MIN_COSINE = 1e-6
-# Size bound of the phrases sent to every task, next to the bound on their number. Beyond it they are joined.
-MAX_BROADCAST_CHARS = 4_000_000
+# Bounds of the phrases sent to every task: their number and their size together. Beyond them they are joined.
+MAX_BROADCAST_PHRASES, MAX_BROADCAST_CHARS = 65_536, 4_000_000
 
 
 def pool_size(k: int) -> int:
@@ -101,10 +101,10 @@ def _phrase_join(notes: DataFrame, queries: DataFrame) -> DataFrame:
 def phrase_hits(notes: DataFrame, queries: DataFrame, force_join: bool = False, min_chars: int = 3) -> DataFrame:
     """(qid, note_id, tf, doc_len) of every note that contains the whole query, ignoring case."""
     qs = queries.select("qid", F.lower(F.trim("q")).alias("q")).filter(F.length("q") >= min_chars)
-    rows = None if force_join else bounded_rows(qs, MAX_BROADCAST_QUERIES)
-    if rows is None or sum(len(r["q"]) for r in rows) > MAX_BROADCAST_CHARS:
+    n, size = qs.agg(F.count("*"), F.coalesce(F.sum(F.length("q")), F.lit(0))).first()  # checked before anything is sent
+    if force_join or n > MAX_BROADCAST_PHRASES or size > MAX_BROADCAST_CHARS:
         return _phrase_join(notes, qs)
-    return _phrase_scan(notes, rows)
+    return _phrase_scan(notes, qs.collect())
 
 
 def corpus_stats(notes: DataFrame) -> DataFrame:
