@@ -1,8 +1,7 @@
 """Quality rules: a hashed n-gram log-likelihood ratio between trusted and raw text, with a fixed threshold.
 
-Two multinomials over hashed byte trigrams are counted: one on trusted documents (at most ``TRUSTED`` labelled
-ids, taken in the order of a hash), one on all documents. A document's score is the mean log ratio of its
-trigrams. The threshold is the ``LOST`` quantile of the trusted documents' scores, read from counts on a fixed
+Two multinomials over hashed byte trigrams are counted: one on all trusted documents, one on all documents. A
+document's score is the mean log ratio of its trigrams. The threshold is the ``LOST`` quantile of the trusted documents' scores, read from counts on a fixed
 grid, so every document's verdict is a function of the table alone. Plain rules come first: too few words, or too
 many words in repeated three-word windows.
 """
@@ -20,7 +19,7 @@ from kledger.llm.common import Hashes, Words, slices, text_bytes, windows, writt
 
 BUCKETS = 1 << 16
 TRUSTED = 100_000
-"""At most this many labelled ids mark documents as trusted; the ids travel to the tasks, so they are bounded."""
+"""Up to this many trusted ids travel to the tasks; more of them are joined to the documents by a shuffle."""
 LOST = 0.001
 GRID = 1000
 SYMBOLS = np.zeros(256, bool)
@@ -80,10 +79,17 @@ def base_statistics(raw: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def trusted_ids(labels: DataFrame, bound: int = TRUSTED) -> DataFrame:
-    """``doc_id`` of trusted rows (quality 1, toxic not 1): at most ``bound``, in the order of a hash."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """``doc_id`` of every trusted row (quality 1, toxic not 1), once."""
     good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) != 1) & F.col("doc_id").isNotNull())
-    return good.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    return good.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
+
+
+def mark_trusted(rows: DataFrame, marks: DataFrame, bound: int | None = None) -> DataFrame:
+    """``rows`` with ``trusted``: whether ``marks`` (written ids, each once) holds the row's ``doc_id``."""
+    few = marks.count() <= (TRUSTED if bound is None else bound)  # checked before anything is sent
+    marks = marks.withColumn("trusted", F.lit(True))
+    return rows.join(F.broadcast(marks) if few else marks.hint("merge"), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -91,9 +97,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS)
 
     A text of fewer than three bytes, or null, scores 0. Without trusted documents every score is 0.
     """
-    marks = written(trusted_ids(labels), "llr-trusted").withColumn("trusted", F.lit(True))
+    marks = written(trusted_ids(labels), "llr-trusted")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = rows.join(F.broadcast(marks), "doc_id", "left").select("doc_id", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -110,7 +115,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS)
         at = np.flatnonzero(every)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(every[at]), pa.array(good[at])], ["bucket", "n", "good"])
 
-    counts = marked.select("text", "trusted").mapInArrow(count, "bucket int, n bigint, good bigint").groupBy("bucket").agg(F.sum("n"), F.sum("good")).collect()  # at most BUCKETS rows
+    # texts meet their marks only here; the scores below are marked when they are plain numbers
+    counts = mark_trusted(rows, marks).select("text", "trusted").mapInArrow(count, "bucket int, n bigint, good bigint").groupBy("bucket").agg(F.sum("n"), F.sum("good")).collect()  # at most BUCKETS rows
     n, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for bucket, a, b in counts:
         n[bucket], good[bucket] = a, b
@@ -131,10 +137,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS)
                 s, m = np.cumsum(s), np.cumsum(m)
                 mean = (s[o[1:]] - s[o[:-1]]) / np.maximum(1, m[o[1:]] - m[o[:-1]])
                 base = base_statistics(part, o)
-                own = [b.column(0).slice(lo, hi - lo), *[pa.array(base[k].astype(np.int64)) for k in names], b.column(2).slice(lo, hi - lo), pa.array(np.round(mean, 9))]
-                yield pa.RecordBatch.from_arrays(own, ["doc_id", *names, "trusted", "score"])
+                own = [b.column(0).slice(lo, hi - lo), *[pa.array(base[k].astype(np.int64)) for k in names], pa.array(np.round(mean, 9))]
+                yield pa.RecordBatch.from_arrays(own, ["doc_id", *names, "score"])
 
-    return marked.mapInArrow(score, "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, trusted boolean, score double")
+    scored = rows.mapInArrow(score, "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, score double")
+    return mark_trusted(scored, marks)
 
 
 def threshold(scored: DataFrame, lost: float = LOST) -> float:
