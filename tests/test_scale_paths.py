@@ -47,6 +47,40 @@ def test_vector_grid_equals_scan(spark, sf, monkeypatch):
     assert plain == rows(R.vector_channel(n, q, 7, force_grid=True))
 
 
+def test_vector_grid_keeps_ties_and_copies(spark, monkeypatch):
+    """Copies, ties, blank vectors, a repeated query id and a floor: the grid gives what the scan gives, and shuffles no item per query block."""
+    rnd = random.Random(8)
+    vec = lambda: [rnd.randint(-1, 2) for _ in range(4)]
+    vs = [vec() for _ in range(40)] + [[0, 0, 0, 0]]
+    items = spark.createDataFrame([(f"i{k:04}", rnd.choice(vs)) for k in range(500)], "item_id string, v array<int>")
+    qs = spark.createDataFrame([(f"q{k % 90:03}", rnd.choice(vs)) for k in range(100)], "qid string, v array<int>")
+    for n, floor in ((1, -0.5), (7, 1e-6), (300, -2.0)):
+        want = rows(B.top_matches(items, qs, B.score_cosine, n, floor).select("qid", "item_id", "score"))
+        with monkeypatch.context() as m:
+            m.setattr(B, "QUERY_BLOCK", 3)
+            m.setattr(B, "ITEM_BLOCK", 20)
+            m.setattr(B, "SLICE", 301)
+            plan = B.top_matches(items, qs, B.score_cosine, n, floor, force_grid=True)
+            assert want == rows(plan.select("qid", "item_id", "score"))
+            assert "Generate" not in plan._jdf.queryExecution().toString()
+
+
+def test_passages_over_windows_and_passes(spark, monkeypatch):
+    """Texts longer than a window and phrases of more than one pass: as with one automaton."""
+    from kledger.operators import phrases as PH
+
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choice("abAé語") for _ in range(n))
+    texts = [(f"n{i}", word(5) if i % 3 else None, word(rnd.choice([0, 3, 400, 900]))) for i in range(30)]
+    n = spark.createDataFrame(texts, "note_id string, title string, body string")
+    ask = [t[2][a : a + k] for t in texts for a, k in ((1, 3), (7, 4), (100, 8), (200, 15), (210, 17), (300, 90)) if t[2][a : a + k]]
+    q = spark.createDataFrame([(f"q{i}", s) for i, s in enumerate(ask + ["nowhere at all"])], "qid string, q string")
+    want = rows(R.phrase_hits(n, q, min_chars=1))
+    monkeypatch.setattr(PH, "WINDOW", 128)
+    monkeypatch.setattr(PH, "PER_PASS", 40)
+    assert len(want) > 100 and rows(R.phrase_hits(n, q, force_join=True, min_chars=1)) == want
+
+
 def test_chunk_grid_equals_scan(spark, sf, monkeypatch):
     c, q = C.chunks(fx.corpus_docs(spark, sf).limit(40)), fx.bench_queries(spark, sf)
     plain = rows(C.chunk_search(c, q, 3))
@@ -153,3 +187,11 @@ def test_notes_with_many_entities(spark):
     assert got == {n: sum(a == n for a, _ in want) for n, _ in notes}
     window = P.pair_window(P.cumulated(counts), 100, 400).orderBy("pair_no").collect()
     assert [(r.a_id, r.b_id) for r in window] == want[100:400]
+
+
+def test_notes_join_labels_without_shuffling_texts(spark, sf, monkeypatch):
+    """Few labels travel to the documents; beyond the bound a shuffle gives the same notes."""
+    n = fx.notes(spark, sf, False)
+    assert "BroadcastHashJoin" in n._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(fx, "MAX_BROADCAST_LABELS", 0)
+    assert rows(n.select("note_id", "body", "confidence")) == rows(fx.notes(spark, sf, False).select("note_id", "body", "confidence"))
