@@ -195,3 +195,47 @@ def test_notes_join_labels_without_shuffling_texts(spark, sf, monkeypatch):
     assert "BroadcastHashJoin" in n._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(fx, "MAX_BROADCAST_LABELS", 0)
     assert rows(n.select("note_id", "body", "confidence")) == rows(fx.notes(spark, sf, False).select("note_id", "body", "confidence"))
+
+
+def test_hybrid_search_equals_channel_by_channel(spark, sf, monkeypatch):
+    """Equal texts are searched once; a note id that occurs twice, tombstones and redirects come out as when every channel is resolved and scored by itself."""
+    from kledger.functions import temporal as T
+
+    base = fx.notes(spark, sf, False)
+    n = base.unionByName(base.filter("d % 5 = 0"))
+    chains = G.redirects(base.select("note_id", "status", "redirect_to", "superseded_by"))
+    q = fx.bench_queries(spark, sf).unionByName(fx.phrase_queries(spark, sf).filter("qid rlike '^D-1?[0-9]$'"))
+    q = q.unionByName(q.selectExpr("concat(qid, '-again') AS qid", "concat(' ', q, ' ') AS q")).unionByName(spark.createDataFrame([("none", " "), ("null", None)], "qid string, q string"))
+    parts = {"fts": R.keyword_channel(n, q, 20), "vector": R.vector_channel(R.note_vectors(n), R.vectorize(q, "qid", F.trim("q")), 20)}
+    fused = R.rrf({k: R.resolve_ranks(c.select("qid", "note_id", "rank"), chains) for k, c in parts.items()})
+    age = T.age_days(T.now_lit(fx.NOW), T.base_time(F.col("observed_at"), F.col("created")))
+    score = F.col("fused") * T.confidence_factor(F.col("confidence")) * T.decay(age, T.half_life(F.col("volatility"))) * T.importance_factor(F.col("importance"))
+    hits = fused.join(n.withColumnRenamed("note_id", "canonical_id"), "canonical_id").filter("NOT tombstone").withColumn("score", F.round(score, 9))
+    top = R.top_rows(hits, ["qid"], [F.desc("score"), "canonical_id"], 5)
+    want = rows(top.select("qid", "rank", "canonical_id", "title", "score", "match_type", F.coalesce(F.when(~F.col("direct"), F.col("alias")), F.lit("-"))))
+    asked, channel = [], R.keyword_channel
+    monkeypatch.setattr(R, "keyword_channel", lambda a, b, *c: asked.append(b.count()) or channel(a, b, *c))
+    got = R.hybrid_search(q, n, chains, fx.NOW).withColumn("redirected_from", F.coalesce("redirected_from", F.lit("-")))
+    assert rows(got) == want
+    assert asked == [q.select(F.trim("q").alias("q")).filter("q <> ''").distinct().count()]
+
+
+def test_grid_shuffles_the_rows_of_a_query_once(spark):
+    """The best rows are ranked before equal queries take them."""
+    items = spark.createDataFrame([(f"i{k}", [k, 1, 2]) for k in range(9)], "item_id string, v array<int>")
+    qs = spark.createDataFrame([(f"q{k}", [k % 2, 1, 1]) for k in range(6)], "qid string, v array<int>")
+    plan = B.top_matches(items, qs, B.score_cosine, 3, force_grid=True)
+    assert "windowspecdefinition(_rep" in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(plan) == rows(B.top_matches(items, qs, B.score_cosine, 3))
+
+
+def test_candidates_are_read_once_and_their_texts_stay(spark, sf):
+    """Signals and vectors are taken where the texts lie: no text is shuffled to its similarity."""
+    from kledger.operators import ingest as I
+    from kledger.plans import know
+
+    plan = know.with_signals(spark, sf)
+    assert " text#" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    c, n = know.candidates(spark, sf), fx.notes(spark, sf, False)
+    cols = ["cand_id", "body_chars", "entity_count", "has_source", "has_specifics", "similarity_max", "importance", "confidence", "decision"]
+    assert rows(plan.select(*cols)) == rows(I.formation(c.join(I.max_similarity(c, n), "cand_id")).select(*cols))
