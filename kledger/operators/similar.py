@@ -27,7 +27,7 @@ from kledger.session import discard, written
 
 CELL, PURE, PIVOTS = 256, 64, 64
 VISITOR_CELLS, ZONE_CELLS = 64, 2048
-HELD_PAIRS = 200_000
+HELD_PAIRS, HELD_BYTES = 200_000, 4 << 20
 ROW = "key string, id bigint, v array<int>, pivot int, angle double"
 CELLS = "key string, cell bigint, ids array<bigint>, parts array<bigint>, pivots array<int>, angles array<double>, vectors binary"
 
@@ -155,7 +155,7 @@ def _visits(cells: DataFrame, threshold: float, visitor_cells: int, zone_cells:
                 caps, names = np.array([z["cap"] for z in r.zones]), [z["cell"] for z in r.zones]
                 pure = np.array([-1 if z["pure"] is None else z["pure"] for z in r.zones], np.int64)
                 some = np.array([z["pure"] is not None for z in r.zones])
-                out = []
+                out, held = [], 0
                 for x in r.visitors:
                     parts = np.asarray(x["parts"], np.int64)
                     at = np.flatnonzero(parts != x["main"])
@@ -163,8 +163,14 @@ def _visits(cells: DataFrame, threshold: float, visitor_cells: int, zone_cells:
                     u, parts = unit(own), parts[at]
                     apart = np.arccos(np.clip(u @ centres.T, -1, 1))
                     must = (apart <= caps + wide + 1e-6) & ~(some & (pure == parts[:, None]))
-                    out += [(names[j], parts[must[:, j]].tolist(), own[must[:, j]].tobytes()) for j in np.flatnonzero(must.any(0))]
-                yield pd.DataFrame(out, columns=["cell", "parts", "vectors"])
+                    for j in np.flatnonzero(must.any(0)):
+                        out.append((names[j], parts[must[:, j]].tolist(), own[must[:, j]].tobytes()))
+                        held += len(out[-1][2])
+                        if held > HELD_BYTES:  # a slice of visitors may have to see every cell of a slice of zones
+                            yield pd.DataFrame(out, columns=["cell", "parts", "vectors"])
+                            out, held = [], 0
+                if out:
+                    yield pd.DataFrame(out, columns=["cell", "parts", "vectors"])
 
     met = visitors.join(zones, "key").repartition("key", "visitors_slice", "zones_slice")
     return met.mapInPandas(choose, "cell bigint, parts array<bigint>, vectors binary")
