@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kledger.functions import temporal as T
 from kledger.functions import text as X
 from kledger.functions import vectors as V
-from kledger.session import cut_lineage
+from kledger.session import cut_lineage, written
 
 # What a date, chapter, version, percentage and number look like, in order of priority; the
 # characters that end the word before a token; verdicts and the action each one suggests.
@@ -182,7 +182,7 @@ def compare(pairs: DataFrame, settings: VerificationSettings | None = None) -> D
     prior = pairs.select(F.lit(0).alias("side"), F.col("prior_id").alias("owner_id"), F.col("prior_text").alias("text"))
     evidence = pairs.select(F.lit(1).alias("side"), F.col("evidence_id").alias("owner_id"), F.col("evidence_text").alias("text"))
     notes = prior.unionByName(evidence).dropDuplicates(["side", "owner_id"])
-    read = cut_lineage(notes.select("side", "owner_id", V.encoder()("text").alias("v"), tokens("text").alias("t")))  # a note is read once, however many pairs it is in
+    read = written(notes.select("side", "owner_id", V.encoder()("text").alias("v"), tokens("text").alias("t")), "compare-notes")  # a note is read once, however many pairs it is in
     meta = pairs.drop("prior_text", "evidence_text")
     if "similarity" not in pairs.columns:
         a, b = (read.filter(f"side = {i}").select(F.col("owner_id").alias(n), F.col("v").alias(f"_{n}")) for i, n in ((0, "prior_id"), (1, "evidence_id")))

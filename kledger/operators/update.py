@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kledger.functions import text as X
 from kledger.operators.ingest import confidence_of
-from kledger.session import cut_lineage
+from kledger.session import written
 
 BUCKETS = ("reviewed", "superseded", "merged", "conflicts", "skipped")
 
@@ -32,18 +32,21 @@ def decide(rows: DataFrame, known: DataFrame) -> DataFrame:
     ``rows``: seq, prior_id, prior_status (NULL when missing), text (NULL when the index is out of range),
     suggested_action, guard, source_url, content_hash. ``known``: keys and body keys already handled. Duplicates
     and retirements look back in the batch; both are answered by a minimum of ``seq`` per key, which folds on
-    the map side, instead of an ordered walk over a hot note.
+    the map side, instead of an ordered walk over a hot note. The rows are written once; their texts take no part in the
+    joins and come back to their rows at the end, where they are read.
     """
     body_key = X.evidence_key(F.col("text"))
-    df = cut_lineage(rows).withColumn("body_key", body_key).withColumn("key", F.when(F.col("text").isNotNull(), F.concat_ws(":", "prior_id", body_key)))
-    usable = df.filter("prior_status IS NOT NULL AND text IS NOT NULL")
+    numbered = written(rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("body_key", body_key), "update-rows")
+    has_text = F.col("body_key").isNotNull()
+    df = numbered.drop("text").withColumn("key", F.when(has_text, F.concat_ws(":", "prior_id", "body_key")))
+    usable = df.filter(F.col("prior_status").isNotNull() & has_text)
     first = usable.groupBy("key").agg(F.min("seq").alias("first_seq"))
     seen = known.select(F.col("key").alias("_k")).distinct()
     df = df.join(first, "key", "left")
     df = df.join(seen.select(F.col("_k").alias("key"), F.lit(True).alias("k1")), "key", "left").join(seen.select(F.col("_k").alias("body_key"), F.lit(True).alias("k2")), "body_key", "left")
     sourced = (F.trim("source_url") != "") & (F.trim("content_hash") != "")
     early = (
-        F.when(F.col("prior_status").isNull(), "missing_prior").when(F.col("text").isNull(), "bad_index").when(F.col("first_seq") < F.col("seq"), "duplicate")
+        F.when(F.col("prior_status").isNull(), "missing_prior").when(~has_text, "bad_index").when(F.col("first_seq") < F.col("seq"), "duplicate")
         .when(F.col("k1").isNotNull() | F.col("k2").isNotNull(), "already_processed")
     )
     blocked = F.col("guard").isNotNull() & ~F.col("suggested_action").isin("open_conflict", "none")
@@ -59,7 +62,10 @@ def decide(rows: DataFrame, known: DataFrame) -> DataFrame:
         .when(F.col("suggested_action") == "merge", "merged").otherwise("conflicts")
     )
     df = df.withColumn("skip", skip).withColumn("applied", F.when(skip.isNotNull(), "skipped").otherwise(applied))
-    return df.withColumn("downgraded", (F.col("applied") == "conflicts") & (F.col("suggested_action") == "supersede")).drop("first_seq", "k1", "k2", "_early", "_blocked", "_sourced", "retired_at")
+    df = df.withColumn("downgraded", (F.col("applied") == "conflicts") & (F.col("suggested_action") == "supersede"))
+    # left: a row has one text, so a reader of keys and outcomes alone pays for no join of texts
+    df = df.join(numbered.select("_row", "text"), "_row", "left")
+    return df.drop("_row", "first_seq", "k1", "k2", "_early", "_blocked", "_sourced", "retired_at")
 
 
 def action_counts(actions: DataFrame) -> DataFrame:
