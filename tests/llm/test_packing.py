@@ -112,3 +112,35 @@ def test_query_fills_sequences_with_tokens(spark, sf, monkeypatch):
     assert sorted((r.doc_id, r.piece, r.sequence_id, r.offset) for r in rows) == sorted((r.doc_id, r.piece, r.sequence_id, r.offset) for r in back)
     for r in back:
         assert bytes(r.ids) == np.array(whole(texts[r.doc_id])[r.start : r.start + r.length], "<u4").tobytes()
+
+
+def test_joined_parts_and_a_full_memo_give_the_tokenizers_ids(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO_PARTS", 40)
+    enc = packing.Encoder(tokenizer_path())
+    calls = []
+    enc.tok, own = type("Counted", (), {"encode_batch_fast": lambda self, parts, **k: calls.append(len(parts)) or own.encode_batch_fast(parts, **k)})(), enc.tok
+    for n in range(5):
+        words = [f"w{chr(97 + i % 26)}{chr(98 + n)}" + "é" * (i // 26) for i in range(60)] + ["a|b", "|", "it's", "x."]
+        assert np.frombuffer(enc.ids(" ".join(words)), "<u4").tolist() == own.encode(" ".join(words), add_special_tokens=False).ids
+        assert len(enc.memo) <= 40 + len(words) + 5
+    assert max(calls) <= 4  # words go together, only those with a bar alone
+
+
+def test_tokens_move_in_16_bits_and_lie_in_32(spark, docs, tmp_path, monkeypatch):
+    moved = []
+    write = packing.write_sequences
+    monkeypatch.setattr(packing, "fresh_folder", lambda s, name: str(tmp_path / name))
+    monkeypatch.setattr(packing, "write_sequences", lambda packed, path: (moved.extend(packed.collect()), write(packed, path)))
+    named = docs.filter("doc_id is not null and doc_id != 9")
+    rows = packing.packed_sequences(named, tokenizer_path()).collect()
+    check(rows, {r.doc_id: r.text for r in named.collect()}, 4096)
+    assert moved and all(len(r.ids) == 2 * r.length for r in moved)
+    stored = spark.read.parquet(str(tmp_path / "sequences")).collect()
+    assert len(stored) == len(moved) and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in stored)
+
+
+@given(st.lists(st.integers(0, (1 << 32) - 1), max_size=9))
+def test_narrow_ids_come_back(ids):
+    data = np.array(ids, "<u4").tobytes()
+    assert packing.widen(packing.narrow(data), len(ids)) == data
+    assert len(packing.narrow(data)) == (2 if ids and max(ids) < 1 << 16 else 4) * len(ids)
