@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kledger.llm.common import LOWER, Words, discard, mix, slices, text_bytes, windows, written
+from kledger.llm.common import LOWER, Words, discard, few_tasks, mix, slices, text_bytes, windows, written
 from kledger.llm.components import components
 
 COORDS, TREES, FIRST, DEPTH, LEAF, WIDER = 64, 12, 3, 4, 96, 4
 # a node of sketches may be WIDER times as large as a cell of full sets
 LOOSE = 0.5
 """Sketches that agree in this share are compared in full: six standard errors below 0.8 at 64 coordinates."""
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,8 +186,8 @@ def _bridges(ids: np.ndarray, label: np.ndarray, linked: np.ndarray) -> list[tup
     return out
 
 
-def _compare(rows: DataFrame, kind: str, level: float) -> DataFrame:
-    """Edges of each (grp, cell) of ``rows``. Without labels: from each id to the smallest id it is connected with.
+def _compare(rows: DataFrame, kind: str, level: float, count: int) -> DataFrame:
+    """Edges of each (grp, cell) of ``rows``, about ``count`` rows. Without labels: from each id to the smallest id it is connected with.
 
     With labels (ids of one label are connected already): links between labels, and only pairs with a visitor.
     """
@@ -224,46 +224,56 @@ def _compare(rows: DataFrame, kind: str, level: float) -> DataFrame:
         a, b = zip(*found, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    cells = rows.select("grp", "cell", "id", "data", *(["label", "visitor"] if labelled else [])).repartition("grp", "cell").sortWithinPartitions("grp", "cell")
-    return cells.mapInArrow(run, "a bigint, b bigint")
+    cells = few_tasks(rows.select("grp", "cell", "id", "data", *(["label", "visitor"] if labelled else [])), count)
+    cells = cells.repartition("grp", "cell").sortWithinPartitions("grp", "cell")
+    return few_tasks(cells.mapInArrow(run, "a bigint, b bigint"), count)
 
 
-def _visits(rows: DataFrame, leaf: int) -> DataFrame:
+def _visits(rows: DataFrame, leaf: int, count: int) -> DataFrame:
     """Cells of the groups of ``rows`` (grp, id, data, n, label), each visited by all members outside the largest label.
 
     Members of one label are connected already, so pairs inside the largest one can add nothing.
     """
     cells = rows.withColumn("cells", F.ceil(F.col("n") / leaf).cast("int"))
     main = rows.groupBy("grp", "label").agg(F.count("*").alias("m")).groupBy("grp").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
-    cells = cells.join(main, "grp").withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")).withColumn("visitor", F.lit(False))
+    cells = few_tasks(cells.join(few_tasks(main, count), "grp"), count).withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")).withColumn("visitor", F.lit(False))
     out = cells.filter("label != main").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).withColumn("visitor", F.lit(True))
     return cells.unionByName(out)
 
 
+def _visit_rows(rows: DataFrame, leaf: int) -> int:
+    """How many rows ``_visits`` gives for ``rows`` (grp, label, n)."""
+    per = rows.groupBy("grp", "n", "label").agg(F.count("*").alias("m")).groupBy("grp", "n").agg((F.sum("m") + (F.sum("m") - F.max("m")) * F.ceil(F.col("n") / leaf)).alias("r"))
+    return few_tasks(per, rows.count()).agg(F.sum("r")).first()[0] or 0
+
+
 def link_sets(rows: DataFrame, percent: int, leaf: int = LEAF) -> DataFrame:
     """``(id, component)`` by all linked pairs inside each ``grp`` of ``rows`` (grp, id, data); ids without a link are left out.
 
     Groups over ``leaf`` are cut into cells that share one pivot. What that leaves outside a group's largest
     part then visits every cell of the group.
     """
-    sizes = written(rows.groupBy("grp").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).filter("n > 1"), "group-sizes")
+    count = rows.count()
+    sizes = written(few_tasks(rows.groupBy("grp").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).filter("n > 1"), count), "group-sizes")
     whole = F.lit(0).alias("cell")
     held = rows.join(sizes, "grp")
-    stars = written(_compare(held.filter(F.col("n") <= leaf).select("grp", "id", "data", whole), "set", percent), "set-edges")
+    stars = written(_compare(held.filter(F.col("n") <= leaf).select("grp", "id", "data", whole), "set", percent, count), "set-edges")
     roots = stars.select(F.col("a").alias("id"), F.col("b").alias("component")).union(stars.select("b", "b").distinct())
     if sizes.filter(F.col("n") > leaf).limit(1).count() == 0:
         return roots
-    large = written(held.filter(F.col("n") > leaf).withColumn("cells", F.ceil(F.col("n") / leaf).cast("int")), "large-groups")
+    large = written(few_tasks(held.filter(F.col("n") > leaf).withColumn("cells", F.ceil(F.col("n") / leaf).cast("int")), count), "large-groups")
     dealt = large.withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
     pivots = large.filter("id = pivot").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    first = written(_compare(dealt.unionByName(pivots), "set", percent), "cell-edges")
+    first = written(_compare(dealt.unionByName(pivots), "set", percent, count), "cell-edges")
     parts = components(first)
-    labelled = large.join(parts, "id", "left").withColumn("label", F.coalesce("component", "id")).select("grp", "id", "data", "n", "label")
-    mixed = written(labelled.groupBy("grp").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select("grp"), "mixed-groups")
+    labelled = few_tasks(large.join(parts, "id", "left"), count).withColumn("label", F.coalesce("component", "id")).select("grp", "id", "data", "n", "label")
+    mixed = written(few_tasks(labelled.groupBy("grp").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select("grp"), count), "mixed-groups")
     if mixed.limit(1).count() == 0:  # every large group is connected, so no further pair can matter
         discard(large)
         return roots.union(parts)
-    second = written(_compare(_visits(labelled.join(mixed, "grp", "left_semi"), leaf), "set", percent), "visit-edges")
+    inner = written(labelled.join(mixed, "grp", "left_semi"), "mixed-members")
+    second = written(_compare(_visits(inner, leaf, count), "set", percent, _visit_rows(inner, leaf)), "visit-edges")
+    discard(inner)
     discard(large)
     return roots.union(components(first.union(second)))
 
@@ -296,40 +306,42 @@ def loose_edges(classes: DataFrame, trees: int, depth: int, leaf: int, coords: i
     coordinates; at the last depth the outsiders always visit.
     """
     data = classes.select("id", F.col("tiny").alias("data"))
-    start = min(FIRST, trees)
-    level = _roots(classes, range(start))
-    sizes = written(level.groupBy("grp").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).filter("n > 1"), "node-sizes")
-    held = written(level.join(sizes, "grp").join(data, "id"), "first-nodes")
-    ends = _compare(held.filter(F.col("n") <= leaf).select("grp", "id", "data", F.lit(0).alias("cell")), "sketch", LOOSE)
+    start, all_classes = min(FIRST, trees), classes.count()
+    level, rows = _roots(classes, range(start)), all_classes * start
+    sizes = written(few_tasks(level.groupBy("grp").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).filter("n > 1"), rows), "node-sizes")
+    held = written(few_tasks(few_tasks(level.join(sizes, "grp"), rows).join(data, "id"), rows), "first-nodes")
+    ends = _compare(held.filter(F.col("n") <= leaf).select("grp", "id", "data", F.lit(0).alias("cell")), "sketch", LOOSE, rows)
     other = data.select(F.col("id").alias("pivot"), F.col("data").alias("other"))
-    star = _pivot_links(held.filter((F.col("n") > leaf) & (F.col("id") != F.col("pivot"))).join(other, "pivot"))
+    star = _pivot_links(few_tasks(held.filter((F.col("n") > leaf) & (F.col("id") != F.col("pivot"))).join(other, "pivot"), rows))
     labels = written(components(ends.union(star)).select("id", F.col("component").alias("label")), "loose-labels")
     discard(held)
     edges = [labels.select(F.col("id").alias("a"), F.col("label").alias("b"))]
-    members = classes.select("id", "sketch").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    level = members.join(_roots(classes, range(start, trees)), "id") if trees > start else None
+    members = few_tasks(classes.select("id", "sketch", "tiny").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), all_classes)
+    node = F.explode(F.expr(f"transform(sequence({start}, {trees - 1}), t -> xxhash64(t, sketch[t]))"))
+    level = members.select("id", "sketch", "tiny", "label", node.alias("grp")) if trees > start else None
+    rows = all_classes * (trees - start)
     for d in range(depth if level is not None else 0):
         facts = level.groupBy("grp").agg(F.count("*").alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select("grp", "n")
-        held = written(level.join(facts, "grp"), "nodes")
-        small = held.filter(F.col("n") <= leaf).join(data, "id").select("grp", "id", "data", "label", F.lit(0).alias("cell"), F.lit(True).alias("visitor"))
-        edges.append(written(_compare(small, "sketch", LOOSE), "loose-edges"))
+        held = written(few_tasks(level.join(few_tasks(facts, rows), "grp"), rows), "nodes")
+        rows = held.count()
+        small = held.filter(F.col("n") <= leaf).select("grp", "id", F.col("tiny").alias("data"), "label", F.lit(0).alias("cell"), F.lit(True).alias("visitor"))
+        edges.append(written(_compare(small, "sketch", LOOSE, rows), "loose-edges"))
         large = held.filter(F.col("n") > leaf)
-        if large.limit(1).count() == 0:
-            discard(held)
-            break
-        most = large.groupBy("grp", "label").agg(F.count("*").alias("m")).groupBy("grp").agg(F.max("m").alias("m"))
-        large = large.join(most, "grp")
-        cheap = F.lit(d == depth - 1) | ((F.col("n") - F.col("m")) * F.ceil(F.col("n") / leaf) <= F.col("n"))
-        visited = _visits(large.filter(cheap).join(data, "id").select("grp", "id", "data", "n", "label"), leaf)
-        edges.append(written(_compare(visited, "sketch", LOOSE), "loose-edges"))
-        if large.filter(~cheap).limit(1).count() == 0:
-            discard(held)
+        most = few_tasks(large.groupBy("grp", "n", "label").agg(F.count("*").alias("m")), rows).groupBy("grp", "n").agg(F.max("m").alias("m"))
+        cost = (F.col("n") - F.col("m")) * F.ceil(F.col("n") / leaf)
+        most = written(few_tasks(most.withColumn("cheap", F.lit(d == depth - 1) | (cost <= F.col("n"))), rows), "node-sizes")
+        visits, deeper = most.agg(F.sum(F.when(F.col("cheap"), F.col("n") + cost)), F.sum(F.when(~F.col("cheap"), F.col("n")))).first()
+        large = few_tasks(large.join(most.select("grp", "cheap"), "grp"), rows)
+        if visits:
+            visited = _visits(large.filter("cheap").select("grp", "id", F.col("tiny").alias("data"), "n", "label"), leaf, rows)
+            edges.append(written(_compare(visited, "sketch", LOOSE, visits), "loose-edges"))
+        if not deeper:
+            discard(held, most)
             break
-        if d < depth - 1:
-            chosen = F.array_distinct(F.expr(f"transform(sequence(1, 2), j -> cast(pmod(xxhash64(grp, j), {coords}) as int))"))
-            deep = large.filter(~cheap).select("id", "sketch", "label", "grp", F.explode(chosen).alias("c"))
-            level = written(deep.select("id", "sketch", "label", F.xxhash64("grp", "c", F.get("sketch", F.col("c"))).alias("grp")), "node-level")
-        discard(held)
+        chosen = F.array_distinct(F.expr(f"transform(sequence(1, 2), j -> cast(pmod(xxhash64(grp, j), {coords}) as int))"))
+        deep = large.filter("not cheap").select("id", "sketch", "tiny", "label", "grp", F.explode(chosen).alias("c"))
+        level, rows = written(deep.select("id", "sketch", "tiny", "label", F.xxhash64("grp", "c", F.get("sketch", F.col("c"))).alias("grp")), "node-level"), 2 * deeper
+        discard(held, most)
     out = edges[0]
     for e in edges[1:]:
         out = out.union(e)
@@ -349,7 +361,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     equal = rows.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("first"), *[F.any_value(c).alias(c) for c in ("set_a", "set_b", "sketch", "tiny")])
     classes = written(equal, "set-classes")
     loose = components(loose_edges(classes, trees, depth, WIDER * leaf, coords))
-    members = loose.select("id", F.col("component").alias("grp")).join(classes.select("id", "first", "set_a", "set_b"), "id")
+    members = few_tasks(loose.select("id", F.col("component").alias("grp")).join(classes.select("id", "first", "set_a", "set_b"), "id"), loose.count())
     texts = docs.select(F.col("doc_id").cast("bigint").alias("first"), F.col("text").cast("string").alias("text"))
     full = written(_full_sets(texts.join(members.hint("merge"), "first"), shingle), "full-sets")
     near = link_sets(full, percent, leaf)

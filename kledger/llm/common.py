@@ -45,6 +45,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 _PLACES: dict[int, tuple[weakref.ref, str]] = {}
 
+ROWS_A_TASK = 4096
+
+
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which holds about ``rows`` rows, in no more tasks than they fill (``ROWS_A_TASK`` each); a large table is left as it is.
+
+    A step over small tables costs its tasks, not its rows, whatever the number of shuffle partitions is.
+    """
+    most, tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, -(-rows // ROWS_A_TASK))
+    return df.coalesce(tasks) if tasks < most else df
+
 
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that no later plan reads."""

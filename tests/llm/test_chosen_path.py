@@ -103,3 +103,21 @@ def test_sets(texts):
     for i, a in enumerate(want):
         for j, b in enumerate(want):
             assert len(set(key[bounds[i] : bounds[i + 1]]) & set(key[bounds[j] : bounds[j + 1]])) == len(a & b)
+
+
+def test_small_tables_run_in_few_tasks(spark, monkeypatch):
+    from kledger.llm import common, components
+
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks, write = [], common.written
+        monkeypatch.setattr(components, "written", lambda df, name: (tasks.append(df.rdd.getNumPartitions()), write(df, name))[1])
+        chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "a bigint, b bigint")
+        assert {(r.id, r.component) for r in components.components(chain).collect()} == {(i, 0) for i in range(61)}
+        assert len(tasks) > 2 and max(tasks[1:]) <= 3  # union of two tables at most
+        assert common.few_tasks(chain.repartition(40), 40 * common.ROWS_A_TASK).rdd.getNumPartitions() == 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
