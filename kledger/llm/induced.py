@@ -143,21 +143,24 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
     Only positions whose left characters differ are compared; from there the value falls by one a step.
     """
     n = len(s)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, sa.dtype)
     phi[sa[1:]] = sa[:-1]
     lead = np.ones(n, bool)
     i = np.flatnonzero(phi[1:] > 0) + 1
     lead[i] = s[i - 1] != s[phi[i] - 1]
-    i = np.flatnonzero(lead & (phi >= 0))
-    plcp = np.zeros(n, np.int64)
-    live, t = i, 0
+    live = np.flatnonzero(lead & (phi >= 0)).astype(sa.dtype)
+    other = phi[live]
+    plcp, place = np.zeros(n, sa.dtype), np.arange(n, dtype=sa.dtype)
+    t = 0
     limit = cap + 256  # values fall by one a step, so a capped run may reach further than the cap
     while len(live) and t < limit:
-        live = live[np.maximum(live, phi[live]) + t < n]
-        live = live[s[live + t] == s[phi[live] + t]]
+        same = s[live + t] == s[other + t]  # ends before either leaves s, whose last value stands nowhere else
+        if not same.all():
+            plcp[live[~same]] = t
+            live, other = live[same], other[same]
         t += 1
-        plcp[live] = t
-    head = np.maximum.accumulate(np.where(lead, np.arange(n), 0))
-    out = np.maximum(plcp[head] - (np.arange(n) - head), 0)
+    plcp[live] = t
+    head = np.maximum.accumulate(np.where(lead, place, 0))
+    out = np.maximum(plcp[head] - (place - head), 0)
     out[phi < 0] = 0
     return np.minimum(out, cap)

@@ -29,7 +29,8 @@ SHARD = 1 << 21
 GATHER = 1 << 15
 """Different segments that a shard may hold because they must stand together."""
 STRETCH = 2048
-CHUNK = 1 << 20
+CHUNK = 1 << 17
+"""Bytes of texts taken at once: the arrays of eight bytes a place that come of them stay in a core's cache."""
 NO_ID = -(1 << 63)
 
 
@@ -73,8 +74,8 @@ def _batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
 
-def _anchor_rows(docs: DataFrame, length: int, piece: int) -> DataFrame:
-    """``(h, row, at)`` of every anchor of every text."""
+def _anchor_lists(docs: DataFrame, length: int, piece: int) -> DataFrame:
+    """``(row, hs, ats)``: hashes and places of the anchors of every text that has one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -83,9 +84,11 @@ def _anchor_rows(docs: DataFrame, length: int, piece: int) -> DataFrame:
             for lo, hi in slices(offs, CHUNK):
                 o = offs[lo : hi + 1] - offs[lo]
                 place, text, h = anchors(raw[offs[lo] : offs[hi]], o, length, piece)
-                yield _batch(["h", "row", "at"], h.view(np.int64), row[lo:hi][text], (place - o[text]).astype(np.int32))
+                has, first = np.unique(text, return_index=True)
+                ends = pa.array(np.append(first, len(text)).astype(np.int32))
+                yield _batch(["row", "hs", "ats"], row[lo:hi][has], *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (h.view(np.int64), (place - o[text]).astype(np.int32))))
 
-    return _rows(docs).select("row", "text").mapInArrow(run, "h bigint, row bigint, at int")
+    return _rows(docs).select("row", "text").mapInArrow(run, "row bigint, hs array<bigint>, ats array<int>")
 
 
 def _occurrences(texts: DataFrame, length: int, piece: int) -> DataFrame:
@@ -261,10 +264,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, ga
     ``row`` is the place of a row in the scan of ``docs``, which must be a stored table. The order of texts is
     by id (none first), then by place, so of repeated rows the first in the table stays.
     """
-    every = _anchor_rows(docs, length, piece)
-    twice = every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    lists = written(_anchor_lists(docs, length, piece), "repeat-places")  # read twice: found once
+    twice = lists.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    every = lists.select("row", F.explode(F.arrays_zip("hs", "ats")).alias("x")).select("row", F.col("x.hs").alias("h"), F.col("x.ats").alias("at"))
     held = every.join(twice, "h").groupBy("row").agg(F.collect_list("at").alias("ats"))
     texts = written(_rows(docs).join(held, "row"), "repeat-texts")
+    discard(lists)
     seen = written(_occurrences(texts, length, piece), "repeat-anchors")
     place = F.struct("doc", "row", "lo", "hi")
     variants = written(seen.groupBy("h", "seg").agg(F.min(place).alias("first"), F.count("*").alias("n")), "repeat-segments")

@@ -95,3 +95,27 @@ def test_every_string_holds_an_anchor_that_depends_on_it_alone():
         least = repeats.anchors(data[i : i + 50], np.array([0, 50]), 50, 10)[0].tolist()
         assert least and set(least) <= inside
         seen.setdefault(bytes(data[i : i + 50]), set()).update(least)
+
+
+def test_anchors_are_found_once(spark, tmp_path, monkeypatch):
+    """One plan reads the texts for anchors; both sides of their join read the written lists."""
+    df = stored(spark, mixed_rows(), tmp_path / "t")
+    lists, write = [], repeats.written
+    monkeypatch.setattr(repeats, "written", lambda x, name: lists.append((name, x)) or write(x, name))
+    repeats.repeated_spans(df, 40, 12)
+    plans = {name: x._jdf.queryExecution().executedPlan().toString() for name, x in lists}
+    assert plans["repeat-places"].count("MapInArrow") == 1 and "MapInArrow" not in plans["repeat-texts"]
+
+
+def test_small_chunks_change_nothing(spark, tmp_path, monkeypatch):
+    df = stored(spark, mixed_rows(7), tmp_path / "t")
+    want = result(repeats.remove_repeats(df, 40, 12))
+    monkeypatch.setattr(repeats, "CHUNK", 300)
+    raw, offs = repeats.text_bytes(df.select("text").toArrow().column(0))
+    at, text, h = repeats.anchors(raw, offs, 40, 12)
+    found = []
+    for lo, hi in repeats.slices(offs, repeats.CHUNK):
+        p, t, k = repeats.anchors(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], 40, 12)
+        found += zip((p + offs[lo]).tolist(), (t + lo).tolist(), k.tolist(), strict=True)
+    assert found == list(zip(at.tolist(), text.tolist(), h.tolist(), strict=True))
+    assert want == brute(sorted(mixed_rows(7), key=lambda x: -1 if x[0] is None else x[0]), 40)
