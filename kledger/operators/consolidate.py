@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from kledger.functions import text as X
 from kledger.functions import temporal as T
+from kledger.functions import vectors as V
 from kledger.operators import evidence as EV
 from kledger.operators import pairs as P
 from kledger.operators.freshness import with_freshness
-from kledger.operators.retrieval import top_rows
+from kledger.operators.retrieval import top_rows, vectorize
 from kledger.operators.store import fold_jobs
+from kledger.session import written
 
 
 @dataclass(frozen=True)
@@ -33,7 +35,7 @@ def pool(notes: DataFrame) -> DataFrame:
     return notes.filter("status = 'active' AND NOT tombstone")
 
 
-def pair_rows(pairs: DataFrame, notes: DataFrame) -> DataFrame:
+def pair_rows(pairs: DataFrame, notes: DataFrame, *more: str) -> DataFrame:
     """Pairs with the columns the evidence comparison reads; the right note is evidence without time or source."""
     a = notes.select(F.col("note_id").alias("a_id"), F.col("body").alias("prior_text"), F.col("entities").alias("prior_entities"), "source_changed_at", "observed_at", "created")
     b = notes.select(F.col("note_id").alias("b_id"), F.col("body").alias("evidence_text"), F.col("entities").alias("evidence_entities"))
@@ -41,7 +43,7 @@ def pair_rows(pairs: DataFrame, notes: DataFrame) -> DataFrame:
     return pairs.join(a, "a_id").join(b, "b_id").select(
         F.concat_ws("|", "a_id", "b_id").alias("pair_id"), F.col("a_id").alias("prior_id"), F.col("b_id").alias("evidence_id"), "prior_text", "evidence_text",
         "prior_entities", "evidence_entities", F.array().cast("array<struct<url:string,content_hash:string>>").alias("sources"), F.lit("").alias("source_url"), F.lit("").alias("content_hash"),
-        "source_changed_at", "observed_at", "created", none.alias("evidence_observed_at"), "pair_no",
+        "source_changed_at", "observed_at", "created", none.alias("evidence_observed_at"), "pair_no", *more,
     )
 
 
@@ -56,24 +58,56 @@ def conflict_candidates(notes: DataFrame, cum: DataFrame, cfg: ConsolidationSett
     return compared.select(F.col("prior_id").alias("a_id"), F.col("evidence_id").alias("b_id"), "pair_no", F.col("first_conflict.slot").alias("slot"), "similarity")
 
 
-def merge_candidates(notes: DataFrame, cum: DataFrame, conflicts: DataFrame, cfg: ConsolidationSettings, window: int = 100_000) -> DataFrame:
-    """The first ``max_merges`` pairs in id order whose similarity lies in the merge band and which do not conflict."""
-    from kledger.operators.retrieval import vectorize
+def _pair_similarity(pairs: DataFrame, vecs: DataFrame) -> DataFrame:
+    """``pairs`` (a_id, b_id, ...) with their ``similarity``; a pair with a note that has no vector is left out."""
+    left = vecs.select(F.col("note_id").alias("a_id"), F.col("v").alias("va"))
+    right = vecs.select(F.col("note_id").alias("b_id"), F.col("v").alias("vb"))
+    sim = V.similarity_from(V.dot(F.col("va"), F.col("vb")), V.norm2(F.col("va")), V.norm2(F.col("vb")))
+    return pairs.join(left, "a_id").join(right, "b_id").withColumn("similarity", sim).drop("va", "vb")
 
-    vecs = vectorize(notes, "note_id", F.col("body"))
+
+def _in_band(pairs: DataFrame, cfg: ConsolidationSettings) -> DataFrame:
+    return pairs.filter((F.col("similarity") >= cfg.merge_floor) & (F.col("similarity") < cfg.merge_ceiling))
+
+
+def _conflicting(pairs: DataFrame, notes: DataFrame) -> DataFrame:
+    """The conflicting ones of ``pairs`` (a_id, b_id, pair_no, similarity), with their ``slot``. Only pairs that reach the floor can conflict, so only those carry texts."""
+    near = pairs.filter(F.col("similarity") >= EV.VerificationSettings().normalized().floor)
+    compared = EV.compare(pair_rows(near, notes, "similarity")).filter("verdict = 'conflicting'")
+    return compared.select(F.col("prior_id").alias("a_id"), F.col("evidence_id").alias("b_id"), "pair_no", F.col("first_conflict.slot").alias("slot"), "similarity")
+
+
+def first_conflicts(notes: DataFrame, cum: DataFrame, vecs: DataFrame, cfg: ConsolidationSettings, window: int = 2_000) -> DataFrame | None:
+    """The first ``max_conflicts`` conflicting pairs of all pairs in id order, or None."""
+    return P.first_matching(cum, lambda pairs: _conflicting(_pair_similarity(pairs, vecs), notes), cfg.max_conflicts, window)
+
+
+def first_merges(notes: DataFrame, cum: DataFrame, vecs: DataFrame, cfg: ConsolidationSettings, window: int = 2_000) -> DataFrame | None:
+    """The first ``max_merges`` pairs of all pairs in id order whose similarity lies in the merge band and which do not conflict, or None."""
 
     def accept(pairs):
-        left = vecs.select(F.col("note_id").alias("a_id"), F.col("v").alias("va"))
-        right = vecs.select(F.col("note_id").alias("b_id"), F.col("v").alias("vb"))
-        both = pairs.join(left, "a_id").join(right, "b_id").join(conflicts.select("a_id", "b_id"), ["a_id", "b_id"], "left_anti")
-        from kledger.functions import vectors as V
+        near = written(_in_band(_pair_similarity(pairs, vecs), cfg), "merge-band")  # read by the comparison and by what it leaves
+        return near.join(_conflicting(near, notes).select("a_id", "b_id"), ["a_id", "b_id"], "left_anti").select("a_id", "b_id", "pair_no", "similarity")
 
-        sim = V.similarity_from(V.dot(F.col("va"), F.col("vb")), V.norm2(F.col("va")), V.norm2(F.col("vb")))
-        return both.select("a_id", "b_id", "pair_no", sim.alias("similarity")).filter((F.col("similarity") >= cfg.merge_floor) & (F.col("similarity") < cfg.merge_ceiling))
+    return P.first_matching(cum, accept, cfg.max_merges, window)
+
+
+def merge_candidates(notes: DataFrame, cum: DataFrame, conflicts: DataFrame, cfg: ConsolidationSettings, window: int = 100_000) -> DataFrame:
+    """The first ``max_merges`` pairs in id order whose similarity lies in the merge band and which are not among ``conflicts``."""
+    vecs = vectorize(notes, "note_id", F.col("body"))
+
+    def accept(pairs):
+        both = pairs.join(conflicts.select("a_id", "b_id"), ["a_id", "b_id"], "left_anti")
+        return _in_band(_pair_similarity(both, vecs), cfg).select("a_id", "b_id", "pair_no", "similarity")
 
     found = P.first_matching(cum, accept, cfg.max_merges, window)
     if found is None:
         found = conflicts.select("a_id", "b_id", "pair_no", "similarity").limit(0)
+    return with_canonical(found, notes)
+
+
+def with_canonical(found: DataFrame, notes: DataFrame) -> DataFrame:
+    """``found`` (a_id, b_id, ...) with the older note as ``canonical_id`` and the other as ``absorbed_id``."""
     when = notes.select("note_id", F.coalesce(T.parse_ts(F.col("created")), F.lit("9999-12-31").cast("timestamp")).alias("c"))
     a, b = (when.select(F.col("note_id").alias(f"{x}_id"), F.col("c").alias(f"{x}_c")) for x in "ab")
     df = found.join(a, "a_id").join(b, "b_id")
@@ -99,11 +133,18 @@ def rejudge_candidates(notes: DataFrame, now: str) -> DataFrame:
 
 
 def plan(notes: DataFrame, now: str, cfg: ConsolidationSettings | None = None) -> DataFrame:
-    """(action, note_ids, idempotency_key): capped per class, keyed by action, ids, bodies and parameters."""
+    """(action, note_ids, idempotency_key): capped per class, keyed by action, ids, bodies and parameters.
+
+    Conflicts and merges are searched among all pairs, and no merge of the plan is a conflict.
+    """
     cfg = cfg or ConsolidationSettings()
     cum = scanned_pairs(notes)
-    conflicts = conflict_candidates(notes, cum, cfg)
-    merges = merge_candidates(notes, cum, conflicts, cfg)
+    knowledge = pool(notes).filter("kind = 'knowledge'")
+    vecs = written(vectorize(knowledge, "note_id", F.col("body")), "plan-vectors")
+    none = notes.sparkSession.createDataFrame([], "a_id string, b_id string, pair_no bigint, slot string, similarity double")
+    conflicts, merges = first_conflicts(notes, cum, vecs, cfg), first_merges(notes, cum, vecs, cfg)
+    conflicts = none if conflicts is None else conflicts
+    merges = with_canonical(none.drop("slot") if merges is None else merges, notes)
     hashes = notes.select("note_id", F.sha2("body", 256).alias("h"))
 
     def two(df, action, cap, params):
