@@ -10,8 +10,8 @@ a pair of similarity 0.8 with probability 0.2**TREES where nodes are small.
 Nodes compare sketches with a wide margin and give loose links (a forest per node, never all pairs). Each
 loose component then compares its members' full sets, and those confirmed links make the result. The first trees
 label what is connected anyway, so later ones leave nodes of one label alone. A large group is cut into cells; what
-stands outside its largest connected part visits every cell, so no link between parts is lost and no task
-holds more than a cell.
+stands outside its largest connected part then meets every member, so no link between parts is lost. Members lie in the
+shared folder, in group order; a task holds some of the visitors and reads the members a few at a time.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kledger.llm.common import LOWER, Words, discard, few_tasks, mix, slices, text_bytes, windows, written
+from kledger.llm.common import LOWER, ROWS_A_TASK, Words, arrow_uri, discard, few_tasks, mix, place, slices, text_bytes, windows, written
 from kledger.llm.components import components
 
 COORDS, TREES, FIRST, DEPTH, LEAF, WIDER = 64, 12, 3, 4, 96, 4
@@ -31,6 +31,8 @@ COORDS, TREES, FIRST, DEPTH, LEAF, WIDER = 64, 12, 3, 4, 96, 4
 LOOSE = 0.5
 """Sketches that agree in this share are compared in full: six standard errors below 0.8 at 64 coordinates."""
 CHUNK = 1 << 17
+HELD_BYTES = 4 << 20
+"""A task holds no more of a group's visitors at once (or one)."""
 
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,10 +188,75 @@ def _bridges(ids: np.ndarray, label: np.ndarray, linked: np.ndarray) -> list[tup
     return out
 
 
+class _Sketches:
+    """Visitors that meet further sketches."""
+
+    def __init__(self, data: list[bytes], share: float):
+        self.own, self.share = np.stack([np.frombuffer(d, np.uint8) for d in data]), share
+
+    def linked(self, data: list[bytes]) -> np.ndarray:
+        s = np.stack([np.frombuffer(d, np.uint8) for d in data])
+        return np.stack([(s == row).sum(1) for row in self.own]) >= self.share * s.shape[1]
+
+
+class _Sets:
+    """Visitors that meet further full sets. Only keys that both sides hold enter the product."""
+
+    def __init__(self, data: list[bytes], percent: float):
+        sets = [np.frombuffer(d, np.uint64) for d in data]
+        self.size, self.percent = np.array([len(x) for x in sets]), int(percent)
+        self.key, self.at = np.unique(np.concatenate(sets), return_inverse=True)
+        self.owner = np.repeat(np.arange(len(sets)), self.size)
+        order = np.argsort(self.at, kind="stable")
+        self.at, self.owner = self.at[order], self.owner[order]
+
+    def linked(self, data: list[bytes]) -> np.ndarray:
+        sets = [np.frombuffer(d, np.uint64) for d in data]
+        size = np.array([len(x) for x in sets])
+        key, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        at = np.searchsorted(self.key, key)
+        hit = np.flatnonzero((at < len(self.key)) & (self.key[np.minimum(at, len(self.key) - 1)] == key))
+        column, theirs = np.unique(at[hit], return_inverse=True)
+        order = np.argsort(theirs, kind="stable")
+        theirs, owner = theirs[order], owner[hit][order]
+        rank = np.full(len(self.key), -1)
+        rank[column] = np.arange(len(column))
+        ours, mine = rank[self.at], self.owner
+        ours, mine = ours[ours >= 0], mine[ours >= 0]
+        inter, step = np.zeros((len(self.size), len(sets))), 4096
+        for a in range(0, len(column), step):
+            x, y = (np.zeros((min(step, len(column) - a), n), np.float32) for n in (len(self.size), len(sets)))
+            for m, col, who in ((x, ours, mine), (y, theirs, owner)):
+                lo, hi = np.searchsorted(col, [a, a + step])
+                m[col[lo:hi] - a, who[lo:hi]] = 1
+            inter += x.T @ y
+        return 100 * inter >= self.percent * (self.size[:, None] + size[None, :] - inter)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """The rows of each value of ``by``, which come next to each other."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([rest, t]) if rest is not None else t
+        keys = [t.column(c).to_numpy() for c in by]
+        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=False):
+            yield t.slice(a, b - a)
+        rest = t.slice(int(cuts[-1]) if len(cuts) else 0)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def _compare(rows: DataFrame, kind: str, level: float, count: int) -> DataFrame:
     """Edges of each (grp, cell) of ``rows``, about ``count`` rows. Without labels: from each id to the smallest id it is connected with.
 
-    With labels (ids of one label are connected already): links between labels, and only pairs with a visitor.
+    With labels (ids of one label are connected already): links between labels.
     """
     labelled = "label" in rows.columns
 
@@ -203,55 +270,113 @@ def _compare(rows: DataFrame, kind: str, level: float, count: int) -> DataFrame:
         linked = _agree(data, level) if kind == "sketch" else _similar(data, int(level))
         if not labelled:
             return _forest(ids[order], linked)
-        v = np.isin(ids[order], ids[t.column("visitor").to_numpy(zero_copy_only=False).astype(bool)])
-        return _bridges(ids[order], t.column("label").to_numpy()[order], linked & (v[:, None] | v[None, :]))
+        return _bridges(ids[order], t.column("label").to_numpy()[order], linked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([rest, t]) if rest is not None else t
-            g, c = t.column("grp").to_numpy(), t.column("cell").to_numpy()
-            cuts = np.flatnonzero((g[1:] != g[:-1]) | (c[1:] != c[:-1])) + 1
-            found = [e for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=False) for e in edges(t.slice(a, b - a))] if len(cuts) else []
-            rest = t.slice(int(cuts[-1]) if len(cuts) else 0)
-            if found:
-                yield out(found)
-        if rest is not None and rest.num_rows and (found := edges(rest)):
-            yield out(found)
-
-    def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        a, b = zip(*found, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    cells = few_tasks(rows.select("grp", "cell", "id", "data", *(["label", "visitor"] if labelled else [])), count)
+        for t in _gathered(batches, ["grp", "cell"]):
+            if found := edges(t):
+                yield _pairs(found)
+
+    cells = few_tasks(rows.select("grp", "cell", "id", "data", *(["label"] if labelled else [])), count)
     cells = cells.repartition("grp", "cell").sortWithinPartitions("grp", "cell")
     return few_tasks(cells.mapInArrow(run, "a bigint, b bigint"), count)
 
 
-def _visits(rows: DataFrame, leaf: int, count: int) -> DataFrame:
-    """Cells of the groups of ``rows`` (grp, id, data, n, label), each visited by all members outside the largest label.
+def _visits(rows: DataFrame, kind: str, level: float, leaf: int, count: int) -> DataFrame:
+    """Links between labels in the groups of ``rows`` (grp, id, data, label), a written table of about ``count`` rows: a written table of edges.
 
-    Members of one label are connected already, so pairs inside the largest one can add nothing.
+    Members of one label are connected already, so pairs inside a group's largest one can add nothing: what stands outside
+    it meets all members. They lie in the shared folder in group order. A task holds at most ``leaf`` visitors, reads the
+    members of their group ``leaf`` at a time, and nothing is copied per visitor.
     """
-    cells = rows.withColumn("cells", F.ceil(F.col("n") / leaf).cast("int"))
-    main = rows.groupBy("grp", "label").agg(F.count("*").alias("m")).groupBy("grp").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
-    cells = few_tasks(cells.join(few_tasks(main, count), "grp"), count).withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")).withColumn("visitor", F.lit(False))
-    out = cells.filter("label != main").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).withColumn("visitor", F.lit(True))
-    return cells.unionByName(out)
+    table = written(rows.select("grp", "id", "data", "label").repartitionByRange(max(1, -(-count // ROWS_A_TASK)), "grp", "id").sortWithinPartitions("grp", "id"), "visited-groups")
+    parts = table.groupBy("grp", "label").agg(F.count("*").alias("m"))
+    main = parts.groupBy("grp").agg(F.max_by("label", F.struct("m", "label")).alias("main"), (F.sum("m") - F.max("m")).alias("outside"))
+    main = written(few_tasks(main.select("grp", "main", F.ceil(F.col("outside") / leaf).cast("int").alias("blocks")), count), "visited-labels")
+    blocks = main.agg(F.sum("blocks")).first()[0] or 0
+    uri = arrow_uri(place(table))
+
+    def members(files: list, grp: int) -> Iterator[pa.RecordBatch]:
+        from pyarrow import parquet
+
+        for store, path, low, high in files:
+            if low <= grp <= high:
+                with store.open_input_file(path) as f:
+                    for b in parquet.ParquetFile(f, buffer_size=1 << 20).iter_batches(leaf, columns=["grp", "id", "data", "label"]):
+                        g = b.column(0).to_numpy()
+                        lo, hi = np.searchsorted(g, grp), np.searchsorted(g, grp, side="right")
+                        if hi > lo:
+                            yield b.slice(lo, hi - lo)
+                        if g[-1] > grp:
+                            break
+
+    def listed() -> list:
+        from pyarrow import fs, parquet
+
+        store, base = fs.FileSystem.from_uri(uri)
+        out = []
+        for path in sorted(f.path for f in store.get_file_info(fs.FileSelector(base)) if f.path.endswith(".parquet")):
+            with store.open_input_file(path) as f:
+                meta = parquet.ParquetFile(f).metadata
+                stats = [meta.row_group(k).column(0).statistics for k in range(meta.num_row_groups)]
+                if stats:
+                    out.append((store, path, min(x.min for x in stats), max(x.max for x in stats)))
+        return out
+
+    def meet(t: pa.Table, files: list) -> list[tuple[int, int]]:
+        ids, data, label = t.column("id").to_numpy(), t.column("data").to_pylist(), t.column("label").to_numpy()
+        held = (_Sketches if kind == "sketch" else _Sets)(data, level)
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                x = up
+            return x
+
+        out = []
+        for b in members(files, t.column("grp")[0].as_py()):
+            own = np.array([top(x) for x in label.tolist()])
+            theirs = np.array([top(x) for x in b.column(3).to_pylist()])
+            apart = own[:, None] != theirs[None, :]
+            some = np.flatnonzero(apart.any(0))
+            if not len(some):
+                continue
+            other = b.column(1).to_numpy()[some]
+            linked = held.linked(b.column(2).take(pa.array(some)).to_pylist()) & apart[:, some]
+            for i, j in zip(*np.nonzero(linked), strict=True):
+                x, y = top(int(own[i])), top(int(theirs[some[j]]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((int(ids[i]), int(other[j])))
+        return out
 
-
-def _visit_rows(rows: DataFrame, leaf: int) -> int:
-    """How many rows ``_visits`` gives for ``rows`` (grp, label, n)."""
-    per = rows.groupBy("grp", "n", "label").agg(F.count("*").alias("m")).groupBy("grp", "n").agg((F.sum("m") + (F.sum("m") - F.max("m")) * F.ceil(F.col("n") / leaf)).alias("r"))
-    return few_tasks(per, rows.count()).agg(F.sum("r")).first()[0] or 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            g, k = t.column("grp").to_numpy(), t.column("block").to_numpy()
+            cuts = np.flatnonzero((g[1:] != g[:-1]) | (k[1:] != k[:-1])) + 1
+            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(g)], strict=True):
+                sizes = np.array([len(d) for d in t.column("data").slice(a, z - a).to_pylist()]) if z > a else np.zeros(0, np.int64)
+                for lo, hi in slices(np.append(0, np.cumsum(sizes)), HELD_BYTES):
+                    for c in range(lo, hi, leaf):
+                        files = listed() if files is None else files
+                        if found := meet(t.slice(a + c, min(hi, c + leaf) - c), files):
+                            yield _pairs(found)
+
+    visitors = table.join(main, "grp").filter("label != main").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    most = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * table.sparkSession.sparkContext.defaultParallelism)
+    dealt = visitors.select("grp", "block", "id", "data", "label").repartition(max(1, min(blocks, most)), "grp", "block").sortWithinPartitions("grp", "block")
+    out = written(dealt.mapInArrow(run, "a bigint, b bigint"), "visit-edges")
+    discard(table, main)
+    return out
 
 
 def link_sets(rows: DataFrame, percent: int, leaf: int = LEAF) -> DataFrame:
     """``(id, component)`` by all linked pairs inside each ``grp`` of ``rows`` (grp, id, data); ids without a link are left out.
 
     Groups over ``leaf`` are cut into cells that share one pivot. What that leaves outside a group's largest
-    part then visits every cell of the group.
+    part then meets all members of the group.
     """
     count = rows.count()
     sizes = written(few_tasks(rows.groupBy("grp").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).filter("n > 1"), count), "group-sizes")
@@ -272,7 +397,7 @@ def link_sets(rows: DataFrame, percent: int, leaf: int = LEAF) -> DataFrame:
         discard(large)
         return roots.union(parts)
     inner = written(labelled.join(mixed, "grp", "left_semi"), "mixed-members")
-    second = written(_compare(_visits(inner, leaf, count), "set", percent, _visit_rows(inner, leaf)), "visit-edges")
+    second = _visits(inner, "set", percent, leaf, count)
     discard(inner)
     discard(large)
     return roots.union(components(first.union(second)))
@@ -324,17 +449,18 @@ def loose_edges(classes: DataFrame, trees: int, depth: int, leaf: int, coords: i
         facts = level.groupBy("grp").agg(F.count("*").alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select("grp", "n")
         held = written(few_tasks(level.join(few_tasks(facts, rows), "grp"), rows), "nodes")
         rows = held.count()
-        small = held.filter(F.col("n") <= leaf).select("grp", "id", F.col("tiny").alias("data"), "label", F.lit(0).alias("cell"), F.lit(True).alias("visitor"))
+        small = held.filter(F.col("n") <= leaf).select("grp", "id", F.col("tiny").alias("data"), "label", F.lit(0).alias("cell"))
         edges.append(written(_compare(small, "sketch", LOOSE, rows), "loose-edges"))
         large = held.filter(F.col("n") > leaf)
         most = few_tasks(large.groupBy("grp", "n", "label").agg(F.count("*").alias("m")), rows).groupBy("grp", "n").agg(F.max("m").alias("m"))
         cost = (F.col("n") - F.col("m")) * F.ceil(F.col("n") / leaf)
         most = written(few_tasks(most.withColumn("cheap", F.lit(d == depth - 1) | (cost <= F.col("n"))), rows), "node-sizes")
-        visits, deeper = most.agg(F.sum(F.when(F.col("cheap"), F.col("n") + cost)), F.sum(F.when(~F.col("cheap"), F.col("n")))).first()
+        visits, deeper = most.agg(F.sum(F.when(F.col("cheap"), F.col("n"))), F.sum(F.when(~F.col("cheap"), F.col("n")))).first()
         large = few_tasks(large.join(most.select("grp", "cheap"), "grp"), rows)
         if visits:
-            visited = _visits(large.filter("cheap").select("grp", "id", F.col("tiny").alias("data"), "n", "label"), leaf, rows)
-            edges.append(written(_compare(visited, "sketch", LOOSE, visits), "loose-edges"))
+            visited = written(large.filter("cheap").select("grp", "id", F.col("tiny").alias("data"), "label"), "visited-nodes")
+            edges.append(_visits(visited, "sketch", LOOSE, leaf, visits))
+            discard(visited)
         if not deeper:
             discard(held, most)
             break

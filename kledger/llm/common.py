@@ -57,6 +57,14 @@ def few_tasks(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(tasks) if tasks < most else df
 
 
+def place(df: DataFrame) -> str:
+    """The folder of a written table."""
+    ref, path = _PLACES[id(df)]
+    if ref() is not df:
+        raise KeyError("not a written table")
+    return path
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that no later plan reads."""
     for df in tables:

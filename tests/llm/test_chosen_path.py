@@ -69,6 +69,25 @@ def test_large_groups_are_cut_and_lose_nothing(spark):
     assert got == brute(rows, 3)
 
 
+def test_no_task_holds_a_large_group(spark, monkeypatch):
+    """400 sets of one loose group, nearly all of them far from each other: no cell holds more than a few times the leaf, and a chain through them is found."""
+    import numpy as np
+
+    from kledger.session import ship_code
+
+    ship_code(spark)
+    r = np.random.default_rng(5)
+    sets = [np.sort(r.integers(0, 1 << 62, 50).astype(np.uint64)) for _ in range(380)]
+    for _ in range(20):  # each like the last one, not like the one before it
+        sets.append(np.sort(np.append(sets[-1][:-5], r.integers(0, 1 << 62, 5).astype(np.uint64))))
+    rows = spark.createDataFrame([(1, i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "grp bigint, id bigint, data binary")
+    cells, compare = [], chosen_path._compare
+    monkeypatch.setattr(chosen_path, "_compare", lambda rows, *a: (cells.append(rows.groupBy("grp", "cell").count().agg({"count": "max"}).first()[0] or 0), compare(rows, *a))[1])
+    got = {x.id: x.component for x in chosen_path.link_sets(rows, 80, 10).collect()}
+    assert got == dict.fromkeys(range(379, 400), 379)
+    assert len(cells) > 1 and max(cells) <= 40
+
+
 def test_edges(docs, no_docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     out = chosen_path.near_duplicates(docs)
