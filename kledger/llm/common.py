@@ -34,10 +34,10 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: int) -> DataFrame:
     """``df`` as a table in the shared folder. It is computed once, and lost executors do not take it with them."""
     path = fresh_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PLACES[id(out)] = (weakref.ref(out), path)
     return out

@@ -4,8 +4,9 @@ Vectors of one direction (to twelve digits of their largest component) are one n
 vectors, so copies, also scaled ones, are one node however many there are. Nodes are dealt to shards by a hash of
 the direction. A shard's graph grows in batches: a greedy beam search from the
 entry proposes neighbours for each new node, relaxed pruning keeps those that no kept neighbour covers, and the
-edges go both ways, pruned again where a list overflows. Graphs are written to the shared folder. Blocks of
-queries then search every shard by beam search; all of the beam is scored in double precision.
+edges go both ways, pruned again where a list overflows. Graphs are written to the shared folder, a file each. Queries
+then search every shard by beam search, block by block; a task holds some blocks with their best so far and reads the
+graphs from there, so neither graphs nor queries are copied per pair. All of the beam is scored in double precision.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kledger.llm.common import written
+from kledger.llm.common import arrow_uri, place, written
 
 SHARD_ROWS, DEGREE, BEAM, RELAX = 4096, 32, 96, 1.2
-BLOCK = 256
+BLOCK, HELD = 256, 8
+"""Queries searched at once, and how many such blocks a task holds while it reads the graphs."""
 GRAPH = "dim int, shard int, n int, vectors binary, edges binary, entries binary, members binary, ids array<array<bigint>>"
 DIGITS = 12
 
@@ -180,46 +182,80 @@ def build_index(vectors: DataFrame, keep: int, shard_rows: int = SHARD_ROWS, deg
         return pd.DataFrame([(int(f["dim"][0]), int(f["shard"][0]), len(f), v.tobytes(), edges.tobytes(), entries.tobytes(), members.tobytes(), [list(map(int, x)) for x in f["ids"]])], columns=[c.split()[0] for c in GRAPH.split(", ")])
 
     graphs = dealt.withColumn("first", F.get("ids", F.lit(0))).groupBy("dim", "shard").applyInPandas(build, GRAPH)
-    return written(graphs, "ann-graphs")
+    return written(graphs, "ann-graphs", maxRecordsPerFile=1)
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, block: int = BLOCK) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each query (vec_id, embedding), its own row left out.
 
     Blocks of queries meet every shard of their dimension. Ties go to the smaller id. Unusable queries give no
-    row, as do queries without candidates; a repeated query id gives the rows of one.
+    row, as do queries without candidates; a repeated query id gives the rows of one. ``index`` is what ``build_index`` wrote.
     """
     q = queries.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     q = written(q.withColumn("dim", F.size("embedding")), "ann-queries")
-    blocks = max(1, -(-q.count() // block))
-    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
-    packed = q.groupBy("dim", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
-    pairs = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(index, ["dim", "shard"])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for r in f.itertuples(index=False):
-                v = np.frombuffer(r.vectors, np.float64).reshape(r.n, r.dim)
-                members = _level(np.frombuffer(r.members, np.float64).reshape(-1, r.dim))
-                ids, count = np.concatenate(r.ids), np.array([len(i) for i in r.ids])
-                ends = np.cumsum(count)
-                edges = np.frombuffer(r.edges, np.int32).reshape(r.n, -1)
-                own = _level(np.stack([x["embedding"] for x in r.queries]))
-                found, _ = beam_search(_unit(v), edges, np.frombuffer(r.entries, np.int32).astype(np.int64), _unit(own), max(beam, 2 * k))
-                out = []
-                for query, vec, nodes in zip((x["vec_id"] for x in r.queries), own, found, strict=True):
+    asked, graphs, tasks = q.count(), max(1, index.count()), 2 * q.sparkSession.sparkContext.defaultParallelism
+    # few groups of queries: the graphs are divided among several tasks per group
+    groups = max(1, -(-asked // (HELD * block)), min(-(-asked // block), -(-tasks // graphs)))
+    shares = max(1, min(graphs, -(-tasks // groups)))
+    uri = arrow_uri(place(index))
+
+    def stored(share: int, dim: int) -> Iterator[dict]:
+        from pyarrow import fs, parquet
+
+        store, base = fs.FileSystem.from_uri(uri)
+        for path in sorted(f.path for f in store.get_file_info(fs.FileSelector(base)) if f.path.endswith(".parquet"))[share::shares]:
+            with store.open_input_file(path) as f:
+                file = parquet.ParquetFile(f)
+                if file.metadata.num_rows and file.read(columns=["dim"]).column(0)[0].as_py() == dim:
+                    yield file.read().to_pylist()[0]
+
+    def best_of(ids: np.ndarray, vectors: np.ndarray, share: int) -> pd.DataFrame:
+        own, dim = _level(vectors), vectors.shape[1]
+        unit, best = _unit(own), [[] for _ in ids]
+        for r in stored(share, dim):
+            v = np.frombuffer(r["vectors"], np.float64).reshape(r["n"], dim)
+            members = _level(np.frombuffer(r["members"], np.float64).reshape(-1, dim))
+            names, count = np.concatenate(r["ids"]), np.array([len(i) for i in r["ids"]])
+            ends, graph = np.cumsum(count), _unit(v)
+            edges, entries = np.frombuffer(r["edges"], np.int32).reshape(r["n"], -1), np.frombuffer(r["entries"], np.int32).astype(np.int64)
+            for lo in range(0, len(ids), block):
+                found, _ = beam_search(graph, edges, entries, unit[lo : lo + block], max(beam, 2 * k))
+                for i, nodes in enumerate(found, lo):
                     nodes = nodes[nodes >= 0]
                     per = count[nodes]
                     at = np.repeat(ends[nodes] - np.cumsum(per), per) + np.arange(per.sum())
-                    near = members[at]
+                    near, vec = members[at], own[i]
                     scores = near @ vec / (np.sqrt((near * near).sum(1)) * np.sqrt(vec @ vec))
-                    best = [(-s, i) for s, i in zip(scores.tolist(), ids[at].tolist(), strict=True) if i != query]
-                    out += [(int(query), i, -s) for s, i in sorted(best)[:k]]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = pairs.repartition("shard", "block").mapInPandas(run, "query_id bigint, vec_id bigint, score double").distinct()
+                    new = sorted((-s, x) for s, x in zip(scores.tolist(), names[at].tolist(), strict=True) if x != ids[i])[:k]
+                    best[i] = sorted({*best[i], *new})[:k]
+        return pd.DataFrame([(int(i), x, -s) for i, rows in zip(ids, best, strict=True) for s, x in rows], columns=["query_id", "vec_id", "score"])
+
+    def run(share: int):
+        def search_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held, size = [], 0
+            for f in frames:
+                while len(f):
+                    held.append(f.iloc[: HELD * block - size])
+                    f = f.iloc[len(held[-1]) :]
+                    size += len(held[-1])
+                    if size == HELD * block:
+                        yield from of_dims(pd.concat(held))
+                        held, size = [], 0
+            if held:
+                yield from of_dims(pd.concat(held))
+
+        def of_dims(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            for _, g in f.groupby("dim"):
+                yield best_of(g["vec_id"].to_numpy(), np.stack(g["embedding"].to_numpy()), share)
+
+        return search_all
+
+    found = None
+    for share in range(shares):
+        part = q.repartition(groups).mapInPandas(run(share), "query_id bigint, vec_id bigint, score double")
+        found = part if found is None else found.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, **sizes) -> DataFrame:

@@ -67,3 +67,20 @@ def test_many_lengths_of_one_direction(spark):
     got = graph_ann.nearest(df, df.filter("vec_id % 50 = 0"), 5).collect()
     found = {q: [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (400, 450)}
     assert found == {400: [401, 402, 403, 404, 405], 450: [400, 401, 402, 403, 404]}
+
+
+def test_graphs_are_not_copied_to_blocks_of_queries(spark):
+    """Many shards and many blocks: no plan carries graphs beside queries, and all shards are searched."""
+    ship_code(spark)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(300)] + [(300 + i, rng.normal(size=5).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    index = graph_ann.build_index(df, 4, shard_rows=40)
+    out = graph_ann.search(index, df, 3, block=16)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "members" not in plan and "Join" not in plan
+    got = {(r.query_id, r["rank"]): r.vec_id for r in out.collect()}
+    vec = dict(rows)
+    for q, v in rows:
+        near = sorted((-np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w), i) for i, w in vec.items() if i != q and len(w) == len(v))
+        assert [got[q, k] for k in (1, 2, 3)] == [i for _, i in near[:3]]
